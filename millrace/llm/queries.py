@@ -4,21 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, simhash
+from . import common, media, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(common.read(spark, sf_dir, "documents"))
+
+    def text(c: str) -> Column:
+        return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, secret_scan.BASE)
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(common.read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = common.settle(media.encode(common.read(spark, sf_dir, "documents")), "media")
+    back = media.read_back(stored)
+    return back.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr(f"substring(payload, -{media.ROW}, {media.ROW})")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.lower(F.hex("feature")).alias("feature"),
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op1_secret_scan": op1_secret_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_media_columns": op10_media_columns,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
