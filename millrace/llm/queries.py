@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, media, secret_scan, simhash
+from . import byte_bpe, common, media, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    ranks = byte_bpe.read_ranks(ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    back = byte_bpe.decode(byte_bpe.encode(common.read(spark, sf_dir, "documents"), ranks), ranks)
+    return back.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(common.read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -47,6 +59,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_byte_bpe": op2_byte_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_media_columns": op10_media_columns,
 }
