@@ -12,8 +12,8 @@ from collections.abc import Callable
 import regex
 
 #: Unicode white space as the vocabularies' pattern has it; Latin letters and numbers up to U+024F.
-SPACE = r"\t-\r \x85\xa0  -     　"
-LETTER, NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTER, NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
 
 def _pattern(letter: str, number: str) -> str:
@@ -22,7 +22,7 @@ def _pattern(letter: str, number: str) -> str:
 
 _latin: Callable[[str], list[str]] = re.compile(_pattern(LETTER, NUMBER)).findall
 _any: Callable[[str], list[str]] = regex.compile(_pattern(r"\p{L}", r"\p{N}"), regex.V0).findall
-_usual = re.compile(r"[\x00-ɏ‐-‧]*").fullmatch
+_usual = re.compile(r"[\x00-\u024f\u2010-\u2027]*").fullmatch
 
 
 def split(text: str) -> list[str]:
