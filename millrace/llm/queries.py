@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, media, secret_scan, simhash, warc
+from . import byte_bpe, common, media, secret_scan, simhash, warc, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
     )
 
 
+#: The end id that op4 appends to each document.
+END_ID = 2
+
+
+def op4_wavelet_tokens(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    with open(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        json = f.read()
+    path = common.scratch(spark, "tokens")
+    wavelet.write(common.read(spark, sf_dir, "documents"), path, json, END_ID)
+    back = wavelet.read(spark.read.parquet(path))
+    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(common.read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -67,6 +80,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_wavelet_tokens": op4_wavelet_tokens,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_warc": op9_warc,
     "op10_media_columns": op10_media_columns,
