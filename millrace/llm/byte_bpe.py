@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common, pretokens
 
-BLOCK, CHUNK = 16_000_000, 1_000_000
+BLOCK, CHUNK = 32_000_000, 1_000_000
+_LEVEL = 6
 MOST_TOKENS = 1 << 20
 _ROWS = "kind int, block long, slot int, data binary, ids array<long>, sizes array<int>"
 
@@ -63,26 +64,46 @@ class _Numbers(dict):
         return n
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """uint32 numbers by byte planes."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _whole(planes: bytes | memoryview) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def _pack(numbers: np.ndarray) -> bytes:
-    """uint32 numbers by byte planes, compressed."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(planes.tobytes(), 3)
+    return zstandard.compress(_planes(numbers), _LEVEL)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    return _whole(zstandard.decompress(data))
+
+
+def _pack_ranks(ranks: np.ndarray) -> bytes:
+    """Numbers that are mostly small: one byte each, and what exceeds 254 apart."""
+    large = ranks[ranks >= 255] - np.uint32(255)
+    low = zstandard.compress(np.minimum(ranks, 255).astype(np.uint8).tobytes(), _LEVEL)
+    return len(low).to_bytes(8, "little") + low + _pack(large)
+
+
+def _unpack_ranks(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    ranks = np.frombuffer(zstandard.decompress(data[8 : 8 + n]), np.uint8).astype("<u4")
+    ranks[ranks == 255] += _unpack(data[8 + n :])
+    return ranks
 
 
 def _pack_words(words: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, words), "<u4", len(words))
-    return zstandard.compress(np.uint32(len(words)).tobytes() + sizes.tobytes() + b"".join(words), 3)
+    sizes = np.fromiter(map(len, words), np.uint32, len(words))
+    return zstandard.compress(len(words).to_bytes(4, "little") + _planes(sizes) + b"".join(words), _LEVEL)
 
 
 def _unpack_words(data: bytes) -> list[bytes]:
     raw = zstandard.decompress(data)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64)) + 4 + 4 * n
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(_whole(memoryview(raw)[4 : 4 + 4 * n]).astype(np.int64)) + 4 + 4 * n
     edges = [4 + 4 * n, *ends.tolist()]
     return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -94,33 +115,27 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class _Block:
-    """The documents of one block: distinct words, and packed sequences of their numbers."""
+    """The documents of one block: distinct words, and for each document the sequence of their numbers."""
 
     def __init__(self, chunk: int) -> None:
-        self.words, self.chars, self.chunks, self.chunk = _Numbers(), 0, [], chunk
-        self._start()
-
-    def _start(self) -> None:
-        self.ids, self.sizes, self.parts, self.n = [], [], [], 0
+        self.words, self.chars, self.chunk = _Numbers(), 0, chunk
+        self.ids: list[int | None] = []
+        self.parts: list[np.ndarray] = []
 
     def add(self, doc: int | None, text: str) -> None:
         words = pretokens.split(text)
         self.parts.append(np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words)))
         self.ids.append(doc)
-        self.sizes.append(len(words))
         self.chars += len(text)
-        self.n += len(words)
-        if self.n >= self.chunk:
-            self.cut()
-
-    def cut(self) -> None:
-        if self.ids:
-            self.chunks.append((_pack(np.concatenate(self.parts)), self.ids, self.sizes))
-        self._start()
 
     def rows(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
-        self.cut()
-        words = [w.encode() for w in self.words]
+        """Words are numbered anew, the most frequent first: then most numbers fit a byte."""
+        counts = np.bincount(np.concatenate(self.parts), minlength=len(self.words))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        found = [w.encode() for w in self.words]
+        words = [found[i] for i in order.tolist()]
         bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(buckets)
         yield _batch([(1, block, -1, _pack(bucket), None, None)])
         order = np.argsort(bucket, kind="stable")
@@ -129,8 +144,13 @@ class _Block:
         rows = [(0, block, b, _pack_words([words[i] for i in at]), None, None) for b, at in packs if at]
         if rows:
             yield _batch(rows)
-        for k, (data, ids, sizes) in enumerate(self.chunks):
-            yield _batch([(2, block, k, data, ids, sizes)])
+        first = filled = slot = 0
+        for k, part in enumerate(self.parts, 1):
+            filled += len(part)
+            if filled >= self.chunk or k == len(self.parts):
+                own = self.parts[first:k]
+                yield _batch([(2, block, slot, _pack_ranks(rank[np.concatenate(own)]), self.ids[first:k], list(map(len, own)))])
+                first, filled, slot = k, 0, slot + 1
 
 
 def _to_blocks(buckets: int, block: int, chunk: int):
@@ -142,7 +162,7 @@ def _to_blocks(buckets: int, block: int, chunk: int):
                 if now.chars >= block:
                     yield from now.rows(first + count, buckets)
                     count, now = count + 1, _Block(chunk)
-        if now.ids or now.chunks:
+        if now.ids:
             yield from now.rows(first + count, buckets)
 
     return run
@@ -187,7 +207,7 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 if table is None:
                     table, packs = _word_table(bucket, packs), {}
-                yield _documents(table, _unpack(data), ids, np.array(sizes, np.int64))
+                yield _documents(table, _unpack_ranks(data), ids, np.array(sizes, np.int64))
 
 
 def _word_table(bucket: np.ndarray, packs: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
