@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, decontaminate, media, secret_scan, simhash, warc, wavelet
+from . import byte_bpe, common, decontaminate, main_text, media, secret_scan, simhash, warc, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
     )
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extract(common.read(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 #: The end id that op4 appends to each document.
 END_ID = 2
 
@@ -85,6 +90,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_html_main_text": op3_html_main_text,
     "op4_wavelet_tokens": op4_wavelet_tokens,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,

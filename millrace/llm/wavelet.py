@@ -7,8 +7,7 @@ on the planes give access to single tokens, counts of a token before a place, an
 Shards are rows (part, shard, offset, tokens, data) of a table in the shared folder. A document's start is the sum over the
 parts before its own (one number a range partition), plus the shard's offset in the part, plus what precedes it in the shard.
 
-Each distinct pre-token is encoded once per worker, as far as its cache of KNOWN pre-tokens reaches (when full it starts
-anew); the library matches special tokens first, so their strings are cut out before. Ids up to 32 bits are supported.
+Each distinct pre-token is encoded once per worker, as far as its cache of the last KNOWN to 2 KNOWN pre-tokens reaches; the library matches special tokens first, so their strings are cut out before. Ids up to 32 bits are supported.
 
 Null and empty texts have the end id only; ids may be null (first) or repeat (ordered by text hash, then text); texts of any
 length are encoded whole; a damaged file raises; an empty table gives no shards; other columns are ignored.
@@ -33,7 +32,7 @@ from tokenizers import Tokenizer
 from . import common, pretokens
 
 MAGIC = b"MWM1"
-SHARD, KNOWN = 1 << 21, 500_000
+SHARD, KNOWN = 1 << 21, 400_000
 _LEVEL = 1
 
 
@@ -64,12 +63,11 @@ class WaveletMatrix:
         kind = np.uint16 if levels <= 16 else np.uint32
         x = np.zeros(self.n, kind)
         for level, plane in enumerate(reversed(self.planes)):
-            ones = np.unpackbits(plane, count=self.n, bitorder="little")
-            out = np.empty(self.n, kind)
-            z = self.zeros[levels - 1 - level]
-            out.put(np.flatnonzero(ones == 0), x[:z])
-            out.put(np.flatnonzero(ones), x[z:])
-            x = out | (ones.astype(kind) << kind(level))
+            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(np.bool_)
+            out, z = np.empty(self.n, kind), self.zeros[levels - 1 - level]
+            x[z:] |= kind(1 << level)
+            out[np.flatnonzero(~ones)], out[np.flatnonzero(ones)] = x[:z], x[z:]
+            x = out
         return x
 
     def _rank1(self, level: int, i: int) -> int:
@@ -164,16 +162,33 @@ def load(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
     return WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[1:]]), [d if k else None for d, k in zip(ids, known, strict=True)], np.frombuffer(parts[0], "<u8", docs, 9 * docs).astype(np.int64)
 
 
+class _Pieces(dict):
+    """Ids of pre-tokens as uint32 bytes; those not met lately are asked of the library and the oldest half goes when full."""
+
+    def __init__(self, library: Tokenizer, fixed: dict[str, bytes]) -> None:
+        super().__init__(fixed)
+        self.model, self.alphabet, self.fixed, self.older = library.model.tokenize, _alphabet(), fixed, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array([t.id for t in self.model(piece.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
+        if len(self) >= KNOWN:
+            self.older = dict(self)
+            self.clear()
+            self.update(self.fixed)
+        self[piece] = ids
+        return ids
+
+
 class _Encoder:
     """The tokenizers library, asked once for each distinct pre-token."""
 
     def __init__(self, json: bytes) -> None:
-        self.library = Tokenizer.from_str(json.decode())
-        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        library = Tokenizer.from_str(json.decode())
+        special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.known: dict[str, bytes] = {}
-        self.marks = {k: np.uint32(i).tobytes() for k, i in special.items()}
-        self.alphabet = _alphabet()
+        self.known = _Pieces(library, {k: np.uint32(i).tobytes() for k, i in special.items()})
 
     def _pieces(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
@@ -185,22 +200,9 @@ class _Encoder:
             last = m.end()
         return out + pretokens.split(text[last:])
 
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """For each text its ids and the end id, as uint32 bytes."""
-        known, out, last = self.known, [], np.uint32(end).tobytes()
-        for text in texts:
-            pieces = self._pieces(text)
-            new = {p for p in pieces if p not in known}
-            if new:
-                if len(known) + len(new) > KNOWN:
-                    known.clear()
-                    new = set(pieces)
-                model, alphabet = self.library.model.tokenize, self.alphabet
-                for p in new:
-                    ids = [t.id for t in model(p.encode().decode("latin-1").translate(alphabet))]
-                    known[p] = self.marks.get(p) or np.array(ids, "<u4").tobytes()
-            out.append(b"".join([*map(known.__getitem__, pieces), last]))
-        return out
+    def encode(self, text: str, end: int) -> bytes:
+        """The text's ids and the end id, as uint32 bytes."""
+        return b"".join([*map(self.known.__getitem__, self._pieces(text)), np.uint32(end).tobytes()])
 
 
 def _alphabet() -> dict[int, str]:
@@ -235,7 +237,7 @@ def _to_shards(json: bytes, end: int, shard: int):
 
         for b in batches:
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                coded = encoder.encode([raw.decode("utf-8", "replace")], end)[0]
+                coded = encoder.encode(raw.decode("utf-8", "replace"), end)
                 docs.append(doc)
                 sizes.append(len(coded) // 4)
                 parts.append(coded)
