@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, decontaminate, main_text, media, secret_scan, simhash, warc, wavelet
+from . import byte_bpe, common, decontaminate, main_text, media, secret_scan, sharding, simhash, warc, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op4_wavelet_tokens(spark: SparkSession, sf_dir: str, tokenizer_path: str | N
     return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(common.read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_html_main_text": op3_html_main_text,
     "op4_wavelet_tokens": op4_wavelet_tokens,
+    "op5_extendible_sharding": op5_extendible_sharding,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_warc": op9_warc,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Query] = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op5_extendible_sharding": sharding.ORACLE_SQL,
     "op6_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op9_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
