@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, decontaminate, main_text, media, secret_scan, sharding, simhash, warc, wavelet
+from . import byte_bpe, common, decontaminate, language, main_text, media, secret_scan, sharding, simhash, warc, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(common.read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "lang", F.round("posterior", 6).alias("posterior"), "keep")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(common.read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -98,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op4_wavelet_tokens": op4_wavelet_tokens,
     "op5_extendible_sharding": op5_extendible_sharding,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_warc": op9_warc,
     "op10_media_columns": op10_media_columns,

@@ -1,0 +1,89 @@
+from __future__ import annotations
+
+import math
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from millrace.llm import language
+from millrace.llm.queries import QUERIES
+
+
+def test_held_out_accuracy_of_text_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train, test = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1").collect()
+    model = language.learn(train)
+    right = [model.languages[int(np.argmax(model.evidence(r.text)[0]))] == r.lang for r in test if len(r.text) > 40]
+    assert np.mean(right) > 0.98
+
+
+def brute(rows, model, pseudo):
+    """The fusion formula, row by row: rows are (id, text, declared, url, host)."""
+    ls = model.languages
+    softmax = lambda x: np.exp(x - max(x)) / np.exp(x - max(x)).sum()
+    ev = []
+    for _, text, declared, url, host in rows:
+        e = model.evidence(text or "")[0].copy()
+        for said, share in (((declared or "").split("-")[0], language.DECLARED), (language.suffix_language(url), language.SUFFIX)):
+            if said in ls:
+                e += [math.log(share if lang == said else (1 - share) / (len(ls) - 1)) for lang in ls]
+        ev.append(e)
+    p = [softmax(e) for e in ev]
+    group = lambda h: ".".join(h.split(".")[-2:]) if "." in h else h.rstrip("0123456789")
+    base = (sum(p) + pseudo / len(ls)) / (len(p) + pseudo)
+    hs, gs = defaultdict(list), defaultdict(list)
+    for (*_, h), q in zip(rows, p, strict=True):
+        if h is not None:
+            hs[h].append(q)
+            gs[group(h)].append(q)
+    gp = {g: (sum(v) + pseudo * base) / (len(v) + pseudo) for g, v in gs.items()}
+    hp = {h: (sum(v) + pseudo * gp[group(h)]) / (len(v) + pseudo) for h, v in hs.items()}
+    out = []
+    for (i, text, _, _, h), e in zip(rows, ev, strict=True):
+        q = softmax(e + np.log(hp.get(h, base)))
+        letters = sum(c.isalpha() for c in text or "")
+        out.append((i, ls[int(np.argmax(q))], round(float(max(q)), 6), bool(letters and max(q) >= language.LEAST)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most_hosts", [10, 0])
+def test_fusion_matches_brute_force(spark, most_hosts):
+    model = language.fit([("the cat and the dog went with them to there", "en"), ("le chat et le chien sont avec nous dans la rue", "fr"), ("der hund und die katze sind nicht mit dem haus", "de")])
+    rows = [(1, "the dog", "en", "http://www.a.fr/x", "www.a.fr"), (2, "le chat", None, "https://de.b.com/en/", "de.b.com"), (3, None, "de-AT", None, "src1"), (4, "", None, None, "src2")]
+    rows += [(5, "123 ###", "fr", "nonsense", None), (6, "a", "xx", "http://c.de", "www.a.fr"), (None, "die katze", None, None, "src1"), (6, "a", "xx", "http://c.de", "www.a.fr"), (8, "und die " * 30_000, "en", None, "src1")]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, url string, source string, posterior double")
+    scored = language.score(df, model, url_col="url")
+    got = language.fuse(scored, model.languages, most_hosts=most_hosts).collect()
+    assert sorted(((r.id, r.lang, round(r.posterior, 6), r.keep) for r in got), key=str) == brute(rows, model, language.PSEUDO)
+    left = language.keep(df.drop("url"), model).collect()
+    kept = {r.id for r in language.identify(df, model).collect() if r.keep}
+    assert {r.doc_id for r in left} == kept and {1, 2, 8} <= kept and not kept & {3, 4, 5} and left[0].posterior == 0.5
+
+
+def test_addresses():
+    assert [language.suffix_language(u) for u in ("https://m.x.example.net/en/25#top", "http://x.fr", "http://de.x.com/a", "ftp://x.com", None, "x", "http://u@x.es:80/q")] == ["en", "fr", "de", None, None, None, "es"]
+
+
+def test_pages(spark, sf_dir):
+    """The markup's language, the address and the host count for pages too."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("declared", F.nullif(F.regexp_extract("html", r'<html[^>]*\blang="([^"]+)"', 1), F.lit("")))
+    model = language.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = language.identify(pages, model, "page_id", "html", "declared", "url", None).join(pages.select(F.col("page_id").alias("id"), "declared"), "id").collect()
+    assert np.mean([r.lang == r.declared for r in got]) > 0.95
+
+
+def test_query_and_empty(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = QUERIES["op7_language_id"](spark, sf_dir).collect()
+    assert len(got) == docs.count()
+    model = language.learn(docs)
+    want = brute([(r.doc_id, r.text, r.lang, None, r.source) for r in docs.collect()], model, language.PSEUDO)
+    got = sorted(map(tuple, got), key=str)
+    assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-6)
+    spark.createDataFrame([], docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op7_language_id"](spark, str(tmp_path)).count() == 0
+    nolabel = spark.createDataFrame([(1, "some text", None, "s")], "doc_id long, text string, lang string, source string")
+    assert [tuple(r)[2:] for r in language.identify(nolabel).collect()] == [(None, 0.0, False)]
