@@ -269,6 +269,12 @@ def decode(tokens: DataFrame, ranks: bytes, id_col: str = "id", ids_col: str = "
     return rows.mapInArrow(run, "id long, ids array<int>, decoded binary")
 
 
+def digests(decoded: DataFrame) -> DataFrame:
+    """(id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256) of decode()'s rows."""
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")
+    return decoded.select("id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def vocabulary(spark: SparkSession, ranks: bytes) -> DataFrame:
     """The token-byte table (token, bytes) as a DataFrame, for joins in SQL."""
     return spark.createDataFrame([(k, bytearray(v)) for k, v in token_bytes(ranks).items()], "token int, bytes binary")

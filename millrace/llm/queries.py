@@ -29,12 +29,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
     ranks = byte_bpe.read_ranks(ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     back = byte_bpe.decode(byte_bpe.encode(common.read(spark, sf_dir, "documents"), ranks), ranks)
-    return back.select(
-        F.col("id").alias("doc_id"),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return byte_bpe.digests(back).withColumnRenamed("id", "doc_id")
 
 
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
