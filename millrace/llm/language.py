@@ -83,7 +83,10 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """A model fitted on the bounded sample; see above."""
     size = F.char_length(text_col)
     labelled = docs.filter(F.col(lang_col).isNotNull() & (F.trim(lang_col) != "") & (size >= 50) & (size <= 20_000))
-    rows = labelled.select(F.col(text_col).alias("t"), F.lower(F.trim(lang_col)).alias("l"), F.xxhash64(id_col, text_col).alias("h")).orderBy("h", "t").limit(sample)
+    rows = labelled.select(F.col(text_col).alias("t"), F.lower(F.trim(lang_col)).alias("l"), F.xxhash64(id_col, text_col).alias("h"))
+    # of each task no more than its share of the smallest hashes is sorted and sent, so the driver gets about 2 * sample rows
+    share = min(1.0, 2 * sample / max(1, labelled.count()))
+    rows = rows.filter(F.col("h") <= int(-(2**63) + share * (2**64 - 1) * (1 - 1e-12))).orderBy("h", "t").limit(sample)
     return fit([(r.t, r.l) for r in rows.collect()])
 
 
