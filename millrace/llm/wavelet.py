@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ from tokenizers import Tokenizer
 from . import common, pretokens
 
 MAGIC = b"MWM1"
-SHARD, KNOWN = 1 << 21, 400_000
+SHARD, KNOWN = 1 << 19, 600_000
 _LEVEL = 1
 
 
@@ -168,11 +169,13 @@ class _Pieces(dict):
     def __init__(self, library: Tokenizer, fixed: dict[str, bytes]) -> None:
         super().__init__(fixed)
         self.model, self.alphabet, self.fixed, self.older = library.model.tokenize, _alphabet(), fixed, {}
+        self.space = self.alphabet[32]  # of printable ASCII only the space is shown as another character
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = np.array([t.id for t in self.model(piece.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
+            shown = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
+            ids = array("I", [t.id for t in self.model(shown)]).tobytes()
         if len(self) >= KNOWN:
             self.older = dict(self)
             self.clear()
