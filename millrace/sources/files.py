@@ -216,7 +216,7 @@ def parse_markdown(df: DataFrame, value: str = "value") -> DataFrame:
     """df with the cells of each markdown table line; rulers and other lines are left out."""
     line = F.trim(value)
     rows = df.filter(line.rlike(r"^\|.*\|$") & ~line.rlike(r"^\|(?:\s*:?-+:?\s*\|)+$"))
-    return rows.withColumn("cells", F.transform(F.split(F.substring(line, F.lit(2), F.length(line) - 2), r"\|"), F.trim))
+    return rows.withColumn("cells", F.transform(F.split(F.substring(line, F.lit(2), F.length(line) - 2), r"\|"), lambda c: F.trim(c)))
 
 
 def text_lines(df: DataFrame, text: str) -> DataFrame:
