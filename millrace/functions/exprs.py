@@ -12,12 +12,21 @@ from pyspark.sql import types as T
 SYMBOLS = r"[$,€£¥%\s]"
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y", "t"), ("false", "0", "no", "n", "f")
 
-#: Date formats in the order in which they are tried: ISO, month first, day first, named months; missing parts are the first.
-DATE_FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy/M/d", "yyyy/M/d H:mm:ss", "yyyy-M-d",
-    "M/d/yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy", "M/d/yy", "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM yyyy", "MMMM d, yyyy",
-    "MMM yyyy", "MMM-yyyy", "MMMM yyyy", "yyyy-MM", "yyyyMMdd",
-)
+#: Shapes of dates and the formats that fit them, in the order in which they are tried: ISO, month first, day first, named
+#: months; missing parts are the first. Text of no shape costs one test and no parsing.
+DATE_SHAPES = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}", ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-M-d")),
+    (r"^\d{4}/\d{1,2}/\d{1,2}", ("yyyy/M/d", "yyyy/M/d H:mm:ss")),
+    (r"^\d{1,2}/\d{1,2}/\d{4}", ("M/d/yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "d/M/yyyy")),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", ("M/d/yy",)),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy", "d-M-yyyy")),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ("M.d.yyyy", "d.M.yyyy")),
+    (r"^\d{1,2}[ -][A-Za-z]{3,9}[ -]\d{4}$", ("d MMM yyyy", "d-MMM-yyyy", "d MMMM yyyy")),
+    (r"^[A-Za-z]{3,9} \d{1,2},? \d{4}$", ("MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMMM d yyyy")),
+    (r"^[A-Za-z]{3,9}[ -]\d{4}$", ("MMM yyyy", "MMM-yyyy", "MMMM yyyy")),
+    (r"^\d{4}-\d{2}$", ("yyyy-MM",)),
+    (r"^\d{8}$", ("yyyyMMdd",)),
+)
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -75,10 +84,14 @@ def to_boolean(c: Column) -> Column:
 
 def to_timestamp(c: Column) -> Column:
     """The first format that fits; to the second."""
-    # month names in any case; the T of ISO times stays upper case
+    # month names in any case; the T of ISO times stays upper case; fractions of seconds go
     text = F.regexp_replace(F.initcap(F.trim(c.cast("string"))), r"(\d)t(\d)", "$1T$2")
-    parsed = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS))
-    return F.date_trunc("second", parsed)
+    text = F.regexp_replace(text, r"(:\d{2})\.\d+", "$1")
+    found = F.lit(None).cast("timestamp")
+    for shape, formats in reversed(DATE_SHAPES):
+        parsed = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))
+        found = F.when(text.rlike(shape), parsed).otherwise(found)
+    return F.date_trunc("second", found)
 
 
 def as_timestamp(df: DataFrame, name: str) -> Column:

@@ -91,12 +91,18 @@ def before_after(df: DataFrame, date: str, value: str, split: str) -> DataFrame:
     return rows.groupBy("phase").agg(_sum(F.col("v")).alias("total"), F.avg("v").alias("average"), F.count("v").alias("records"))
 
 
-def statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+def quantiles(c: Column, shares: tuple[float, ...], exact: bool = True) -> Column:
+    """Interpolated quantiles. Exact ones keep a count of each distinct value; else a sketch of fixed size (error 1e-5) does."""
+    points = F.array(*map(F.lit, shares))
+    return F.percentile(c, points) if exact else F.percentile_approx(c, points, 100_000)
+
+
+def statistics(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """(column, count, mean, median, std, min, max, q1, q3, iqr, skew) of each column, from one aggregation."""
     parts = []
     for c in columns:
         x = exprs.finite(F.col(f"`{c}`").cast("double"))
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = quantiles(x, (0.25, 0.5, 0.75), exact)
         parts.append(
             F.struct(
                 F.lit(c).alias("column"), F.count(x).alias("count"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.get(q, F.lit(1)), F.lit(0.0)).alias("median"), F.coalesce(F.when(F.count(x) > 1, F.stddev_samp(x)), F.lit(0.0)).alias("std"),
@@ -118,29 +124,29 @@ def histogram(df: DataFrame, column: str, most: int = 10) -> DataFrame:
     return frame.join(placed, "bin", "left").select("bin", (F.col("a") + F.col("bin") * F.col("w")).alias("low"), (F.col("a") + (F.col("bin") + 1) * F.col("w")).alias("high"), F.coalesce("n", F.lit(0)).alias("records")).orderBy("bin")
 
 
-def fences(df: DataFrame, column: str, method: str = "iqr", multiplier: float = 1.5, z: float = 2.5) -> DataFrame:
+def fences(df: DataFrame, column: str, method: str = "iqr", multiplier: float = 1.5, z: float = 2.5, exact: bool = True) -> DataFrame:
     """One row (low, high, usable) of bounds beyond which values are outliers; not usable: no spread for z-scores."""
     x = F.col(f"`{column}`").cast("double")
     if method == "zscore":
         stats = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
         ok = F.coalesce(F.col("s") > 0, F.lit(False))
         return stats.select(F.when(ok, F.col("m") - z * F.col("s")).otherwise(0.0).alias("low"), F.when(ok, F.col("m") + z * F.col("s")).otherwise(0.0).alias("high"), ok.alias("usable"))
-    q = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b"))
+    q = df.agg(quantiles(x, (0.25, 0.75), exact).alias("q")).select(F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b"))
     reach = multiplier * (F.col("b") - F.col("a"))
     return q.select((F.col("a") - reach).alias("low"), (F.col("b") + reach).alias("high"), F.lit(True).alias("usable"))
 
 
-def flag_outliers(df: DataFrame, column: str, method: str = "iqr", multiplier: float = 1.5, z: float = 2.5) -> DataFrame:
+def flag_outliers(df: DataFrame, column: str, method: str = "iqr", multiplier: float = 1.5, z: float = 2.5, exact: bool = True) -> DataFrame:
     """df with low, high and _is_outlier; the bounds come from a one-row aggregate that is broadcast."""
     x = F.col(f"`{column}`").cast("double")
-    bounds = fences(df, column, method, multiplier, z).toDF("_low", "_high", "_usable")
+    bounds = fences(df, column, method, multiplier, z, exact).toDF("_low", "_high", "_usable")
     beyond = F.coalesce(F.col("_usable") & ((x < F.col("_low")) | (x > F.col("_high"))), F.lit(False))
     return df.crossJoin(F.broadcast(bounds)).withColumn("_is_outlier", beyond).drop("_usable")
 
 
-def outlier_summary(df: DataFrame, column: str, method: str = "iqr", multiplier: float = 1.5, z: float = 2.5) -> DataFrame:
+def outlier_summary(df: DataFrame, column: str, method: str = "iqr", multiplier: float = 1.5, z: float = 2.5, exact: bool = True) -> DataFrame:
     """One row (valid, rows, outliers, outlier_pct of all rows, low, high, extreme)."""
-    flagged = flag_outliers(df, column, method, multiplier, z)
+    flagged = flag_outliers(df, column, method, multiplier, z, exact)
     x = F.col(f"`{column}`").cast("double")
     hit = F.col("_is_outlier")
     agg = flagged.agg(F.count(x).alias("valid"), F.count("*").alias("rows"), F.count_if(hit).alias("outliers"), F.first("_low").alias("low"), F.first("_high").alias("high"), F.max(F.when(hit, x)).alias("most"), F.min(F.when(hit, x)).alias("least"))

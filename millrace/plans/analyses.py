@@ -172,7 +172,7 @@ class Comparison(Analysis):
 
 
 class SummaryStats(Analysis):
-    """Descriptive statistics of all numeric columns in one pass. options: include_quartiles."""
+    """Descriptive statistics of all numeric columns in one pass. options: include_quartiles, exact (default)."""
 
     name = "summary_stats"
 
@@ -182,7 +182,7 @@ class SummaryStats(Analysis):
         columns = [c for c in options.get("target_columns") or [] if c in known] or known
         if not columns:
             raise AnalysisValidationError("summary statistics need a numeric column")
-        stats = agg.statistics(df, columns)
+        stats = agg.statistics(df, columns, bool(options.get("exact", True)))
         rows = stats.collect()  # one row a column
         s = rows[0]
         if not s["count"]:
@@ -206,7 +206,7 @@ class SummaryStats(Analysis):
 
 
 class Outliers(Analysis):
-    """Rows beyond fences. options: method iqr (default; multiplier 1.5) or zscore (z_threshold 2.5)."""
+    """Rows beyond fences. options: method iqr (default; multiplier 1.5) or zscore (z_threshold 2.5); exact (default) quantiles."""
 
     name = "outlier_detection"
 
@@ -214,7 +214,7 @@ class Outliers(Analysis):
         _not_empty(df, "outlier detection")
         column = metric(df, options, "outlier detection")
         method = "zscore" if str(options.get("method", "iqr")).lower() == "zscore" else "iqr"
-        how = {"method": method, "multiplier": float(options.get("multiplier", 1.5)), "z": float(options.get("z_threshold", 2.5))}
+        how = {"method": method, "multiplier": float(options.get("multiplier", 1.5)), "z": float(options.get("z_threshold", 2.5)), "exact": bool(options.get("exact", True))}
         s = agg.outlier_summary(df, column, **how).first()
         if s.valid < 4:
             raise AnalysisValidationError(f"outlier detection needs at least 4 values in column {column!r}, which has {s.valid}")

@@ -78,6 +78,7 @@ def test_outliers(spark):
     assert r.metadata["outlier_count"] == 2 and (r.metadata["lower_bound"], r.metadata["upper_bound"]) == (9.4, 10.8)
     assert run(df, "outlier_detection", options={"method": "zscore", "z_threshold": 2.0}).metadata["outlier_count"] == 1
     assert run(spark.createDataFrame([(1.0,)] * 5, "v double"), "outlier_detection", options={"method": "zscore"}).metadata["outlier_count"] == 0
+    assert run(df, "outlier_detection", options={"exact": False}).metadata["outlier_count"] == 2
     assert {x["response_time"] for x in r.to_dict()["table_data"]} == {500.0, -100.0}
 
 
