@@ -92,8 +92,8 @@ def _verified(of_docs: DataFrame, of_items: DataFrame, items: DataFrame) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that hold a benchmark item; all columns."""
-    found = overlaps(docs, benchmark, id_col, text_col).select(F.col("id").alias("_leak")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+    found = overlaps(docs, benchmark, id_col, text_col).select(F.col("id").alias("__mr_leak")).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__mr_leak")), "left_anti")
 
 
 ORACLE_SQL = """

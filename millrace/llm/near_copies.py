@@ -117,9 +117,9 @@ def _verified(edges: DataFrame, docs: DataFrame, prints: DataFrame, text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
     used = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "row")
-    wanted = prints.join(used, "row").select(F.col("row").alias("node"), F.col("id").alias("_id"), F.col("mark").alias("_mark"))
+    wanted = prints.join(used, "row").select(F.col("row").alias("node"), F.col("id").alias("__mr_id"), F.col("mark").alias("__mr_mark"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), common.utf8(text_col).alias("t"))
-    texts = texts.join(wanted, texts.id.eqNullSafe(wanted._id) & (texts.mark == wanted._mark)).select("node", "t").dropDuplicates(["node"])
+    texts = texts.join(wanted, texts.id.eqNullSafe(wanted.__mr_id) & (texts.mark == wanted.__mr_mark)).select("node", "t").dropDuplicates(["node"])
     own = common.settle(texts.mapInArrow(sets, "node long, own binary"), "sets")
     left = edges.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
     full = left.join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
@@ -149,11 +149,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     marks = found.groupBy("component", "id", "mark").agg(F.count("*").alias("n"))
     first = found.groupBy("component").agg(F.min(order).alias("f"), F.count("*").alias("all")).filter("all > 1")
     in_groups = marks.join(first, "component").withColumn("stays", F.col("id").eqNullSafe(F.col("f.id")) & (F.col("mark") == F.col("f.mark")))
-    out = common.settle(in_groups.filter("not stays or n > 1").select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "stays"), "out")
+    out = common.settle(in_groups.filter("not stays or n > 1").select(F.col("id").alias("__mr_id"), F.col("mark").alias("__mr_mark"), "stays"), "out")
     n = out.agg(F.count("*").alias("all"), F.count_if("stays").alias("again")).first()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_mark"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__mr_id")) & (F.xxhash64(text_col) == F.col("__mr_mark"))
     left = docs.join(F.broadcast(out) if n["all"] <= MOST_OUT else out, same, "left_anti")
     if n["again"]:  # rows that repeat whole: one of them stays
-        kept = docs.join(out.filter("stays"), same, "left_semi").withColumn("_mark", F.xxhash64(text_col))
-        left = left.union(kept.dropDuplicates([id_col, "_mark"]).drop("_mark"))
+        kept = docs.join(out.filter("stays"), same, "left_semi").withColumn("__mr_mark", F.xxhash64(text_col))
+        left = left.union(kept.dropDuplicates([id_col, "__mr_mark"]).drop("__mr_mark"))
     return left
