@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 from typing import Any
 
@@ -62,6 +63,20 @@ def containment(a: DataFrame, b: DataFrame, column: str) -> float:
     return left.join(right, "v", "left_semi").count() / n if n else 0.0
 
 
+def search_catalogue(catalogue: list[dict[str, Any]], query: str) -> list[dict[str, Any]]:
+    """The columns whose name or type holds the query, case aside."""
+    low = query.lower()
+    return [c for c in catalogue if low in c["header"].lower() or low in c["inferred_type"].lower()]
+
+
+def category_cardinality(profiles: list[TableProfile]) -> int:
+    """Distinct trimmed values over the category columns of all tables."""
+    parts = [p.rows.select(F.trim(F.col(f"`{c.header}`").cast("string")).alias("v")) for p in profiles for c in p.of_type("category")]
+    if not parts:
+        return 0
+    return reduce(DataFrame.union, parts).filter("v <> ''").agg(F.count_distinct("v")).first()[0]
+
+
 def compose(profiles: list[TableProfile], unparsed: int = 0) -> Composition:
     """One summary of all profiles; it counts their findings."""
     cells = sum(p.total_rows * len(p.columns) for p in profiles)

@@ -231,3 +231,11 @@ def grain(p: TableProfile) -> str:
     if key.unique_count == detail:
         return f"one row for each of {detail} distinct {key.header!r}"
     return f"rows of {key.header!r}: {key.unique_count} distinct values in {detail} rows"
+
+
+def summary(p: TableProfile, shown: int = 5) -> str:
+    """A text for people: size, grain, types, roles and the first mismatches."""
+    kinds = ", ".join(f"{c.header} ({c.inferred_type})" for c in p.columns)
+    lines = [f"{p.name}: {p.total_rows} rows, {len(p.columns)} columns; {p.grain}.", f"Columns: {kinds}.", "Roles: " + ", ".join(f"{n} {r}" for r, n in sorted(p.role_counts.items())) + "."]
+    lines += [f"Row {m.row_index}, {m.column}: {m.source_value:g} stands for {m.recomputed_value:g}." for m in p.mismatches.orderBy("row_index").limit(shown).collect()]
+    return "\n".join(lines)

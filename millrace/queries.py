@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import exprs
 from .operators import align as al
-from .operators import compose, profile, rows
+from .operators import compose, joins, profile, rows
 from .operators.filters import FilterRule, apply
 from .plans import aggregates as agg
 from .sources import files, textual
@@ -446,3 +446,22 @@ def join_tables(spark, sf_dir):
     orders = apply(_t(spark, sf_dir, "orders"), [FilterRule("o_totalprice", "range", "150000.0001..")])
     customers, nations = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
     return orders.join(customers, orders.o_custkey == customers.c_custkey).join(nations, customers.c_nationkey == nations.n_nationkey).select("o_orderkey", "c_name", "n_name")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+def join_anti(spark, sf_dir):
+    rich = _t(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("s_nationkey")).distinct()
+    return joins.equi(_t(spark, sf_dir, "supplier"), rich, ["s_nationkey"], "left_anti").select("s_suppkey")
+
+
+@query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice BETWEEN s_acctbal - 2 AND s_acctbal + 2")
+def join_range(spark, sf_dir):
+    ranges = _t(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 2).alias("low"), (F.col("s_acctbal") + 2).alias("high"))
+    return joins.in_range(_t(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), ranges, "p_retailprice", "low", "high", 4.0).select("p_partkey", "s_suppkey")
+
+
+@query("SELECT a.event_id, b.event_id AS purchase FROM (SELECT * FROM events WHERE event_type <> 'purchase') a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) b ON a.user_id = b.user_id AND a.ts >= b.ts")
+def join_as_of(spark, sf_dir):
+    events = _t(spark, sf_dir, "events")
+    bought = events.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("purchase"))
+    return joins.as_of(events.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, "ts", ["user_id"], ["purchase"]).select("event_id", "purchase")

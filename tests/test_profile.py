@@ -38,7 +38,9 @@ def test_budget(spark):
     assert [c.chart_type for c in plan.charts] == ["kpi", "line", "mismatch", "anomaly"] and plan.highlight_anomalies
     line = layout.line_data(p, plan.charts[1]).collect()
     assert (line[0].series, line[0].period, line[0].value) == ("North", "2026-01", 10.0)
+    assert "Row 4, Total: 7 stands for 6." in profile.summary(p)
     c = compose.compose([p])
+    assert [x["header"] for x in compose.search_catalogue(c.unified_columns, "NUMERIC")] == ["Total"]
     assert c.total_records == 10 and c.health_score < 80 and c.unified_columns[0]["total_count"] == 10
 
 
@@ -47,6 +49,7 @@ def test_negatives_and_bars(spark):
     p = profile.profile(table(spark, text.replace('{"a"', '{"a"')), "t")
     assert [c.inferred_type for c in p.columns] == ["category", "currency", "percentage", "boolean", "date", "complex"]
     assert [(a.row_index, a.raw_value) for a in p.anomalies.filter("anomaly_type like 'neg%'").collect()] == [(19, "-$5")]
+    assert compose.category_cardinality([p, p]) == 3 and layout.kpis([p])["rows"] == 20
     plan = layout.plan([p])
     assert plan.charts[1].chart_type == "bar_horizontal" and layout.bar_data(p, plan.charts[1]).count() == 20
 
@@ -98,3 +101,14 @@ def test_composition():
     assert compose.shared_keys({"users": {"user_id", "name"}, "orders": {"order_id", "user_id", "total"}}) == [{"table_a": "users", "table_b": "orders", "matching_column": "user_id", "type": "shared_key"}]
     assert compose.can_unify([{"a", "b", "c"}, {"a", "b", "c", "d"}]) and not compose.can_unify([{"a", "b"}, {"a"}])
     assert compose.health(100, 10, 2, 1, 3) == 82.5 and compose.completeness(0, 0) == 100 and compose.health(1, 1, 99, 99, 99) == 10.0
+
+
+def test_joins(spark):
+    from millrace.operators import joins
+
+    a = spark.createDataFrame([(1, 10, "x"), (1, 20, "y"), (2, 5, "z"), (3, 1, "w")], "k int, t int, v string")
+    b = spark.createDataFrame([(1, 9, 0.5), (1, 20, 0.7), (2, 6, 0.9)], "k int, t int, q double")
+    assert {(r.v, r.q) for r in joins.as_of(a, b, "t", ["k"], ["q"]).collect()} == {("x", 0.5), ("y", 0.7), ("z", None), ("w", None)}
+    assert joins.equi(a, b.select("k").distinct(), ["k"], "left_anti").count() == 1 and joins.equi(a, b.select("k", "q"), ["k"], "full").count() == 6
+    ranges = spark.createDataFrame([("r", 4, 12), ("s", 20, 20), ("t", 30, 10)], "name string, lo int, hi int")
+    assert {(r.v, r.name) for r in joins.in_range(a, ranges, "t", "lo", "hi", 5).collect()} == {("x", "r"), ("z", "r"), ("y", "s")}
