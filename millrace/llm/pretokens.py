@@ -17,7 +17,8 @@ LETTER, NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\x
 
 
 def _pattern(letter: str, number: str) -> str:
-    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+    """PATTERN with its classes spelt out; the alternatives that most pieces take come first, which no piece can tell."""
+    return rf" ?[{letter}]++| ?[{number}]++|'(?:[stmd]|re|ve|ll)| ?[^{SPACE}{letter}{number}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]++"
 
 
 _latin: Callable[[str], list[str]] = re.compile(_pattern(LETTER, NUMBER)).findall

@@ -238,19 +238,20 @@ def _to_shards(json: bytes, end: int, shard: int):
             ids = np.frombuffer(b"".join(parts), "<u4")
             return _table([(part, number, offset, len(ids), len(docs), dump(ids, docs, sizes))])
 
-        for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                coded = encoder.encode(raw.decode("utf-8", "replace"), end)
-                docs.append(doc)
-                sizes.append(len(coded) // 4)
-                parts.append(coded)
-                filled += sizes[-1]
-                if filled >= shard:
-                    yield close()
-                    number, offset = number + 1, offset + filled
-                    docs, sizes, parts, filled = [], [], [], 0
-        if docs:
-            yield close()
+        with common.uncollected():
+            for b in batches:
+                for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    coded = encoder.encode(raw.decode("utf-8", "replace"), end)
+                    docs.append(doc)
+                    sizes.append(len(coded) // 4)
+                    parts.append(coded)
+                    filled += sizes[-1]
+                    if filled >= shard:
+                        yield close()
+                        number, offset = number + 1, offset + filled
+                        docs, sizes, parts, filled = [], [], [], 0
+            if docs:
+                yield close()
 
     return run
 
