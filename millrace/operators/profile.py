@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from . import periods
-from .align import ROW, visible
+from .align import ROW, head, visible
 from .rows import with_row_index
 
 # Words of total rows, headers of computed columns, characters that cells may hold, currency signs, date shapes.
@@ -199,12 +199,12 @@ def profile(df: DataFrame, name: str = "table", exact: bool = True, label_column
     names = visible(df)
     time = periods.detect(names)
     rows = df.withColumn("_row_role", row_role(names, label_columns))
-    head = (df.orderBy(ROW)).select(*(F.col(f"`{c}`") for c in names)).limit(50).collect()
+    first = head(df, 50).select(*(F.col(f"`{c}`") for c in names)).collect()
     columns = []
     for s in signals(df, names, exact):
         c = s["column"]
         kind, sure = decide(s, c in time.columns)
-        samples = [r[c] for r in head if r[c] is not None and str(r[c]).strip()][:5]
+        samples = [r[c] for r in first if r[c] is not None and str(r[c]).strip()][:5]
         stand_out = kind in ("numeric", "currency") and s["numbers"] > 0 and s["positive"] / s["numbers"] >= POSITIVE and s["low"] < 0
         columns.append(ColumnProfile(c, kind, sure, s["rows"] - s["total"], s["unique"], is_computed(c), samples, stand_out))
     counts = {r._row_role: r["count"] for r in rows.groupBy("_row_role").count().collect()}

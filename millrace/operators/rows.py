@@ -14,19 +14,20 @@ _LOW = (1 << 33) - 1
 
 
 def with_row_index(df: DataFrame) -> DataFrame:
-    """df with _row_index 0, 1, 2 ... in its order: partition offsets (one number each) are summed on the driver, rows stay put."""
+    """df with _row_index 0, 1, 2 ... in its order: partition offsets (one number each) are summed on the driver
+    and broadcast, rows stay put."""
     if ROW in df.columns:
         return df
     marked = df.withColumn("_mark", F.monotonically_increasing_id())
-    counts = marked.groupBy(F.shiftright("_mark", 33).alias("p")).agg(F.count("*").alias("n")).collect()
+    counts = marked.groupBy(F.shiftright("_mark", 33).alias("_part")).agg(F.count("*").alias("n")).collect()
     offset, offsets = 0, []
     for r in sorted(counts):
-        offsets += [F.lit(r.p), F.lit(offset)]
+        offsets.append((r._part, offset))
         offset += r.n
-    if not offsets:
-        return df.withColumn(ROW, F.lit(None).cast("long"))
-    start = F.element_at(F.create_map(*offsets), F.shiftright("_mark", 33))
-    return marked.withColumn(ROW, (start + F.col("_mark").bitwiseAND(F.lit(_LOW))).cast("long")).drop("_mark")
+    starts = df.sparkSession.createDataFrame(offsets, "_part long, _start long")  # one row a partition
+    joined = marked.withColumn("_part", F.shiftright("_mark", 33)).join(F.broadcast(starts), "_part")
+    index = F.col("_start") + F.col("_mark").bitwiseAND(F.lit(_LOW))
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), index.alias(ROW))
 
 
 def drop_empty(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators.align import ROW, visible
+from ..operators.align import head, visible
 from . import aggregates as agg
 from .base import Analysis, AnalysisResult, AnalysisValidationError, Chart, Kpi, date_column, growth_pct, metric, money, named, numeric, register, title
 
@@ -28,10 +28,6 @@ def _not_empty(df: DataFrame, purpose: str) -> None:
         raise AnalysisValidationError(f"{purpose} needs rows")
 
 
-def _head(df: DataFrame, n: int) -> DataFrame:
-    return (df.orderBy(ROW) if ROW in df.columns else df).limit(n)
-
-
 def _series(name: str, data: list[Any], kind: str) -> dict[str, Any]:
     return {"name": name, "data": data, "type": kind}
 
@@ -84,7 +80,7 @@ class Sales(Analysis):
                 growth = growth_pct(totals[at], totals[-1])
                 kpis.append(Kpi("Period Growth", round(growth, 1), f"{growth:+.1f}%", round(growth, 1), f"{months[at].period} to {months[-1].period}"))
                 findings.append(f"{title(value)} changed by {growth:+.1f}% from {months[at].period} to {months[-1].period}.")
-        return AnalysisResult(self.name, summary, findings, kpis, charts, _head(df, 20).select(*visible(df)), {"revenue_column": value, "category_column": category, "date_column": date, "row_count": whole.records})
+        return AnalysisResult(self.name, summary, findings, kpis, charts, head(df, 20).select(*visible(df)), {"revenue_column": value, "category_column": category, "date_column": date, "row_count": whole.records})
 
 
 class Trend(Analysis):
@@ -229,7 +225,7 @@ class Outliers(Analysis):
             findings.append(f"The most extreme value is {s.extreme:,.2f}.")
         charts = [Chart("pie", f"Outliers of {column}", ["Normal Records", "Flagged Outliers"], [_series("Record Count", [normal, s.outliers], "pie")])]
         flagged = agg.flag_outliers(df, column, **how).filter("_is_outlier")
-        table = _head(flagged, 25).select(*visible(df), "_is_outlier")
+        table = head(flagged, 25).select(*visible(df), "_is_outlier")
         summary = f"{s.outliers or 'No'} outlier(s) in {column} by {method.upper()}; the normal range is [{s.low:,.2f}, {s.high:,.2f}]."
         return AnalysisResult(self.name, summary, findings, kpis, charts, table, {"target_column": column, "method": method, "lower_bound": round(s.low, 4), "upper_bound": round(s.high, 4), "outlier_count": s.outliers, "outlier_pct": s.outlier_pct})
 
