@@ -195,3 +195,10 @@ def keep(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     """docs without those that are rejected; all columns."""
     bad = identify(docs, model, id_col, text_col, declared_col, None, host_col).filter(~F.col("keep")).select(F.col("id").alias("__mr_id"), F.col("mark").alias("__mr_mark")).distinct()
     return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__mr_id")) & (F.xxhash64(text_col) == F.col("__mr_mark")), "left_anti")
+
+
+def page_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """pages with text (the page without tags, scripts and styles) and declared (the language that its markup names)."""
+    bare = F.regexp_replace(F.coalesce(html_col, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    named = F.nullif(F.regexp_extract(html_col, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit(""))
+    return pages.withColumns({"text": bare, "declared": named})

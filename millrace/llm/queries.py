@@ -64,6 +64,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "lang", F.round("posterior", 6).alias("posterior"), "keep")
 
 
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where all its evidence exists: pages with markup, address and host."""
+    model = language.learn(common.read(spark, sf_dir, "documents"))
+    pages = language.page_rows(common.read(spark, sf_dir, "pages"))
+    found = language.identify(pages, model, "page_id", "text", "declared", "url", None)
+    return found.select(F.col("id").alias("page_id"), "lang", F.round("posterior", 6).alias("posterior"), "keep")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(common.read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -99,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op5_extendible_sharding": op5_extendible_sharding,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_language_id": op7_language_id,
+    "language_id_pages": language_id_pages,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_warc": op9_warc,
     "op10_media_columns": op10_media_columns,

@@ -67,12 +67,12 @@ def test_addresses():
 
 def test_pages(spark, sf_dir):
     """The markup's language, the address and the host count for pages too."""
-    from pyspark.sql import functions as F
-
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("declared", F.nullif(F.regexp_extract("html", r'<html[^>]*\blang="([^"]+)"', 1), F.lit("")))
-    model = language.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    got = language.identify(pages, model, "page_id", "html", "declared", "url", None).join(pages.select(F.col("page_id").alias("id"), "declared"), "id").collect()
-    assert np.mean([r.lang == r.declared for r in got]) > 0.95
+    pages = language.page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    declared = {r.page_id: r.declared for r in pages.collect()}
+    got = QUERIES["language_id_pages"](spark, sf_dir).collect()
+    assert len(got) == len(declared) and np.mean([r.lang == declared[r.page_id] for r in got]) > 0.95
+    odd = spark.createDataFrame([("<HTML class=x LANG='de-AT'><script>x</script>a<!-- b -->c",), (None,), ("<p lang=fr>",)], "html string")
+    assert [(r.text.split(), r.declared) for r in language.page_rows(odd).collect()] == [(["a", "c"], "de"), ([], None), ([], None)]
 
 
 def test_query_and_empty(spark, sf_dir, tmp_path):
