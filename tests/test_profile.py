@@ -112,3 +112,21 @@ def test_joins(spark):
     assert joins.equi(a, b.select("k").distinct(), ["k"], "left_anti").count() == 1 and joins.equi(a, b.select("k", "q"), ["k"], "full").count() == 6
     ranges = spark.createDataFrame([("r", 4, 12), ("s", 20, 20), ("t", 30, 10)], "name string, lo int, hi int")
     assert {(r.v, r.name) for r in joins.in_range(a, ranges, "t", "lo", "hi", 5).collect()} == {("x", "r"), ("z", "r"), ("y", "s")}
+
+
+def test_partitioning_changes_nothing(spark, sf_dir):
+    from millrace.plans import aggregates as agg
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id as _row_index", "ts", "event_type", "cast(value as decimal(18,2)) as value", "'detail' as _row_role").filter("_row_index < 3000")
+
+    def results(df):
+        yield sorted(map(tuple, agg.buckets(df, "ts", "value", "W").collect()))
+        yield list(map(tuple, agg.segments(df, "event_type", "value").collect()))
+        yield sorted(map(tuple, profile.duplicates(df, ["event_type", "value"]).collect()))
+        yield sorted(map(tuple, profile.blank_runs(df.selectExpr("_row_index", "case when value > 30 then 1 end as v"), ["v"]).collect()))
+        yield [sorted(s.items()) for s in profile.signals(df, ["event_type", "value"])]
+        yield list(map(tuple, agg.statistics(df, ["value"]).select("count", "median", "q1", "min", "max").collect()))
+
+    one, many = events.coalesce(1), events.repartition(13, "value")
+    for a, b in zip(results(one), results(many), strict=True):
+        assert a == b
