@@ -28,8 +28,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
     ranks = byte_bpe.read_ranks(ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    back = byte_bpe.decode(byte_bpe.encode(common.read(spark, sf_dir, "documents"), ranks), ranks)
-    return byte_bpe.digests(back).withColumnRenamed("id", "doc_id")
+    return byte_bpe.digests(byte_bpe.round_trip(common.read(spark, sf_dir, "documents"), ranks)).withColumnRenamed("id", "doc_id")
 
 
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,11 @@ def test_query(spark, sf_dir, tmp_path, library):
     assert {r.doc_id: tuple(r)[1:] for r in got} == want
     small = byte_bpe.encode(spark.read.parquet(f"{tmp_path}/documents.parquet"), byte_bpe.read_ranks(PATH), block=20_000, chunk=2_000)
     assert {r.id: (len(r.ids), hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()) for r in small.collect()} == {i: w[:2] for i, w in want.items()}
+    ranks = byte_bpe.read_ranks(PATH)
+    back = byte_bpe.decode(byte_bpe.encode(spark.read.parquet(f"{tmp_path}/documents.parquet"), ranks), ranks)
+    assert {tuple(r)[1:] for r in byte_bpe.digests(back).collect()} == set(want.values())
+    lone = spark.createDataFrame([(1, None), (2, [])], "id long, ids array<int>")
+    assert [bytes(r.decoded) for r in byte_bpe.decode(lone, ranks).collect()] == [b"", b""]
 
 
 def test_empty_table_and_vocabulary(spark, tmp_path):
