@@ -66,6 +66,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys (id and hash) up to which a settled table is broadcast: 24 bytes each, some 100 MB in memory.
+MOST_KEYS = 1_000_000
+
+
+def settle_keys(df: DataFrame, name: str, most: int = MOST_KEYS) -> DataFrame:
+    """df settled, and marked for broadcast if its rows, now counted, are few; else joins shuffle."""
+    out = settle(df, name)
+    return F.broadcast(out) if out.count() <= most else out
+
+
 def utf8(c: str) -> Column:
     """The column's text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")

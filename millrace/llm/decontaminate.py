@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: The masks' offsets; any 11 of 13 successive words contain one of them.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN, WINDOW, LEAST = 8, 13, 11
@@ -93,6 +95,7 @@ def _verified(of_docs: DataFrame, of_items: DataFrame, items: DataFrame) -> Data
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that hold a benchmark item; all columns."""
     found = overlaps(docs, benchmark, id_col, text_col).select(F.col("id").alias("__mr_leak")).distinct()
+    found = common.settle_keys(found, "leaks")
     return docs.join(found, F.col(id_col).eqNullSafe(F.col("__mr_leak")), "left_anti")
 
 

@@ -194,6 +194,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 def keep(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
     """docs without those that are rejected; all columns."""
     bad = identify(docs, model, id_col, text_col, declared_col, None, host_col).filter(~F.col("keep")).select(F.col("id").alias("__mr_id"), F.col("mark").alias("__mr_mark")).distinct()
+    bad = common.settle_keys(bad, "rejected")
     return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__mr_id")) & (F.xxhash64(text_col) == F.col("__mr_mark")), "left_anti")
 
 

@@ -28,7 +28,7 @@ from . import common, simhash
 
 SHINGLE, LEAST = 5, 0.8
 SKETCHES, PICKS = 16, 4
-_CHUNK = 1 << 15
+_CHUNK = 1 << 13
 _ORDERS = np.random.default_rng(17).integers(1, 1 << 63, (2, SKETCHES * PICKS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -138,10 +138,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     return prints.select("row", "id", "mark", "digest").join(of, "digest").select("row", "id", "mark", "component")
 
 
-#: Most rows to leave out that are broadcast (24 bytes each).
-MOST_OUT = 1_000_000
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """docs with one document of each group, that with the smallest id; all columns."""
     found = common.settle(groups(docs, id_col, text_col, least), "groups")
@@ -152,7 +148,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     out = common.settle(in_groups.filter("not stays or n > 1").select(F.col("id").alias("__mr_id"), F.col("mark").alias("__mr_mark"), "stays"), "out")
     n = out.agg(F.count("*").alias("all"), F.count_if("stays").alias("again")).first()
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__mr_id")) & (F.xxhash64(text_col) == F.col("__mr_mark"))
-    left = docs.join(F.broadcast(out) if n["all"] <= MOST_OUT else out, same, "left_anti")
+    left = docs.join(F.broadcast(out) if n["all"] <= common.MOST_KEYS else out, same, "left_anti")
     if n["again"]:  # rows that repeat whole: one of them stays
         kept = docs.join(out.filter("stays"), same, "left_semi").withColumn("__mr_mark", F.xxhash64(text_col))
         left = left.union(kept.dropDuplicates([id_col, "__mr_mark"]).drop("__mr_mark"))
