@@ -36,7 +36,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)).withColumnRenamed("id", "doc_id")
+    return byte_bpe.digests(byte_bpe.round_trip(docs, ranks)).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Stage]] = [
