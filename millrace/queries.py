@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import exprs
 from .operators import align as al
-from .operators import compose, joins, profile, rows
+from .operators import compose, infer, joins, periods, profile, rows
 from .operators.filters import FilterRule, apply
 from .plans import aggregates as agg
 from .sources import files, textual
@@ -386,6 +386,22 @@ def mismatch_check(spark, sf_dir):
     return _plain(found.select("row_index", "source_value", "recomputed_value"), source_value=4, recomputed_value=4)
 
 
+@query("SELECT o_orderstatus, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders WHERE year(o_orderdate) = 1996 GROUP BY ALL")
+def wide_to_long(spark, sf_dir):
+    """A table with a column for each quarter, whose headers are read as periods, turned into rows."""
+    df = _orders(spark, sf_dir).filter(F.year("o_orderdate") == 1996)
+    header = F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string"), F.lit(" "), F.year("o_orderdate").cast("string"))
+    wide = df.groupBy("o_orderstatus", header.alias("h")).agg(F.sum("o_totalprice").alias("v")).groupBy("o_orderstatus").pivot("h", [f"Q{q} 1996" for q in (1, 2, 3, 4)]).agg(F.first("v"))
+    long = periods.to_long(wide, periods.detect(wide.columns), ["o_orderstatus"])
+    return _plain(long.filter("value is not null"), value=2)
+
+
+@query("SELECT 's_suppkey' AS name, 'int' AS dtype, 'numeric' AS semantic_label, count(DISTINCT s_suppkey) AS unique_count, CAST(min(s_suppkey) AS DOUBLE) AS min_val FROM supplier UNION ALL SELECT 's_name', 'string', 'name', count(DISTINCT s_name), NULL FROM supplier UNION ALL SELECT 's_nationkey', 'int', 'numeric', count(DISTINCT s_nationkey), CAST(min(s_nationkey) AS DOUBLE) FROM supplier UNION ALL SELECT 's_acctbal', 'float', 'numeric', count(DISTINCT s_acctbal), min(s_acctbal) FROM supplier")
+def schema_detect(spark, sf_dir):
+    found = infer.detect(_t(spark, sf_dir, "supplier")).columns
+    return spark.createDataFrame([(c.name, c.dtype, c.semantic_label, c.unique_count, c.min_val) for c in found], "name string, dtype string, semantic_label string, unique_count long, min_val double")
+
+
 # Text-like sources
 
 
