@@ -5,9 +5,10 @@ LEAST or more. Texts whose SimHash fingerprints are linked on the segment-popcou
 so short a distance (two bits) that finds the closest copies only: at a similarity of 0.8 fingerprints lie about ten bits
 apart. So each text also gets SKETCHES fingerprints of parts: the SimHash of the PICKS shingles that come first under as
 many hash orders, which two texts share with probability similarity ** PICKS each; texts that share one are candidates too.
-In a group of candidates each is linked to the group's hub (the text that shares most sketches with others, as an original
-does with its edited copies) and to its first text, not pair by pair; every such link is verified on the whole shingle
-sets, and verified links are joined into components.
+Groups of at most FEW candidates are compared pair by pair. In a larger one each is compared with the group's HUBS hubs (the
+texts that share most sketches with others, as originals do with their edited copies) and its first text, so the work stays
+in proportion to the group; a text is in 17 groups, with other neighbours in each. Every link is verified on the whole
+shingle sets, and verified links are joined into components.
 
 Texts of equal words are one node from the start, so large groups of exact copies make no links. Texts without words are
 copies of each other. Null ids are kept; rows repeated with the same id and text are copies; an empty table gives an empty
@@ -28,6 +29,8 @@ from . import common, simhash
 
 SHINGLE, LEAST = 5, 0.8
 SKETCHES, PICKS = 16, 4
+#: Groups up to this size are compared pair by pair, larger ones with so many of their hubs and their first text.
+FEW, HUBS = 8, 4
 _CHUNK = 1 << 13
 _ORDERS = np.random.default_rng(17).integers(1, 1 << 63, (2, SKETCHES * PICKS), dtype=np.uint64) | np.uint64(1)
 
@@ -95,9 +98,16 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     keys = nodes.select("node", F.posexplode(F.array_append("sketch", F.col("fp"))).alias("k", "s"))
     sizes = keys.groupBy("k", "s").agg(F.count("*").alias("m"), F.min("node").alias("first")).filter("m > 1")
     members = common.settle(keys.join(sizes, ["k", "s"]), "members")
+    few = members.filter(F.col("m") <= FEW).select("k", "s", "node")
+    stars = few.join(few.withColumnRenamed("node", "to"), ["k", "s"]).filter(F.col("node") < F.col("to")).select("node", "to")
     weights = members.groupBy("node").agg(F.sum("m").alias("w"))
-    hubs = members.join(weights, "node").groupBy("k", "s").agg(F.max(F.struct("w", "node"))["node"].alias("hub"))
-    stars = members.join(hubs, ["k", "s"]).select("node", F.explode(F.array("hub", "first")).alias("to"))
+    many = common.settle(members.filter(F.col("m") > FEW).join(weights, "node").select("k", "s", "node", "first", "w"), "many")
+    stars, rest = stars.union(many.select("node", "first")), many
+    for _ in range(HUBS):
+        hub = rest.groupBy("k", "s").agg(F.max(F.struct("w", "node"))["node"].alias("hub"))
+        met = many.join(hub, ["k", "s"])
+        stars = stars.union(met.select("node", "hub"))
+        rest = rest.join(hub, ["k", "s"]).filter("node <> hub").drop("hub")
     both = pairs.union(stars).toDF("x", "y").filter("x <> y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 

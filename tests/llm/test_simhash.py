@@ -5,6 +5,7 @@ import random
 import xxhash
 
 from millrace.llm import simhash
+from millrace.llm.queries import QUERIES
 
 
 def plain(text: str | None) -> int:
@@ -46,6 +47,8 @@ def test_matches_brute_force(spark, sf_dir):
     assert len(got) == len(rows)
     assert {i: got[i].fp for i, _ in prints} == {i: signed(f) for i, f in prints}
     assert {i: r.component_id for i, r in got.items()} == want
+    rows = QUERIES["op8_simhash_near_dedup"](spark, sf_dir).collect()
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in rows} == {(i, f"{f:016x}", want[i]) for i, f in prints} and len(rows) == len(prints)
 
 
 def test_links_are_exact_even_in_crowded_cells(spark):
