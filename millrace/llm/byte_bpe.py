@@ -134,8 +134,10 @@ class _Block:
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        found = [w.encode() for w in self.words]
-        words = [found[i] for i in order.tolist()]
+        found = list(self.words)
+        self.words.clear()
+        words = [found[i].encode() for i in order.tolist()]
+        del found
         bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(buckets)
         yield _batch([(1, block, -1, _pack(bucket), None, None)])
         order = np.argsort(bucket, kind="stable")
@@ -156,15 +158,14 @@ class _Block:
 def _to_blocks(buckets: int, block: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, count, now = TaskContext.get().partitionId() << 32, 0, _Block(chunk)
-        with common.uncollected():
-            for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    now.add(doc, text.decode("utf-8", "replace"))
-                    if now.chars >= block:
-                        yield from now.rows(first + count, buckets)
-                        count, now = count + 1, _Block(chunk)
-            if now.ids:
-                yield from now.rows(first + count, buckets)
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                now.add(doc, text.decode("utf-8", "replace"))
+                if now.chars >= block:
+                    yield from now.rows(first + count, buckets)
+                    count, now = count + 1, _Block(chunk)
+        if now.ids:
+            yield from now.rows(first + count, buckets)
 
     return run
 
@@ -174,22 +175,21 @@ def _encode_words(ranks: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known, bucket = _encoder(ranks)._encode_single_piece, {}, None
-        with common.uncollected():
-            for b in batches:
-                rows = []
-                for block, slot, data in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                    if slot != bucket:
-                        known, bucket = {}, slot
-                    found = []
-                    for w in _unpack_words(data):
-                        ids = known.get(w)
-                        if ids is None:
-                            ids = known[w] = np.array(encode(w), "<u4").tobytes()
-                        found.append(ids)
-                    sizes = np.fromiter((len(x) // 4 for x in found), np.uint32, len(found))
-                    rows.append((1, block, slot, len(found).to_bytes(4, "little") + _pack(np.concatenate([sizes, np.frombuffer(b"".join(found), "<u4")])), None, None))
-                if rows:
-                    yield _batch(rows)
+        for b in batches:
+            rows = []
+            for block, slot, data in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if slot != bucket:
+                    known, bucket = {}, slot
+                found = []
+                for w in _unpack_words(data):
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = known[w] = np.array(encode(w), "<u4").tobytes()
+                    found.append(ids)
+                sizes = np.fromiter((len(x) // 4 for x in found), np.uint32, len(found))
+                rows.append((1, block, slot, len(found).to_bytes(4, "little") + _pack(np.concatenate([sizes, np.frombuffer(b"".join(found), "<u4")])), None, None))
+            if rows:
+                yield _batch(rows)
 
     return run
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, simhash
@@ -102,12 +102,10 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     stars = few.join(few.withColumnRenamed("node", "to"), ["k", "s"]).filter(F.col("node") < F.col("to")).select("node", "to")
     weights = members.groupBy("node").agg(F.sum("m").alias("w"))
     many = common.settle(members.filter(F.col("m") > FEW).join(weights, "node").select("k", "s", "node", "first", "w"), "many")
-    stars, rest = stars.union(many.select("node", "first")), many
-    for _ in range(HUBS):
-        hub = rest.groupBy("k", "s").agg(F.max(F.struct("w", "node"))["node"].alias("hub"))
-        met = many.join(hub, ["k", "s"])
-        stars = stars.union(met.select("node", "hub"))
-        rest = rest.join(hub, ["k", "s"]).filter("node <> hub").drop("hub")
+    place = F.row_number().over(Window.partitionBy("k", "s").orderBy(F.desc("w"), "node"))  # Spark cuts each task's rows to HUBS first
+    hubs = many.withColumn("place", place).filter(F.col("place") <= HUBS).groupBy("k", "s").agg(F.collect_list("node").alias("hubs"))
+    met = many.join(hubs, ["k", "s"]).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set(F.array_append("hubs", F.col("first"))))).alias("to"))
+    stars = stars.union(met.select("node", F.explode("to").alias("to")))
     both = pairs.union(stars).toDF("x", "y").filter("x <> y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
