@@ -5,10 +5,11 @@ LEAST or more. Texts whose SimHash fingerprints are linked on the segment-popcou
 so short a distance (two bits) that finds the closest copies only: at a similarity of 0.8 fingerprints lie about ten bits
 apart. So each text also gets SKETCHES fingerprints of parts: the SimHash of the PICKS shingles that come first under as
 many hash orders, which two texts share with probability similarity ** PICKS each; texts that share one are candidates too.
-Groups of at most FEW candidates are compared pair by pair. In a larger one each is compared with the group's HUBS hubs (the
-texts that share most sketches with others, as originals do with their edited copies) and its first text, so the work stays
-in proportion to the group; a text is in 17 groups, with other neighbours in each. Every link is verified on the whole
-shingle sets, and verified links are joined into components.
+Groups of at most FEW candidates are compared pair by pair. In a larger one each is first compared with the group's HUBS hubs
+(the texts that share most sketches with others, as originals do with their edited copies) and its first text. Where that
+leaves a large group in parts, all its texts are searched for pairs of different parts by a prefix filter on rare shingles,
+which loses none that reach the similarity. So of all candidates no pair is left unjoined. Every link is verified on the
+whole shingle sets, and verified links are joined into components.
 
 Texts of equal words are one node from the start, so large groups of exact copies make no links. Texts without words are
 copies of each other. Null ids are kept; rows repeated with the same id and text are copies; an empty table gives an empty
@@ -17,6 +18,7 @@ result; other columns stay.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,12 @@ from . import common, simhash
 
 SHINGLE, LEAST = 5, 0.8
 SKETCHES, PICKS = 16, 4
-#: Groups up to this size are compared pair by pair, larger ones with so many of their hubs and their first text.
+#: Groups up to this size are compared pair by pair, larger ones first with so many of their hubs and their first text.
 FEW, HUBS = 8, 4
+#: Bins of shingles whose counts tell rare ones; equal bins only cost time.
+BINS = 1 << 20
+#: Words of 64 bins each whose odd counts bound how much two texts differ.
+ODD = 8
 _CHUNK = 1 << 13
 _ORDERS = np.random.default_rng(17).integers(1, 1 << 63, (2, SKETCHES * PICKS), dtype=np.uint64) | np.uint64(1)
 
@@ -90,14 +96,21 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.settle(found.withColumn("row", F.monotonically_increasing_id()), "prints")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b) of nodes (node, fp, sketch) that may be alike."""
+def _members(nodes: DataFrame) -> DataFrame:
+    """(k, s, node, m, first) of nodes (node, fp, sketch): the m texts that meet at the value s in the k-th way.
+
+    The ways are the sketches and, last, equal fingerprints."""
+    keys = nodes.select("node", F.posexplode(F.array_append("sketch", F.col("fp"))).alias("k", "s"))
+    sizes = keys.groupBy("k", "s").agg(F.count("*").alias("m"), F.min("node").alias("first")).filter("m > 1")
+    return common.settle(keys.join(sizes, ["k", "s"]), "members")
+
+
+def _candidates(nodes: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(a, b) of nodes (node, fp, sketch) that may be alike: all pairs of small groups, the hubs' pairs of large ones."""
+    members = members or _members(nodes)
     linked = simhash.links(nodes.select("fp").distinct())
     rep = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     pairs = linked.join(rep.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(rep.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
-    keys = nodes.select("node", F.posexplode(F.array_append("sketch", F.col("fp"))).alias("k", "s"))
-    sizes = keys.groupBy("k", "s").agg(F.count("*").alias("m"), F.min("node").alias("first")).filter("m > 1")
-    members = common.settle(keys.join(sizes, ["k", "s"]), "members")
     few = members.filter(F.col("m") <= FEW).select("k", "s", "node")
     stars = few.join(few.withColumnRenamed("node", "to"), ["k", "s"]).filter(F.col("node") < F.col("to")).select("node", "to")
     weights = members.groupBy("node").agg(F.sum("m").alias("w"))
@@ -105,43 +118,109 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("k", "s").orderBy(F.desc("w"), "node"))  # Spark cuts each task's rows to HUBS first
     hubs = many.withColumn("place", place).filter(F.col("place") <= HUBS).groupBy("k", "s").agg(F.collect_list("node").alias("hubs"))
     met = many.join(hubs, ["k", "s"]).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set(F.array_append("hubs", F.col("first"))))).alias("to"))
-    stars = stars.union(met.select("node", F.explode("to").alias("to")))
-    both = pairs.union(stars).toDF("x", "y").filter("x <> y")
+    both = pairs.union(stars).union(met.select("node", F.explode("to").alias("to"))).toDF("x", "y").filter("x <> y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _verified(edges: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str, id_col: str, least: float) -> DataFrame:
-    """The edges whose texts are alike. Only texts that have an edge are read again."""
+def _sets(wanted: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(node, own): the shingles of the wanted nodes, whose texts alone are read again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = pa.array([shingles(x)[1].tobytes() for x in b.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), hashes], ["node", "own"])
 
+    marks = prints.join(wanted.withColumnRenamed("node", "row"), "row").select(F.col("row").alias("node"), F.col("id").alias("__mr_id"), F.col("mark").alias("__mr_mark"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), common.utf8(text_col).alias("t"))
+    texts = texts.join(marks, texts.id.eqNullSafe(marks.__mr_id) & (texts.mark == marks.__mr_mark)).select("node", "t").dropDuplicates(["node"])
+    return common.settle(texts.mapInArrow(sets, "node long, own binary"), "sets")
+
+
+def _verified(edges: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """The edges whose texts are alike."""
+
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
             ok = pa.array([similarity(x, y) >= least for x, y in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    used = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "row")
-    wanted = prints.join(used, "row").select(F.col("row").alias("node"), F.col("id").alias("__mr_id"), F.col("mark").alias("__mr_mark"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), common.utf8(text_col).alias("t"))
-    texts = texts.join(wanted, texts.id.eqNullSafe(wanted.__mr_id) & (texts.mark == wanted.__mr_mark)).select("node", "t").dropDuplicates(["node"])
-    own = common.settle(texts.mapInArrow(sets, "node long, own binary"), "sets")
     left = edges.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
     full = left.join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
     return full.mapInArrow(alike, "a long, b long")
 
 
+def _tallied(own: DataFrame) -> np.ndarray:
+    """How many of the texts' shingles fall into each of BINS bins; at most BINS rows reach the driver."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for b in batches:
+            total += np.bincount((np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bin", "n"])
+
+    found = own.select("own").mapInArrow(tally, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BINS, np.int64)
+    out[found["bin"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _rare_pairs(own: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b) of all texts (node, own) of different roots that can reach a similarity of least.
+
+    In one order of all shingles, rare ones first, two such texts share a shingle among the first of both: of the smaller
+    set those up to the overlap that equal sizes need, of the larger one those up to its own share. Places bound the overlap;
+    bits that say whether a bin holds an odd number of shingles differ in no more bins than there are unshared shingles."""
+    rare, need = _tallied(own), least / (1 + least)
+    bits = [f"odd{k}" for k in range(ODD)]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for node, root, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                n = len(x)
+                if not n:
+                    continue
+                odd = np.packbits(np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * ODD), minlength=64 * ODD) % 2 == 1, bitorder="little").view(np.int64)
+                probe, index = (n - math.ceil(share * n - 1e-9) + 1 for share in (least, 2 * need))
+                x = x[np.lexsort((x, rare[(x % np.uint64(BINS)).astype(np.int64)]))[:probe]]
+                place = np.arange(len(x))
+                parts.append((x.view(np.int64), *(np.full(len(x), v) for v in (node, root, n)), place, place < index, *(np.full(len(x), v) for v in odd)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["shingle", "node", "root", "n", "place", "index", *bits])
+
+    heads = own.join(roots, "node").select("node", "root", "own").mapInArrow(first, ", ".join(["shingle long, node long, root long, n long, place long, index boolean", *(f"{k} long" for k in bits)]))
+    heads = common.settle(heads, "heads")
+    mixed = heads.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("index").alias("any")).filter("any and low <> high").select("shingle")
+    heads = common.settle(heads.join(mixed, "shingle"), "mixed")
+    x, y = heads.filter("index").alias("x"), heads.alias("y")
+    order = "x.root <> y.root and (x.n < y.n or x.n = y.n and x.node < y.node)"
+    overlap = "least(x.place, y.place) + least(x.n - x.place, y.n - y.place)"
+    unlike = " + ".join(f"bit_count(x.{k} ^ y.{k})" for k in bits)
+    pairs = x.join(y, F.expr(f"x.shingle = y.shingle and {order} and {overlap} >= {need!r}D * (x.n + y.n) - 1e-6D and {unlike} <= {1 - 2 * need!r}D * (x.n + y.n) + 1e-6D"))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(row, id, mark, component): one row per document; near copies share a component."""
     common.bounded(docs.sparkSession)
     prints = _prints(docs, id_col, text_col)
     nodes = prints.groupBy("digest").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
     nodes = common.settle(nodes, "nodes")
-    edges = common.settle(_candidates(nodes.select("node", "fp", "sketch")), "edges")
-    comp = simhash.components(_verified(edges, docs, prints, text_col, id_col, least))
+    members = _members(nodes.select("node", "fp", "sketch"))
+    edges = common.settle(_candidates(nodes, members), "edges")
+    used = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    comp = simhash.components(_verified(edges, _sets(used, docs, prints, text_col, id_col), least))
+    # what the hubs have joined needs no more pairs; large groups that still have parts are searched wholly
+    placed = members.filter(F.col("m") > FEW).join(comp, "node", "left").select("k", "s", "node", F.coalesce("root", "node").alias("root"))
+    parted = placed.groupBy("k", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k", "s")
+    pool = common.settle(placed.join(parted, ["k", "s"]).select("node", "root").distinct(), "pool")
+    if not pool.isEmpty():
+        own = _sets(pool.select("node"), docs, prints, text_col, id_col)
+        more = _verified(common.settle(_rare_pairs(own, pool, least), "rare"), own, least)
+        comp = simhash.components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     of = nodes.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
     return prints.select("row", "id", "mark", "digest").join(of, "digest").select("row", "id", "mark", "component")
 

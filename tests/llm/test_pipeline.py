@@ -56,6 +56,24 @@ def test_near_copies_match_brute_force(spark):
     assert {(r.doc_id is None, r.doc_id or 0) for r in found} == set(first.values())
 
 
+def test_large_families_lose_no_pair(spark):
+    """Texts that share most of their shingles, below the similarity, with planted pairs above it."""
+    rng = random.Random(12)
+    plate, own = [f"b{k}" for k in range(170)], iter(range(10**6))
+    fresh = lambda n: [f"u{next(own)}" for _ in range(n)]
+    texts = [plate + fresh(26) for _ in range(500)]
+    for _ in range(150):
+        both = fresh(9)
+        texts += [plate + both + fresh(17), plate + both + fresh(17)]
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = groups(rows)
+    assert len(set(want)) == 650
+    found = near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = {r.id: r.component for r in found}
+    assert len(set(of.values())) == 650 and len({(of[k], g) for k, g in enumerate(want)}) == 650
+
+
 def test_pipeline_matches_brute_force(spark, sf_dir, tmp_path):
     import corpus_pipeline
 
