@@ -1,7 +1,8 @@
 """Near copies of whole texts: SimHash groups that hold a similarity.
 
 Two texts count as near copies if the Jaccard similarity of their sets of SHINGLE-word shingles (words as in simhash) is
-LEAST or more. Texts whose SimHash fingerprints are linked on the segment-popcount grid (simhash.links) are candidates. On
+LEAST or more. Texts whose SimHash fingerprints are linked on the segment-popcount grid (simhash.links) are candidates,
+also those that meet at a value between them only. On
 so short a distance (two bits) that finds the closest copies only: at a similarity of 0.8 fingerprints lie about ten bits
 apart. So each text also gets SKETCHES fingerprints of parts: the SimHash of the PICKS shingles that come first under as
 many hash orders, which two texts share with probability similarity ** PICKS each; texts that share one are candidates too.
@@ -99,8 +100,13 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _members(nodes: DataFrame) -> DataFrame:
     """(k, s, node, m, first) of nodes (node, fp, sketch): the m texts that meet at the value s in the k-th way.
 
-    The ways are the sketches and, last, equal fingerprints."""
-    keys = nodes.select("node", F.posexplode(F.array_append("sketch", F.col("fp"))).alias("k", "s"))
+    The ways are the sketches, equal fingerprints and, last, the values that links end in. In crowded cells most of these
+    are no text's fingerprint; texts that differ in two bits meet there."""
+    linked = simhash.links(nodes.select("fp").distinct())
+    ends = F.array(*(F.struct(F.col(x).alias("fp"), F.col(y).alias("s")) for x in "ab" for y in "ab"))
+    ends = linked.select(F.explode(ends).alias("e")).select("e.*").distinct()
+    met = common.settle(ends.join(nodes.select("fp", "node"), "fp").select(F.lit(SKETCHES + 1).alias("k"), "s", "node"), "met")
+    keys = nodes.select("node", F.posexplode(F.array_append("sketch", F.col("fp"))).alias("k", "s")).select("k", "s", "node").union(met)
     sizes = keys.groupBy("k", "s").agg(F.count("*").alias("m"), F.min("node").alias("first")).filter("m > 1")
     return common.settle(keys.join(sizes, ["k", "s"]), "members")
 
@@ -108,9 +114,6 @@ def _members(nodes: DataFrame) -> DataFrame:
 def _candidates(nodes: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(a, b) of nodes (node, fp, sketch) that may be alike: all pairs of small groups, the hubs' pairs of large ones."""
     members = members or _members(nodes)
-    linked = simhash.links(nodes.select("fp").distinct())
-    rep = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    pairs = linked.join(rep.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(rep.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
     few = members.filter(F.col("m") <= FEW).select("k", "s", "node")
     stars = few.join(few.withColumnRenamed("node", "to"), ["k", "s"]).filter(F.col("node") < F.col("to")).select("node", "to")
     weights = members.groupBy("node").agg(F.sum("m").alias("w"))
@@ -118,7 +121,7 @@ def _candidates(nodes: DataFrame, members: DataFrame | None = None) -> DataFrame
     place = F.row_number().over(Window.partitionBy("k", "s").orderBy(F.desc("w"), "node"))  # Spark cuts each task's rows to HUBS first
     hubs = many.withColumn("place", place).filter(F.col("place") <= HUBS).groupBy("k", "s").agg(F.collect_list("node").alias("hubs"))
     met = many.join(hubs, ["k", "s"]).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set(F.array_append("hubs", F.col("first"))))).alias("to"))
-    both = pairs.union(stars).union(met.select("node", F.explode("to").alias("to"))).toDF("x", "y").filter("x <> y")
+    both = stars.union(met.select("node", F.explode("to").alias("to"))).toDF("x", "y").filter("x <> y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -56,6 +56,22 @@ def test_near_copies_match_brute_force(spark):
     assert {(r.doc_id is None, r.doc_id or 0) for r in found} == set(first.values())
 
 
+def test_links_meet_between_fingerprints_in_crowded_cells(spark):
+    """More than CROWD fingerprints of one cell; pairs that differ in two bits have no fingerprint between them."""
+    rng = random.Random(5)
+    prints = {tuple(1 << rng.randrange(4) for _ in range(16)) for _ in range(200)}
+    packed = [sum(v << 4 * k for k, v in enumerate(p)) for p in sorted(prints)]
+    nodes, want = [], set()
+    for k, fp in enumerate(packed):
+        low = fp & 15
+        moved = fp ^ low ^ (low << 1 if low < 8 else 1)
+        nodes += [(3 * k, fp), (3 * k + 1, moved), (3 * k + 2, moved)]
+        want |= {(3 * k, 3 * k + 1), (3 * k, 3 * k + 2), (3 * k + 1, 3 * k + 2)}
+    signed = [(n, fp - (1 << 64) if fp >> 63 else fp, [n]) for n, fp in nodes]
+    found = near_copies._candidates(spark.createDataFrame(signed, "node long, fp long, sketch array<long>"))
+    assert want <= {(r.a, r.b) for r in found.collect()}
+
+
 def test_large_families_lose_no_pair(spark):
     """Texts that share most of their shingles, below the similarity, with planted pairs above it."""
     rng = random.Random(12)
