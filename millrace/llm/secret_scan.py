@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and probabilistic automata inferred from labelled credentials.
 
-The base kinds are assign, access and hex (see BASE). Beyond them, every candidate (a run of credential characters with
-letters and digits) is scored by automata that were inferred from labelled credentials of one format each: a prefix tree
+The base kinds are assign, access and hex (see BASE). Beyond them, every candidate (LEAST_RUN or more credential characters,
+digits and others) is scored by automata that were inferred from labelled credentials of one format each: a prefix tree
 of the examples is folded by merging states whose continuation frequencies agree within Hoeffding bounds, red states
-first, so that random bodies become loops; what all examples begin with stays literal. A candidate is reported under the format whose
-automaton gives it the largest likelihood, if that exceeds the likelihood under a model of ordinary identifiers by at
-least MARGIN a symbol. Candidates that touch a base span are left to it.
+first, so that random bodies become loops; what all examples begin with stays literal. A candidate starts where a format's
+literal part occurs (without one, where no letter or digit precedes) and ends, not in a dot, where no letter or digit follows, so a
+credential after or before a separator counts by itself. It is reported under a format whose automaton gives it a likelihood
+that exceeds that under a model of ordinary identifiers by at least MARGIN a symbol; of candidates that overlap, the longest
+and then the one with the largest excess. Candidates that touch a base span are left to it.
 
 Labelled credentials are (kind, value) pairs; the default ones are generated from public formats, EXAMPLES of each. At
 most LIMIT labelled rows of a kind are used, the ones whose hash is smallest, when a table of them is given. The models
@@ -17,6 +19,7 @@ empty result; other columns are ignored. Offsets are code points, ends exclusive
 
 from __future__ import annotations
 
+import bisect
 import math
 import os
 import random
@@ -25,6 +28,7 @@ import string
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -39,7 +43,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones never hide a longer one
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_RUN = 16
+_WORD = frozenset(string.ascii_letters + string.digits)
 EXAMPLES, LIMIT, LITERAL = 400, 2000, 8
 ALPHA = 0.02
 #: Nats a symbol by which a format must be likelier than ordinary text.
@@ -58,7 +63,7 @@ def base_spans(text: str) -> list[Span]:
 
 # Symbols: the first characters are literal, later ones stand for their class.
 
-_CLASSES = {"l": "ghijklmnopqrstuvwxyz", "u": "GHIJKLMNOPQRSTUVWXYZ", "x": "abcdef", "X": "ABCDEF", "9": string.digits, "-": "-_", "+": "+/", "=": "="}
+_CLASSES = {"l": "ghijklmnopqrstuvwxyz", "u": "GHIJKLMNOPQRSTUVWXYZ", "x": "abcdef", "X": "ABCDEF", "9": string.digits, "-": "-_", "+": "+/", "=": "=", ".": "."}
 _CLASS = {c: k for k, chars in _CLASSES.items() for c in chars}
 _SPREAD = {k: math.log(len(chars)) for k, chars in _CLASSES.items()}
 
@@ -195,7 +200,7 @@ def examples(seed: int = 7, each: int = EXAMPLES) -> list[tuple[str, str]]:
         "stripe": lambda: "sk_live_" + draw(word, 24),
         "google": lambda: "AIza" + draw(word + "-_", 35),
         "npm": lambda: "npm_" + draw(word, 36),
-        "jwt": lambda: "eyJh" + draw(word, rng.randint(16, 60)),
+        "jwt": lambda: "eyJh" + draw(word, rng.randint(16, 60)) + (f".eyJ{draw(word + '-_', rng.randint(30, 200))}.{draw(word + '-_', 43)}" if rng.random() < 0.8 else ""),
         "upperhex": lambda: draw(string.digits + "ABCDEF", rng.choice((32, 40, 64))),
         "uuidkey": lambda: "key-" + draw(low, 32),
     }
@@ -268,16 +273,92 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[list[Span], list[Span]]:
         """(base spans, further spans)."""
-        base, more = base_spans(text), []
-        for m in _CANDIDATE.finditer(text):
-            value = m[0]
-            if value.isalpha() or not any(map(str.isdigit, value)) or value.isdigit():
-                continue
-            if any(s < m.end() and m.start() < e for s, e, _ in base):
+        base = base_spans(text)
+        taken = _Taken((s, e) for s, e, _ in base)
+        found = [(x, s, e, kind) for kind in self.formats for x, s, e in self._candidates(kind, text)]
+        return base, sorted((s, e, kind) for _, s, e, kind in sorted(found, key=lambda c: (c[1] - c[2], -c[0], c[1:])) if taken.add(s, e))
+
+    def _starts(self, kind: str, text: str) -> Iterator[int]:
+        """Where candidates of a format may start."""
+        lead, run = self._leads[kind]
+        if lead:
+            at = text.find(lead)
+            while at >= 0:
+                yield at
+                at = text.find(lead, at + 1)
+        else:
+            for m in run.finditer(text):
+                yield from (k for k in range(m.start(), m.end()) if not k or text[k - 1] not in _WORD)
+
+    def _candidates(self, kind: str, text: str) -> Iterator[tuple[float, int, int]]:
+        """(excess, start, end) of the candidates of a format that are likely enough.
+
+        All starts advance together. Of those that are in one state, the best one stands for all that are long enough."""
+        a, steps, other = self.formats[kind], self.plain.steps, self.plain.other
+        least = max(a.least, LEAST_RUN)
+        starts, at = self._starts(kind, text), -1
+        start, live = next(starts, None), {}  # (state, length up to least, has digit, has other) -> (excess, start)
+        while live or start is not None:
+            at = at if live else start
+            c = text[at] if at < len(text) else ""
+            k, before = _CLASS.get(c), live
+            if at == start:
+                before = live | {(0, 0, False, False): (0.0, at)}
+                start = next(starts, None)
+            live = {}
+            if k is None:
                 continue
-            if kind := self.classify(value):
-                more.append((m.start(), m.end(), kind))
-        return base, more
+            last = _CLASS[text[at - 1]] if at and text[at - 1] in _CLASS else ""
+            ends = c != "." and text[at + 1 : at + 2] not in _WORD
+            for (q, n, digit, rest), (x, s) in before.items():
+                move = a.moves[q].get(f"'{c}") or a.moves[q].get(k)
+                if move is None:
+                    continue
+                cost = 0.0 if f"'{c}" in a.moves[q] else _cost(k)
+                x += move[1] - cost - steps.get((last if n else "^", k), other) + _cost(k) - self.margin
+                key = (move[0], min(n + 1, least), digit or k == "9", rest or k != "9")
+                if key not in live or (x, -s) > (live[key][0], -live[key][1]):
+                    live[key] = (x, s)
+            if ends:
+                for (q, n, digit, rest), (x, s) in live.items():
+                    if n >= least and digit and rest and (x := x + a.stops[q] - steps.get((k, "$"), other)) >= 0:
+                        yield x, s, at + 1
+            at += 1
+
+    @cached_property
+    def _leads(self) -> dict[str, tuple[str, re.Pattern[str]]]:
+        """The literal part of each format, and a pattern of the runs that one without it can be in."""
+        out = {}
+        for kind, a in self.formats.items():
+            lead, q = "", 0
+            for _ in range(a.literal):
+                (s, (q, _)), = a.moves[q].items()
+                lead += s[1:]
+            chars = "".join(sorted({c for m in a.moves for s in m for c in _CLASSES.get(s, "")}))
+            out[kind] = lead, re.compile(f"[{re.escape(chars)}]{{{max(a.least, LEAST_RUN)},}}" if chars else r"(?!)")
+        return out
+
+
+class _Taken:
+    """Spans that are given away: later ones that touch any of them are refused."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):  # base spans may overlap
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def add(self, s: int, e: int) -> bool:
+        k = bisect.bisect_right(self.ends, s)
+        if k < len(self.starts) and self.starts[k] < e:
+            return False
+        self.starts.insert(k, s)
+        self.ends.insert(k, e)
+        return True
 
 
 def train(labelled: Iterable[tuple[str, str]] | None = None) -> Scanner:

@@ -112,3 +112,20 @@ def test_query_and_redaction(spark, tmp_path):
     clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     assert clean[102] == "see [SECRET] now" and clean[103] == "[SECRET]" and clean[100] is None and clean[104] in ("again", "word " * 50_000 + "[SECRET]")
     assert secret_scan.find(docs.filter("doc_id = -1")).count() == 0
+
+
+def test_credentials_beside_separators():
+    rng = random.Random(21)
+    word = string.ascii_letters + string.digits
+    draw = lambda chars, n: "".join(rng.choices(chars, k=n))
+    scanner = secret_scan.train()
+    for _ in range(20):
+        ghp, npm, upper = "ghp_" + draw(word, 36), "npm_" + draw(word, 36), "A1" + draw(string.digits + "ABCDEF", 38)
+        slack = f"xoxb-{draw(string.digits, 12)}-{draw(string.digits, 12)}-{draw(word, 24)}"
+        jwt = f"eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJ{draw(word + '-_', 80)}.{draw(word + '-_', 42)}a"
+        for kind, key in (("ghp", ghp), ("npm", npm), ("slack", slack), ("upperhex", upper), ("jwt", jwt)):
+            for left, right in (("GITHUB=", ""), ("--key=", " x"), ("https://host/", "/path/page"), ("a/b-", "/"), ("https://x.example.org/", "."), ("see ", ". Then"), ("k/", "=")):
+                at = len(left)
+                assert scanner.scan(left + key + right)[1] == [(at, at + len(key), kind)], left + key + right
+        assert [x[2] for x in scanner.scan(f"{ghp}/{npm}={ghp}")[1]] == ["ghp", "npm", "ghp"]
+    assert scanner.scan("AIza" * 20_000 + "/" + "A/" * 20_000)[1] == []
