@@ -7,8 +7,8 @@ posterior of its documents, smoothed towards that of its group of hosts, and tha
 PSEUDO documents had been seen; these means are grouped aggregations of all documents. A document is kept if it has letters
 and its likeliest language has a posterior of LEAST or more.
 
-Trigram models are fitted on at most SAMPLE labelled rows whose text has 50 to 20,000 characters, those with the smallest
-hashes of id and text, so that the bound holds at any size; all other figures cover every row.
+The languages are those of all labelled rows, and their trigram models are fitted on all of these texts, short and long; a
+text of more than MOST trigrams counts as that many. The driver gets at most BUCKETS counts a language.
 
 Null and empty texts have no letters and are rejected, with the language that the other evidence suggests; a null
 declaration, address or host says nothing (documents without a host share the corpus prior); repeated rows count each;
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,11 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 15
-SAMPLE, STRENGTH, PSEUDO, LEAST = 2000, 100, 20.0, 0.5
+MOST, STRENGTH, PSEUDO, LEAST = 20_000, 100, 20.0, 0.5
+#: Counts are whole numbers of this part of a trigram, so that their sums don't depend on the order of rows.
+UNIT = 1 << 12
+#: Languages whose counts a worker holds at a time.
+HELD = 64
 #: How likely a declaration names the text's language, and a suffix that of its country.
 DECLARED, SUFFIX = 0.9, 0.7
 MOST_HOSTS = 200_000
@@ -70,24 +74,60 @@ class Model:
         return (total - total.max() if len(total) else total), letters
 
 
+def tally(rows: Iterable[tuple[str, str]]) -> Iterator[tuple[str, np.ndarray]]:
+    """(language, trigram counts in UNITs) of the (text, language) rows; a language may come more than once."""
+    held: dict[str, np.ndarray] = {}
+    for text, lang in rows:
+        if lang not in held:
+            if len(held) == HELD:
+                yield from held.items()
+                held = {}
+            held[lang] = np.zeros(BUCKETS, np.int64)
+        at = trigrams(text)[0]
+        if len(at) <= MOST:
+            np.add.at(held[lang], at, UNIT)
+        else:
+            held[lang] += np.rint(np.bincount(at, minlength=BUCKETS) * (UNIT * MOST / len(at))).astype(np.int64)
+    yield from held.items()
+
+
+def _model(counts: dict[str, np.ndarray]) -> Model:
+    languages = tuple(sorted(counts))
+    if not languages:
+        return Model(languages, np.zeros((BUCKETS, 0), np.float32))
+    table = np.stack([counts[k] for k in languages], axis=1) / UNIT + 0.05
+    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+
+
 def fit(rows: list[tuple[str, str]]) -> Model:
     """Smoothed trigram models of the (text, language) rows."""
-    languages = tuple(sorted({lang for _, lang in rows}))
-    counts = np.full((BUCKETS, len(languages)), 0.05)
-    for text, lang in rows:
-        counts[:, languages.index(lang)] += np.bincount(trigrams(text)[0], minlength=BUCKETS)
-    return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32))
+    counts: dict[str, np.ndarray] = {}
+    for lang, own in tally(rows):
+        counts[lang] = counts.get(lang, 0) + own
+    return _model(counts)
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model fitted on the bounded sample; see above."""
-    size = F.char_length(text_col)
-    labelled = docs.filter(F.col(lang_col).isNotNull() & (F.trim(lang_col) != "") & (size >= 50) & (size <= 20_000))
-    rows = labelled.select(F.col(text_col).alias("t"), F.lower(F.trim(lang_col)).alias("l"), F.xxhash64(id_col, text_col).alias("h"))
-    # of each task no more than its share of the smallest hashes is sorted and sent, so the driver gets about 2 * sample rows
-    share = min(1.0, 2 * sample / max(1, labelled.count()))
-    rows = rows.filter(F.col("h") <= int(-(2**63) + share * (2**64 - 1) * (1 - 1e-12))).orderBy("h", "t").limit(sample)
-    return fit([(r.t, r.l) for r in rows.collect()])
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model fitted on all rows that have a language."""
+    common.bounded(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((t.decode("utf-8", "replace"), lang) for b in batches for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for lang, own in tally(rows):
+            used = np.flatnonzero(own)
+            if not len(used):  # its texts have no letters, but it is a language
+                used = np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used), pa.array(own[used])], ["lang", "bucket", "n"])
+
+    labelled = docs.filter(F.col(lang_col).isNotNull() & (F.trim(lang_col) != ""))
+    rows = labelled.select(common.utf8(text_col).alias("t"), F.lower(F.trim(lang_col)).alias("l"))
+    found = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    langs, buckets, n = found["lang"].combine_chunks().dictionary_encode(), found["bucket"].to_numpy(), found["n"].to_numpy()
+    counts = {lang: np.zeros(BUCKETS, np.int64) for lang in langs.dictionary.to_pylist()}
+    of = langs.indices.to_numpy()
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        counts[lang][buckets[of == k]] = n[of == k]
+    return _model(counts)
 
 
 def suffix_language(url: str | None) -> str | None:
@@ -187,7 +227,7 @@ def fuse(scored: DataFrame, languages: tuple[str, ...], pseudo: float = PSEUDO,
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", url_col: str | None = None, host_col: str | None = "source") -> DataFrame:
     """(id, mark, lang, posterior, keep) of each row."""
-    model = model or learn(docs, text_col, declared_col, id_col)
+    model = model or learn(docs, text_col, declared_col)
     return fuse(common.settle(score(docs, model, id_col, text_col, declared_col, url_col, host_col), "scored"), model.languages)
 
 

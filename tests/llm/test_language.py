@@ -87,3 +87,16 @@ def test_query_and_empty(spark, sf_dir, tmp_path):
     assert QUERIES["op7_language_id"](spark, str(tmp_path)).count() == 0
     nolabel = spark.createDataFrame([(1, "some text", None, "s")], "doc_id long, text string, lang string, source string")
     assert [tuple(r)[2:] for r in language.identify(nolabel).collect()] == [(None, 0.0, False)]
+
+
+def test_languages_come_from_all_labelled_rows(spark):
+    """One language in 6000 rows, one of short and one of long texts only."""
+    rows = [(k, f"the cat and the dog went with them to the house number {k}", "en") for k in range(6000)]
+    rows += [(9000, "der hund und die katze sind nicht mit dem haus zufrieden", "de"), (9001, "le chat est", "fr"), (9002, "el perro y la casa con los gatos " * 1000, " ES ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert model.languages == ("de", "en", "es", "fr")
+    best = [model.languages[int(np.argmax(model.evidence(t)[0]))] for t in ("und die katze", "and the dog", "la casa con los", "le chat")]
+    assert best == ["de", "en", "es", "fr"]
+    same = language.learn(docs.repartition(3))
+    assert same.languages == model.languages and (same.table == model.table).all()
