@@ -6,8 +6,9 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,18 @@ BATCH_BYTES = 2 << 20
 
 
 def bounded(spark: SparkSession) -> None:
-    """Let no Arrow batch exceed BATCH_BYTES, so that a worker's memory doesn't follow the longest texts times 10,000 rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Let no Arrow batch exceed BATCH_BYTES, so that a worker's memory doesn't follow the longest texts times 10,000 rows.
+
+    Plans read the setting when they run, so it stays; a smaller one of the caller's is left alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def _bytes(value: str | None) -> int:
+    """The number of bytes that a setting without a larger unit names; 0 for others."""
+    value = (value or "").lower().removesuffix("b")
+    return int(value) if value.isdigit() else 0
 
 
 @contextmanager
@@ -34,23 +45,33 @@ def uncollected() -> Iterator[None]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where that is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where that is unset, a temporary one if all runs in
+    one process, and else an error, since executors would write to their own disks."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("millrace.shared.dir", "")
     if not own:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("millrace.shared.dir", own)
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
 
 
+#: Paths made inside each passing() under way, and the paths of settled tables.
+_passing: list[list[str]] = []
+_where: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when this Python ends."""
+    """A new path in the shared folder; it is deleted when this Python ends, or the passing() around it."""
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if _passing:
+        _passing[-1].append(path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -59,11 +80,42 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are settled inside are deleted at the end; write what shall stay to a path made before."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            remove(spark, path)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _where[out] = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        if df in _where:
+            remove(df.sparkSession, _where.pop(df))
+
+
+def settle_stage(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make() settled; what it settled itself on the way is deleted."""
+    path = scratch(spark, name)
+    with passing(spark):
+        df = make()
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _where[out] = path
+    return out
 
 
 #: Rows of keys (id and hash) up to which a settled table is broadcast: 24 bytes each, some 100 MB in memory.
@@ -76,6 +128,22 @@ def settle_keys(df: DataFrame, name: str, most: int = MOST_KEYS) -> DataFrame:
     return F.broadcast(out) if out.count() <= most else out
 
 
+#: How many ways the rows of a key are dealt where the other side isn't broadcast.
+SALTS = 16
+
+
+def met(rows: DataFrame, table: DataFrame, on: str | list[str], name: str, how: str = "inner", most: int = MOST_KEYS, salts: int = SALTS) -> DataFrame:
+    """rows joined with a table that has one row a key. The table is settled and broadcast if its rows, now counted, are
+    few; else every key's rows are dealt to salts tasks and the table is repeated for each, so that no task gets a hot key whole."""
+    out, keys = settle(table, name), [on] if isinstance(on, str) else on
+    if out.count() <= most:
+        return rows.join(F.broadcast(out), on, how)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    dealt = rows.withColumn("__mr_salt", salt)
+    every = out.withColumn("__mr_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(every, [*keys, "__mr_salt"], how).drop("__mr_salt")
+
+
 def utf8(c: str) -> Column:
     """The column's text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")

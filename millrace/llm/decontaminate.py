@@ -4,10 +4,11 @@ Texts become lists of word hashes (lower case, runs of letters and numbers). A s
 a mask and ignores the others; seeds of benchmark items are joined with those of documents. A hit names a diagonal on which
 the item's and the document's words are compared one by one. An item is found if WINDOW successive words on the diagonal
 (whole items of SPAN to WINDOW - 1 words: all) agree in at least LEAST places. The two masks hit every such window, whatever
-two of its words are replaced, so the seeds lose nothing. Of a run of hits on a diagonal only the first is verified.
+two of its words are replaced, so the seeds lose nothing. Of a run of hits on a diagonal only the first is verified, on a slice
+of the document that is no longer than the item, so a text that repeats one word a million times needs no more memory.
 
-The benchmark's seeds are broadcast in blocks of at most MOST_SEEDS rows (48 bytes each), so their size is bounded; the
-documents are never shuffled, only verified hits are.
+The benchmark's seeds are broadcast in blocks of some MOST_SEEDS rows (48 bytes each), so their size is bounded; the items'
+words are broadcast where one block holds all seeds, else joined with the hits. The documents are never shuffled, hits are.
 
 Null and empty texts and items of fewer than SPAN words match nothing; texts are read whole; repeated rows and ids count
 once; null ids are kept; an empty table gives an empty result; other columns are ignored.
@@ -56,20 +57,19 @@ def _before(at: Column) -> Column:
     return F.when(at > 0, kinds)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_seeds: int = MOST_SEEDS) -> DataFrame:
-    """(id, item_id, matched, words): each document and item of which it holds a window; matched: equal words on the best diagonal."""
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, most_seeds: int) -> DataFrame:
+    """(id, mark, item_id, matched, words) of each verified diagonal; mark is the text's hash."""
     items = benchmark.select(F.col(item_col).alias("item_id"), hashes(item_text).alias("h")).filter(F.size("h") >= SPAN).distinct()
     items = items.withColumn("item", F.xxhash64("item_id", "h"))
     seeds = _seeds(items.select("item", "h"), "item")
-    seeds = seeds.select("item", F.col("mask").alias("kind"), "seed", F.col("at").alias("item_at"), _before(F.col("at")).alias("prior"))
+    seeds = seeds.select("item", F.size("h").alias("m"), F.col("mask").alias("kind"), "seed", F.col("at").alias("item_at"), _before(F.col("at")).alias("prior"))
     blocks = -(-seeds.count() // most_seeds) or 1
-    rows = docs.select(F.col(id_col).alias("id"), hashes(text_col).alias("h"))
-    shared = []
-    for b in range(blocks):
-        part = F.pmod("item", F.lit(blocks)) == b
-        shared.append(_verified(_seeds(rows, "id"), seeds.filter(part), items.filter(part)))
-    found = reduce(DataFrame.union, shared)
-    return found.groupBy("id", "item_id").agg(F.max("matched").alias("matched"), F.max("words").alias("words"))
+    theirs = items.select("item", "item_id", F.col("h").alias("theirs"))
+    theirs = F.broadcast(theirs) if blocks == 1 else theirs  # fewer words than seeds
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), hashes(text_col).alias("h"))
+    own = _seeds(rows, "id", "mark")
+    turn = F.pmod(F.xxhash64("item", "kind", "item_at"), F.lit(blocks))
+    return reduce(DataFrame.union, (_verified(own, seeds.filter(turn == b), theirs) for b in range(blocks)))
 
 
 def _verified(of_docs: DataFrame, of_items: DataFrame, items: DataFrame) -> DataFrame:
@@ -78,25 +78,30 @@ def _verified(of_docs: DataFrame, of_items: DataFrame, items: DataFrame) -> Data
     hits = hits.filter(F.col("prior").isNull() | prior.isNull() | (prior != F.col("prior")))
     start = F.greatest(F.col("at") - F.col("item_at"), F.lit(0))
     skipped = start - (F.col("at") - F.col("item_at"))  # words of the item before the document's first
-    hits = hits.select("id", "item", start.alias("start"), skipped.alias("skipped"), F.slice("h", start + 1, F.lit(1 << 30)).alias("own"))
-    items = items.select("item", "item_id", F.col("h").alias("theirs"))
-    met = hits.join(F.broadcast(items), "item")
-    n = F.least(F.size("own"), F.size("theirs") - F.col("skipped"))
-    equal = F.zip_with(F.slice("own", 1, n), F.slice("theirs", F.col("skipped") + 1, n), lambda a, b: F.when(a == b, 1).otherwise(0))
-    met = met.select("id", "item_id", F.size("theirs").alias("m"), equal.alias("equal"))
+    n = F.least(F.size("h") - start, F.col("m") - skipped)  # a hit carries no more words than its item has
+    met = hits.select("id", "mark", "item", "m", skipped.alias("skipped"), F.slice("h", start + 1, n).alias("own")).join(items, "item")
+    equal = F.zip_with("own", F.slice("theirs", F.col("skipped") + 1, F.size("own")), lambda a, b: F.when(a == b, 1).otherwise(0))
+    met = met.select("id", "mark", "item_id", "m", equal.alias("equal"))
     width = F.least(F.col("m"), F.lit(WINDOW))
     least = F.when(F.col("m") < WINDOW, F.col("m")).otherwise(LEAST)
     sums = F.transform(F.sequence(F.lit(1), F.size("equal") - width + 1), lambda s: F.aggregate(F.slice("equal", s, width), F.lit(0), lambda x, y: x + y))
     good = F.when(F.size("equal") >= width, F.array_max(sums) >= least).otherwise(False)
     total = F.aggregate("equal", F.lit(0), lambda x, y: x + y)
-    return met.filter(good).select("id", "item_id", total.cast("long").alias("matched"), F.col("m").cast("long").alias("words"))
+    return met.filter(good).select("id", "mark", "item_id", total.cast("long").alias("matched"), F.col("m").cast("long").alias("words"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_seeds: int = MOST_SEEDS) -> DataFrame:
+    """(id, item_id, matched, words): each document and item of which it holds a window; matched: equal words on the best diagonal."""
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text, most_seeds)
+    return found.groupBy("id", "item_id").agg(F.max("matched").alias("matched"), F.max("words").alias("words"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a benchmark item; all columns."""
-    found = overlaps(docs, benchmark, id_col, text_col).select(F.col("id").alias("__mr_leak")).distinct()
-    found = common.settle_keys(found, "leaks")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__mr_leak")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the documents that hold a benchmark item; all columns. A document is its id and text: others of the same
+    or no id stay."""
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text, MOST_SEEDS)
+    found = common.settle_keys(found.select(F.col("id").alias("__mr_id"), F.col("mark").alias("__mr_mark")).distinct(), "leaks")
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__mr_id")) & (F.xxhash64(text_col) == F.col("__mr_mark")), "left_anti")
 
 
 ORACLE_SQL = """

@@ -10,7 +10,8 @@ Groups of at most FEW candidates are compared pair by pair. In a larger one each
 (the texts that share most sketches with others, as originals do with their edited copies) and its first text. Where that
 leaves a large group in parts, all its texts are searched for pairs of different parts by a prefix filter on rare shingles,
 which loses none that reach the similarity. So of all candidates no pair is left unjoined. Every link is verified on the
-whole shingle sets, and verified links are joined into components.
+whole shingle sets, and verified links are joined into components. groups(exact=True) searches all texts with the prefix
+filter, whether they are candidates or not, and so finds every pair.
 
 Texts of equal words are one node from the start, so large groups of exact copies make no links. Texts without words are
 copies of each other. Null ids are kept; rows repeated with the same id and text are copies; an empty table gives an empty
@@ -108,7 +109,7 @@ def _members(nodes: DataFrame) -> DataFrame:
     met = common.settle(ends.join(nodes.select("fp", "node"), "fp").select(F.lit(SKETCHES + 1).alias("k"), "s", "node"), "met")
     keys = nodes.select("node", F.posexplode(F.array_append("sketch", F.col("fp"))).alias("k", "s")).select("k", "s", "node").union(met)
     sizes = keys.groupBy("k", "s").agg(F.count("*").alias("m"), F.min("node").alias("first")).filter("m > 1")
-    return common.settle(keys.join(sizes, ["k", "s"]), "members")
+    return common.settle(common.met(keys, sizes, ["k", "s"], "sizes"), "members")
 
 
 def _candidates(nodes: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -120,7 +121,7 @@ def _candidates(nodes: DataFrame, members: DataFrame | None = None) -> DataFrame
     many = common.settle(members.filter(F.col("m") > FEW).join(weights, "node").select("k", "s", "node", "first", "w"), "many")
     place = F.row_number().over(Window.partitionBy("k", "s").orderBy(F.desc("w"), "node"))  # Spark cuts each task's rows to HUBS first
     hubs = many.withColumn("place", place).filter(F.col("place") <= HUBS).groupBy("k", "s").agg(F.collect_list("node").alias("hubs"))
-    met = many.join(hubs, ["k", "s"]).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set(F.array_append("hubs", F.col("first"))))).alias("to"))
+    met = common.met(many, hubs, ["k", "s"], "hubs", most=common.MOST_KEYS // 4).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set(F.array_append("hubs", F.col("first"))))).alias("to"))
     both = stars.union(met.select("node", F.explode("to").alias("to"))).toDF("x", "y").filter("x <> y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -206,8 +207,11 @@ def _rare_pairs(own: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """(row, id, mark, component): one row per document; near copies share a component."""
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, exact: bool = False) -> DataFrame:
+    """(row, id, mark, component): one row per document; near copies share a component.
+
+    exact: search all texts with the prefix filter, not only the candidate groups that stay in parts. That finds every pair
+    of the least similarity, for a shuffle of about a fifth of all shingles."""
     common.bounded(docs.sparkSession)
     prints = _prints(docs, id_col, text_col)
     nodes = prints.groupBy("digest").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
@@ -216,25 +220,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     edges = common.settle(_candidates(nodes, members), "edges")
     used = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     comp = simhash.components(_verified(edges, _sets(used, docs, prints, text_col, id_col), least))
-    # what the hubs have joined needs no more pairs; large groups that still have parts are searched wholly
-    placed = members.filter(F.col("m") > FEW).join(comp, "node", "left").select("k", "s", "node", F.coalesce("root", "node").alias("root"))
-    parted = placed.groupBy("k", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k", "s")
-    pool = common.settle(placed.join(parted, ["k", "s"]).select("node", "root").distinct(), "pool")
+    if exact:
+        pool = common.settle(nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "pool")
+    else:  # what the hubs have joined needs no more pairs; large groups that still have parts are searched wholly
+        placed = members.filter(F.col("m") > FEW).join(comp, "node", "left").select("k", "s", "node", F.coalesce("root", "node").alias("root"))
+        parted = placed.groupBy("k", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k", "s")
+        pool = common.settle(common.met(placed, parted, ["k", "s"], "parted").select("node", "root").distinct(), "pool")
     if not pool.isEmpty():
         own = _sets(pool.select("node"), docs, prints, text_col, id_col)
         more = _verified(common.settle(_rare_pairs(own, pool, least), "rare"), own, least)
         comp = simhash.components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     of = nodes.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
-    return prints.select("row", "id", "mark", "digest").join(of, "digest").select("row", "id", "mark", "component")
+    return common.met(prints.select("row", "id", "mark", "digest"), of, "digest", "of").select("row", "id", "mark", "component")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, exact: bool = False) -> DataFrame:
     """docs with one document of each group, that with the smallest id; all columns."""
-    found = common.settle(groups(docs, id_col, text_col, least), "groups")
+    found = common.settle(groups(docs, id_col, text_col, least, exact), "groups")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("mark"))
     marks = found.groupBy("component", "id", "mark").agg(F.count("*").alias("n"))
     first = found.groupBy("component").agg(F.min(order).alias("f"), F.count("*").alias("all")).filter("all > 1")
-    in_groups = marks.join(first, "component").withColumn("stays", F.col("id").eqNullSafe(F.col("f.id")) & (F.col("mark") == F.col("f.mark")))
+    in_groups = common.met(marks, first, "component", "first").withColumn("stays", F.col("id").eqNullSafe(F.col("f.id")) & (F.col("mark") == F.col("f.mark")))
     out = common.settle(in_groups.filter("not stays or n > 1").select(F.col("id").alias("__mr_id"), F.col("mark").alias("__mr_mark"), "stays"), "out")
     n = out.agg(F.count("*").alias("all"), F.count_if("stays").alias("again")).first()
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__mr_id")) & (F.xxhash64(text_col) == F.col("__mr_mark"))

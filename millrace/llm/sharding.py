@@ -7,7 +7,8 @@ along the prefixes and finds the splits of all those levels at once; rows of cel
 round. A hot key, whose rows can't be parted by its hash, is split the same way by the hash of a row number, so every shard
 fits; only a single row above the limit is a shard of its own.
 
-The directory (cells with their shard) is broadcast if it has at most MOST_CELLS rows (about half a kilobyte each in memory), else joined by a shuffle.
+The directory (cells with their shard) is broadcast if it has at most MOST_CELLS rows (up to four kilobytes each in memory,
+as measured), else joined by a shuffle of (size, key hash) or, where whole rows are placed, of the rows.
 
 A null key counts as the empty one, a null text as no bytes; rows repeat freely (copies of a hot key may go to any of its
 shards); an empty table gives an empty result; other columns are ignored.
@@ -25,7 +26,7 @@ from . import common
 
 BITS = 60
 MAX_BYTES = 1 << 20
-MOST_CELLS = 100_000
+MOST_CELLS = 20_000
 #: Bits that a round after the first looks ahead, and that the first one does beyond the least number of shards.
 STEP, AHEAD = 8, 3
 
@@ -59,8 +60,8 @@ def _on_cells(rows: DataFrame, cells: DataFrame, small: bool) -> DataFrame:
     return rows.join(F.broadcast(cells) if small else cells, ["g", "cell"])
 
 
-def _place(active: DataFrame, limit: int, step: int, hot: bool) -> list[DataFrame]:
-    """Parts (id, shard, depth, shard_bytes) of the active rows (id, size, g, h, n); hot: g is a hot key's hash, h a row's."""
+def _place(active: DataFrame, limit: int, step: int, hot: bool, most: int) -> list[DataFrame]:
+    """Parts (row, shard, depth, shard_bytes) of the active rows (row, size, g, h, n); hot: g is a hot key's hash, h a row's."""
     done, base, parts = False, 0, []
     name = F.concat_ws(":", "d", "prefix")
     name = F.concat(F.lit(f"{BITS}:"), F.col("g"), F.lit("/"), name) if hot else name
@@ -68,37 +69,56 @@ def _place(active: DataFrame, limit: int, step: int, hot: bool) -> list[DataFram
         depth = min(BITS, base + step)
         directory = _directory(active, base + 1 if base else 0, depth, limit)
         n = directory.agg(F.count("*").alias("all"), F.count_if(F.col("d").isNull()).alias("large"), F.count_if(F.col("d").isNull() & F.col("single")).alias("single")).first()
-        small = n["all"] <= MOST_CELLS
+        small = n["all"] <= most
         rows = active.withColumn("cell", _prefix(F.col("h"), BITS, depth))
-        parts.append(_on_cells(rows, directory.filter("d is not null").select("g", "cell", "d", "prefix", "total"), small).select("id", name.alias("shard"), (F.col("d") + (BITS if hot else 0)).alias("depth"), F.col("total").alias("shard_bytes")))
+        parts.append(_on_cells(rows, directory.filter("d is not null").select("g", "cell", "d", "prefix", "total"), small).select("row", name.alias("shard"), (F.col("d") + (BITS if hot else 0)).alias("depth"), F.col("total").alias("shard_bytes")))
         if n["single"]:
             same = _on_cells(rows, directory.filter("d is null and single").select("g", "cell"), small)
             if hot:  # two row numbers with equal hashes
-                parts.append(same.select("id", F.concat(F.lit(f"{BITS}:"), F.col("g"), F.lit("#"), F.col("n")).alias("shard"), F.lit(2 * BITS).alias("depth"), F.col("size").alias("shard_bytes")))
+                parts.append(same.select("row", F.concat(F.lit(f"{BITS}:"), F.col("g"), F.lit("#"), F.col("n")).alias("shard"), F.lit(2 * BITS).alias("depth"), F.col("size").alias("shard_bytes")))
             else:
-                again = same.select("id", "size", F.col("h").alias("g"), F.xxhash64("n").bitwiseAND(F.lit((1 << BITS) - 1)).alias("h"), "n")
-                parts += _place(common.settle(again, "hot"), limit, STEP, True)
+                again = same.select("row", "size", F.col("h").alias("g"), F.xxhash64("n").bitwiseAND(F.lit((1 << BITS) - 1)).alias("h"), "n")
+                parts += _place(common.settle(again, "hot"), limit, STEP, True, most)
         done = n["large"] == n["single"]
         if not done:
-            active = common.settle(_on_cells(rows, directory.filter("d is null and not single").select("g", "cell"), small).select("id", "size", "g", "h", "n"), "active")
+            active = common.settle(_on_cells(rows, directory.filter("d is null and not single").select("g", "cell"), small).select("row", "size", "g", "h", "n"), "active")
             base, step = depth, STEP
     return parts
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES, id_col: str | None = None) -> DataFrame:
-    """(id, shard, depth, shard_bytes): the shard of each row; shard is depth:prefix, its rows' texts have shard_bytes bytes."""
+def _rows(docs: DataFrame, row: Column, key: str, text_col: str) -> DataFrame:
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col or key).alias("id"), size.alias("size"), F.lit(0).cast("long").alias("g"), key_hash(key).alias("h"), F.monotonically_increasing_id().alias("n"))
-    rows = common.settle(rows, "sizes")
+    return docs.select(row.alias("row"), size.alias("size"), F.lit(0).cast("long").alias("g"), key_hash(key).alias("h"), F.monotonically_increasing_id().alias("n"))
+
+
+def _placed(rows: DataFrame, max_bytes: int, most_cells: int) -> DataFrame:
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     step = min(40, AHEAD + ceil(log2(max(1, total / max_bytes))))
-    return reduce(DataFrame.union, _place(rows, max_bytes, step, False))
+    return reduce(DataFrame.union, _place(rows, max_bytes, step, False, most_cells))
 
 
-def write(docs: DataFrame, shards: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write docs below path, a folder for each shard; shards as assign() gives them for a unique key. A task writes whole shards."""
-    placed = docs.join(shards.select(F.col("id").alias(key), F.regexp_replace("shard", "[:/]", "-").alias("shard")), key)
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+def assign(docs: DataFrame, key: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES, id_col: str | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
+    """(id, shard, depth, shard_bytes): the shard of each row; shard is depth:prefix, its rows' texts have shard_bytes bytes."""
+    rows = common.settle(_rows(docs, F.struct(F.col(id_col or key).alias("id")), key, text_col), "sizes")
+    return _placed(rows, max_bytes, most_cells).select("row.id", "shard", "depth", "shard_bytes")
+
+
+def place(docs: DataFrame, key: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES, most_cells: int = MOST_CELLS, column: str = "shard") -> DataFrame:
+    """docs with their shard in a last column. Whole rows are dealt, without a join on the key, so null and repeated keys
+    neither lose nor multiply rows; only those of hot keys and of cells that split again are written on the way."""
+    rows = _rows(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), key, text_col)
+    return _placed(rows, max_bytes, most_cells).select("row.*", F.col("shard").alias(column))
+
+
+def write(docs: DataFrame, path: str, key: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES, most_cells: int = MOST_CELLS) -> str:
+    """Write docs below path, a folder for each shard, and return the folders' column: shard, or with underscores after it
+    where docs have that. A task writes whole shards."""
+    column, used = "shard", {c.lower() for c in docs.columns}
+    while column in used:
+        column += "_"
+    placed = place(docs, key, text_col, max_bytes, most_cells, column).withColumn(column, F.regexp_replace(column, "[:/#]", "-"))
+    placed.repartition(column).write.partitionBy(column).parquet(path)
+    return column
 
 
 ORACLE_SQL = f"""

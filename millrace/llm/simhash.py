@@ -5,8 +5,8 @@ one in Manhattan distance, so fingerprints within two bits lie within Manhattan
 vectors always have a common vector at distance one or less from both. Each distinct fingerprint is therefore put into
 the grid cell of its own vector and those of the 32 vectors around it; fingerprints that meet in a cell are candidates,
 and their differing bits are counted exactly. Cells are streamed in sorted order. In a cell with more than CROWD
-fingerprints no pairs are made: each fingerprint is linked to the 64 values one bit away, which joins exactly those
-fingerprints that are within two bits of each other.
+fingerprints no pairs are made: each fingerprint of such a cell is linked, once, to the 64 values one bit away, which joins
+exactly those fingerprints that are within two bits of each other.
 
 Nulls and empty texts have fingerprint zero and are linked like any other; repeated rows stay; a null id is kept and
 never becomes a component's id; an empty table gives an empty result; other columns are ignored.
@@ -75,8 +75,8 @@ def _cells(fp: Column) -> Column:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, fp) sorted by both -> verified links (a, b). Holds at most CROWD fingerprints of the cell at hand."""
-    flips = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    """Rows (cell, fp) sorted by both -> verified links (a, b), and (a, a) for each fingerprint of a crowded cell.
+    Holds at most CROWD fingerprints of the cell at hand."""
     held: np.ndarray = np.zeros((0, 2), np.int64)
     crowd: int | None = None  # the crowded cell that is being streamed
 
@@ -86,10 +86,6 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi = np.minimum(a, b), np.maximum(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
 
-    def star(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = (fp.view(np.uint64)[:, None] ^ flips[None, :]).reshape(-1)
-        return np.repeat(fp, 64), near.view(np.int64)
-
     def done(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Whole cells of at most CROWD rows each."""
         found = []
@@ -109,7 +105,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if crowd is not None:  # rows of a cell that is known to be crowded
             k = int(np.searchsorted(rows[:, 0], crowd, side="right"))
             if k:
-                links.append(star(np.ascontiguousarray(rows[:k, 1])))
+                links.append((rows[:k, 1], rows[:k, 1]))
             rows, crowd = rows[k:], crowd if k == len(rows) else None
         rows = np.concatenate([held, rows])
         if not len(rows):
@@ -119,7 +115,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.r_[starts, len(rows)])
         last = int(starts[-1])
         for s, n in zip(starts[sizes > CROWD], sizes[sizes > CROWD], strict=True):
-            links.append(star(np.ascontiguousarray(rows[s : s + n, 1])))
+            links.append((rows[s : s + n, 1], rows[s : s + n, 1]))
         small = np.repeat((sizes <= CROWD) & (sizes > 1), sizes)
         small[last:] = False
         if small.any():
@@ -140,7 +136,10 @@ def links(distinct: DataFrame) -> DataFrame:
     cells = distinct.select("fp", own.alias("own")).select(F.explode(around).alias("cell"), "fp").filter(F.col("cell").isNotNull())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = cells.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_links, "a long, b long")
-    return found.filter("a <> b").distinct()
+    found = common.settle(found.distinct(), "pairs")
+    crowded = found.filter("a = b").select("a", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    near = crowded.select("a", F.expr("a ^ shiftleft(1L, bit)").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.filter("a <> b").union(near).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -156,7 +155,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "v").filter(F.col("m") > F.col("v")).select(F.col("m").alias("v"), F.col("low").alias("m")).distinct()
         least = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(least, "v").select(F.when(F.col("m") == F.col("low"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("low").alias("m"))
-        now = common.settle(small.filter("v <> m").distinct(), "links")
+        before, now = now, common.settle(small.filter("v <> m").distinct(), "links")
+        common.done(before)
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(v, m))")).first()
         if state == seen:
             return now.select(F.col("v").alias("node"), F.col("m").alias("root"))
@@ -168,9 +168,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     prints = common.settle(fingerprints(docs, id_col, text_col, shingle), "prints")
     distinct = common.settle(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     comp = components(links(distinct))
-    placed = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "first", "root")
-    roots = comp.select(F.col("root").alias("fp")).distinct().select("fp", F.col("fp").alias("self"))
-    placed = placed.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "self").alias("root"))
+    placed = common.met(distinct, comp.select(F.col("node").alias("fp"), "root"), "fp", "roots", "left")
+    heads = comp.select(F.col("root").alias("fp")).distinct().select("fp", F.col("fp").alias("self"))
+    placed = common.settle(common.met(placed, heads, "fp", "heads", "left").select("fp", "first", F.coalesce("root", "self").alias("root")), "placed")
     lowest = placed.filter("root is not null").groupBy("root").agg(F.min("first").alias("low"))
-    of = placed.join(lowest, "root", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
+    of = common.met(placed, lowest, "root", "lowest", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
     return prints.join(of, "fp").select("id", "fp", "component_id")

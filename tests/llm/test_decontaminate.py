@@ -80,3 +80,28 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
     assert decontaminate.overlaps(docs, items).count() == 0
     assert decontaminate.overlaps(items.withColumnRenamed("item_id", "doc_id"), items.filter("item_id = 2")).count() == 0
+
+
+def test_long_and_repetitive_texts(spark):
+    """A hit carries no more of the document than its item has words, however often the document repeats them."""
+    docs = [(1, "the " * 150_000), (2, " ".join(f"q{k}" for k in range(150_000))), (3, "the " * 19), (4, "a b " * 50_000)]
+    items = [(1, "the " * 20), (2, " ".join(f"q{k}" for k in range(100_500, 100_530))), (3, "b a " * 4)]
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == {(1, 1, 20, 20), (2, 2, 30, 30), (3, 1, 19, 20), (4, 3, 8, 8)}
+
+
+def test_clean_keeps_other_rows_of_null_and_repeated_ids(spark):
+    leak = "one two three four five six seven eight nine ten"
+    rows = [(None, leak, 1), (None, "clean", 2), (1, leak, 3), (1, "clean", 4), (2, "clean", 5), (2, "clean", 6), (3, None, 7), (4, leak.upper(), 8), (None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(1, leak), (None, leak)], "item_id long, text string")
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r.item_id for r in kept.collect()) == [2, 4, 5, 6, 7, 9]
+
+
+def test_one_huge_item_is_dealt_to_many_blocks(spark):
+    words = [f"w{k}" for k in range(600)]
+    docs = spark.createDataFrame([(k, " ".join(words[20 * k : 20 * k + 20])) for k in range(30)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = decontaminate.overlaps(docs, items, most_seeds=100).collect()
+    assert sorted((r.id, r.matched) for r in got) == [(k, 20) for k in range(30)]

@@ -56,6 +56,31 @@ def test_near_copies_match_brute_force(spark):
     assert {(r.doc_id is None, r.doc_id or 0) for r in found} == set(first.values())
 
 
+def test_large_groups_of_edited_copies(spark):
+    """Six bases of 60 edited copies each: the candidate groups are far above FEW, and no link of brute force is lost."""
+    rng = random.Random(5)
+    vocab, rows = [f"w{k}" for k in range(4000)], []
+    for _ in range(6):
+        words = rng.choices(vocab, k=rng.choice((120, 200, 300)))
+        rows += [(0, edited(rng, words, rng.choice((0.01, 0.015, 0.02, 0.03)))) for _ in range(60)]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    want = groups(rows)
+    assert 100 < len(set(want)) < 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for exact in (False, True):
+        of = {r.id: r.component for r in near_copies.groups(docs, exact=exact).collect()}
+        assert len(set(of.values())) == len(set(want)) == len({(of[k], g) for k, g in enumerate(want)})
+
+
+def test_very_long_texts_and_many_copies(spark):
+    rng = random.Random(8)
+    long = [f"v{rng.randrange(10**6)}" for _ in range(120_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:60_000], "changed", *long[60_001:]])), (3, " ".join(long[::-1]))]
+    rows += [(10 + k, "the same few words in every copy of this one") for k in range(2000)] + [(None, "x " * 50_000), (4, "x " * 50_001)]
+    found = near_copies.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in found) == [1, 3, 4, 10]
+
+
 def test_links_meet_between_fingerprints_in_crowded_cells(spark):
     """More than CROWD fingerprints of one cell; pairs that differ in two bits have no fingerprint between them."""
     rng = random.Random(5)

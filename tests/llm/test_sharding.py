@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import duckdb
+import pytest
 
 from millrace.llm import sharding
 from millrace.llm.queries import ORACLE_SQL, QUERIES
@@ -53,9 +54,35 @@ def test_hot_keys_and_odd_rows(spark):
 def test_written_shards(spark, tmp_path, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     shards = sharding.assign(docs, max_bytes=100_000)
-    sharding.write(docs, shards, f"{tmp_path}/shards")
-    assert spark.read.parquet(f"{tmp_path}/shards").count() == docs.count()
+    assert sharding.write(docs, f"{tmp_path}/shards", max_bytes=100_000) == "shard"
+    back = spark.read.parquet(f"{tmp_path}/shards").cache()
+    assert back.count() == docs.count()
     assert len(list((tmp_path / "shards").glob("shard=*"))) == shards.select("shard").distinct().count() > 3
+    want = {(r.id, r.shard.replace(":", "-")) for r in shards.collect()}
+    assert {(r.doc_id, r.shard) for r in back.collect()} == want
+
+
+@pytest.mark.parametrize("most", [sharding.MOST_CELLS, 0])
+def test_writing_loses_and_repeats_no_row(spark, tmp_path, most):
+    rows = [(None, "a", 0), (1, "b", 1), (1, "c", 2), (2, None, 3), (None, None, 4), (1, "b", 5), (3, "long " * 40_000, 6)]
+    rows += [(9, "x" * 100, 7 + k) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Shard int")
+    column = sharding.write(docs, f"{tmp_path}/out", max_bytes=1000, most_cells=most)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert column == "shard_" and sorted(back.columns) == sorted([*docs.columns, column])
+    got = back.collect()
+    assert sorted((r.Shard, r.doc_id, r.text) for r in got) == sorted((s, i, t) for i, t, s in rows)
+    filled = defaultdict(int)
+    for r in got:
+        filled[r.shard_] += len((r.text or "").encode())
+    assert sorted(n for n in filled.values() if n > 1000) == [200_000]
+
+
+@pytest.mark.parametrize("most", [0])
+def test_large_directories_meet_rows_by_a_shuffle(spark, sf_dir, most):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a, b = (sorted(map(tuple, sharding.assign(docs, max_bytes=200_000, most_cells=m).collect())) for m in (sharding.MOST_CELLS, most))
+    assert a == b
 
 
 def test_query_matches_sql(spark, sf_dir):

@@ -80,3 +80,12 @@ def test_odd_rows(spark):
     assert [(i, c) for i, _, c in got] == [(-1, None), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (6, 6)]
     assert all(f == signed(plain(dict((i, t) for i, t in rows).get(None if i == -1 else i))) for i, f, _ in got)
     assert simhash.groups(df.filter("doc_id = 99")).count() == 0
+
+
+def test_a_hot_component_is_dealt_to_many_tasks(spark, monkeypatch):
+    """Beyond the bound of broadcasts the joins of components are salted, with the same rows."""
+    rows = [(k, f"common words of one text {'again ' * (k % 3)}") for k in range(200)] + [(500 + k, f"text number {k} has its own words {k * k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain_ = sorted(map(tuple, simhash.groups(docs).collect()))
+    monkeypatch.setattr(simhash.common.met, "__defaults__", ("inner", 0, 16))
+    assert sorted(map(tuple, simhash.groups(docs).collect())) == plain_
