@@ -2,6 +2,7 @@
 
 The stages drop what the language identifier rejects, keep one document of each group of near copies, drop documents that
 hold a benchmark item, replace secrets by a mark, and encode what is left. All but the last return the columns of documents.
+An empty table passes through as an empty table; columns beyond those of documents stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,23 +19,30 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language. Those without letters (null and empty texts among them) or without a likely language go;
+    rows are told apart by id and text, so null and repeated ids cost no other row."""
     return language.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id (null ids last); a row that repeats whole stays
+    once. Texts without words are copies of each other."""
     return near_copies.dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item. Only the row whose own text has one goes, also among null and repeated ids; null
+    and empty texts, and an empty benchmark, remove nothing."""
     return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret and n_chars counted anew. Null texts stay null."""
     return secret_scan.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; null and empty texts have no tokens."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return byte_bpe.digests(byte_bpe.round_trip(docs, ranks)).withColumnRenamed("id", "doc_id")
 
@@ -52,8 +60,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the whole documents table; every stage's result is written and read again."""
+    """The last stage's rows over the whole documents table. Every stage's result is written and read again; then its input
+    and what it wrote on the way are deleted."""
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.settle(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.settle_stage(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        common.done(before)
     return docs
