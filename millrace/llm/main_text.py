@@ -1,13 +1,16 @@
 """HTML extraction: boosted trees score the blocks of a page's tree, and one consistent choice of subtrees is decoded.
 
 A page becomes a tree of block elements (loose text beside blocks counts as one); inline elements belong to their block.
-Features of a node are the density of text and links in its subtree, the words in its class, id and role, its tag, depth,
-place and siblings, and what its ancestors are called. Trees boosted on generated pages, whose parts are known, give each
-node the probability of being main text.
+Features of a node are the density of text, links and controls in its subtree, its contrast with its siblings and their
+repetition, its depth and place, where the page's densest text lies, its tag, and the words in its class, id, role, itemprop
+and aria-label and in those of its ancestors, hashed to BUCKETS; no word has a meaning of its own. Trees boosted on generated
+pages (made_pages), whose parts are known, give each node the probability of being main text. The fitted trees are
+main_text_model.json beside this file, which "python -m millrace.llm.main_text" makes again from PAGES and SEED.
 
 Decoding gives each node one of three states: above (it may hold main text further down), in, or cut. Below cut all is cut;
 below in all is in or cut; so no choice contradicts that of an ancestor. The states with the largest total log-probability
 (weighted by the text's length, with a price for a cut inside main text) are found by dynamic programming over the tree.
+Where that leaves nothing although a block has PROSE words or more outside links, the likeliest such block counts as in.
 
 Null and empty pages give an empty text; pages of any length and depth are read whole; malformed markup is repaired as far
 as blocks are concerned; repeated rows stay; an empty table gives an empty result; other columns are ignored.
@@ -15,21 +18,26 @@ as blocks are concerned; repeated rows stay; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import json
 import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import boosting, common
+from . import boosting, common, made_pages
 
 #: Elements that are not rendered as text, blocks, and those that a new one of the same group closes.
-SKIPPED = frozenset("script style noscript template iframe object svg canvas select button textarea title datalist audio video map".split())
+SKIPPED = frozenset("script style noscript template iframe object svg canvas select button textarea title datalist audio video map label legend option".split())
 BLOCKS = frozenset(
     "html body main article section header footer nav aside div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table thead tbody tfoot tr td th caption form fieldset figure figcaption details summary address center hgroup dialog menu".split()
 )
@@ -37,49 +45,40 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _SCOPES = frozenset("table ul ol dl body html".split())
 _CONTROLS = frozenset("input select textarea button label option".split())
 
-#: Words in class, id and role that speak for or against main text, by topic.
-TOPICS = {
-    "main": "article main content post entry story body text prose blogpost articlebody maincontent hentry chapter".split(),
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs tabs toc pagination pager sitemap skip".split(),
-    "advert": "ad ads advert adverts advertisement banner sponsor sponsored promo promotion adsense dfp outbrain taboola commercial".split(),
-    "comment": "comment comments reply replies respond discussion disqus thread commenter feedback reviews".split(),
-    "foot": "footer foot copyright legal colophon credits bottom".split(),
-    "head": "header masthead topbar logo branding hero head toolbar".split(),
-    "aside": "aside sidebar side related recommended widget rail more popular trending teaser archive tags".split(),
-    "notice": "notice cookie cookies consent gdpr popup modal overlay alert warning message paywall subscribe newsletter signup".split(),
-    "form": "form login search register signin contact input subscription".split(),
-    "share": "share social sharing follow twitter facebook buttons meta byline print".split(),
-}
-_TOPIC = {w: k for k, (_, ws) in enumerate(TOPICS.items()) for w in ws}
+#: Hash buckets of the words in names; the attributes that have such words.
+BUCKETS = 256
+_NAMED = frozenset("class id role itemprop aria-label".split())
 _TAGS = ("p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "list", "li", "heading", "quote", "table", "form", "body", "figure", "#run")
 _TAG = {"ul": "list", "ol": "list", "dl": "list", "menu": "list", "dt": "li", "dd": "li", "blockquote": "quote", "pre": "quote", "html": "body", "figcaption": "figure", "fieldset": "form"}
 _TAG |= {f"h{k}": "heading" for k in range(1, 7)} | dict.fromkeys("thead tbody tfoot tr td th caption".split(), "table")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
+
+
 class _Tree(HTMLParser):
     """Block nodes with their parents, and the page's text as (node, text) in order; node -1 marks a break."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.depth, self.topics, self.gold = ["body"], [-1], [0], [()], [""]
+        self.tag, self.parent, self.depth, self.names, self.gold = ["body"], [-1], [0], [()], [""]
         self.links, self.tags, self.controls = [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []
         self.stack, self.skipping, self.link = [0], [], 0
 
     def _open(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        found = []
-        for k, v in attrs:
-            if k in ("class", "id", "role", "itemprop", "aria-label") and v:
-                found += [_TOPIC[w] for w in map(str.lower, _WORD.findall(v)) if w in _TOPIC]
-        at = self._node(tag, self.stack[-1], tuple(sorted(set(found))), next((v or "" for k, v in attrs if k == "data-gold"), ""))
+        found = {_bucket(w) for k, v in attrs if k in _NAMED and v for w in map(str.lower, _WORD.findall(v))}
+        at = self._node(tag, self.stack[-1], tuple(sorted(found)), next((v or "" for k, v in attrs if k == "data-gold"), ""))
         self.stack.append(at)
 
-    def _node(self, tag: str, parent: int, topics: tuple[int, ...] = (), gold: str = "") -> int:
+    def _node(self, tag: str, parent: int, names: tuple[int, ...] = (), gold: str = "") -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
-        self.topics.append(topics)
+        self.names.append(names)
         self.gold.append(gold or self.gold[parent])
         for x in (self.links, self.tags, self.controls):
             x.append(0)
@@ -186,54 +185,96 @@ def parse(html: str) -> _Tree:
     return tree
 
 
-_N = 17 + 2 * len(TOPICS) + len(_TAGS)
+_SEMANTIC = ("nav", "footer", "header", "aside", "form", "article", "main")
+_ALL = tuple(range(BUCKETS))
+
+
+def _beside(parent: np.ndarray, value: np.ndarray, step: int, first: float) -> np.ndarray:
+    """The value of each node's previous (-1) or next (1) sibling."""
+    out, last = np.full(len(parent), first), {}
+    for k in range(len(parent))[::-step]:
+        p = int(parent[k])
+        if p in last:
+            out[k] = value[last[p]]
+        last[p] = k
+    return out
 
 
-def features(t: _Tree) -> tuple[np.ndarray, np.ndarray]:
-    """(features, text length of the subtree) of each node."""
+def features(t: _Tree, own_names: tuple[int, ...] = _ALL, above_names: tuple[int, ...] = _ALL) -> tuple[np.ndarray, np.ndarray]:
+    """(features, text length of the subtree) of each node; only the given buckets of names become columns."""
     n = len(t.tag)
-    own, marks, first = np.zeros(n), np.zeros(n), np.full(n, -1.0)
+    own, marks, rights, first = np.zeros(n), np.zeros(n), np.zeros(n), np.full(n, -1.0)
     done = 0
     for at, text in t.pieces:
         if at >= 0:
             size = len(text.strip())
             own[at] += size
             marks[at] += sum(map(text.count, ".,;:!?"))
+            rights[at] += text.count("\u00a9")
             if first[at] < 0 and size:
                 first[at] = done
             done += size
-    parent = np.array(t.parent)
+    parent, links = np.array(t.parent), np.array(t.links, float)
     kind = [_TAG.get(x, x) for x in t.tag]
-    sums = np.stack([own, marks, np.array(t.links, float), np.array(t.tags, float), np.array(t.controls, float)] + [np.array([k == x for k in kind], float) for x in ("p", "li", "heading")] + [own * np.array([k == "p" for k in kind])], axis=1)
+    is_p = np.array([x in ("p", "#run", "quote") for x in kind], float)
+    sums = np.stack([own, marks, links, np.array(t.tags, float), np.array(t.controls, float)] + [np.array([k == x for k in kind], float) for x in ("p", "li", "heading")] + [own * np.array([k == "p" for k in kind]), rights], axis=1)
     begin = np.where(first < 0, np.inf, first)
-    children = np.zeros(n)
+    children, direct = np.zeros(n), np.maximum(0, own - links)
+    text = direct * is_p
+    twins: dict[int, Counter] = {}
     for k in range(n - 1, 0, -1):  # children come after their parents
-        sums[parent[k]] += sums[k]
-        begin[parent[k]] = min(begin[parent[k]], begin[k])
-        children[parent[k]] += 1
+        p = parent[k]
+        sums[p] += sums[k]
+        begin[p] = min(begin[p], begin[k])
+        children[p] += 1
+        direct[p] += text[k]
+        twins.setdefault(int(p), Counter())[t.tag[k], t.names[k]] += 1
+    same = np.array([0] + [twins[t.parent[k]][t.tag[k], t.names[k]] for k in range(1, n)], float)
+    copies = np.array([max((c for (tag, _), c in twins[k].items() if tag not in ("p", "#run")), default=0) if k in twins else 0 for k in range(n)], float)
     length, total = sums[:, 0], max(1.0, sums[0, 0])
-    order, seen = np.zeros(n), np.zeros(n)
-    above = np.zeros((n, len(TOPICS)))
-    mine = np.zeros((n, len(TOPICS)))
-    own_tag = {"nav": 1, "footer": 4, "header": 5, "aside": 6, "form": 8, "article": 0, "main": 0}
+    order, seen, longest = np.zeros(n), np.zeros(n), np.zeros(n)
+    densest = int(direct.argmax())
+    near, k = np.zeros(n), densest
+    while k >= 0:
+        near[k], k = 2, parent[k]
+    near[densest] = 1
+    own_columns, above_columns = ({b: j for j, b in enumerate(x)} for x in (own_names, above_names))
+    mine, above = np.zeros((n, len(own_names))), np.zeros((n, len(above_names)))
+    tags_above = np.zeros((n, len(_SEMANTIC)))
     for k in range(n):
-        mine[k, list(t.topics[k])] = 1
+        for b in t.names[k]:
+            if b in own_columns:
+                mine[k, own_columns[b]] = 1
         if k:
             p = parent[k]
             order[k], seen[p] = seen[p], seen[p] + 1
-            above[k] = np.maximum(above[p], mine[p])
-            if t.tag[p] in own_tag:
-                above[k, own_tag[t.tag[p]]] = 1
+            longest[p] = max(longest[p], length[k])
+            above[k], tags_above[k] = above[p], tags_above[p]
+            for b in t.names[p]:
+                if b in above_columns:
+                    above[k, above_columns[b]] = 1
+            if t.tag[p] in _SEMANTIC:
+                tags_above[k, _SEMANTIC.index(t.tag[p])] = 1
+            if near[k] == 0 and near[p] in (1, 3):
+                near[k] = 3
     up = np.maximum(parent, 0)
     siblings = np.maximum(1, children[up])
     beside = np.maximum(0, length[up] - length) / np.maximum(1, siblings - 1)
     safe = np.maximum(1.0, length)
+    linked, prose = sums[:, 2] / safe, sums[:, 8] / safe
+    size, best = np.log1p(length), direct / max(1.0, direct[densest])
     base = [
-        np.array(t.depth, float), np.log1p(length), sums[:, 2] / safe, np.log1p(length / (sums[:, 3] + 1)), np.log1p(sums[:, 5]), sums[:, 8] / safe, 100 * sums[:, 1] / safe, order / siblings, np.log1p(siblings),
+        np.array(t.depth, float), size, linked, np.log1p(length / (sums[:, 3] + 1)), np.log1p(sums[:, 5]), prose, 100 * sums[:, 1] / safe, order / siblings, np.log1p(siblings),
         length / np.maximum(1.0, length[up]), length / total, np.log1p(beside), np.log1p(sums[:, 6]), np.log1p(sums[:, 7]), np.log1p(sums[:, 4]), np.where(np.isfinite(begin), begin, total) / total, np.log1p(children),
+        np.log1p(same), np.log1p(copies), length / np.maximum(1.0, longest[up]), size - _beside(parent, size, -1, 0.0), size - _beside(parent, size, 1, 0.0), _beside(parent, linked, -1, -1.0), _beside(parent, linked, 1, -1.0),
+        best, near, best[up], linked[up], prose[up], (length / total)[up], np.log1p(same)[up], np.log1p(copies)[up], (sums[:, 9] > 0).astype(float), np.log1p(sums[up, 4]),
     ]
     tags = np.array([[k == x for x in _TAGS] for k in kind], float)
-    return np.hstack([np.stack(base, axis=1), mine, above, tags]), length
+    return np.hstack([np.stack(base, axis=1), tags, tags[up], tags_above, mine, above]), length
+
+
+#: Columns before those of names.
+_PLAIN = 34 + 2 * len(_TAGS) + len(_SEMANTIC)
 
 
 #: What a cut inside main text costs, in nats.
@@ -272,120 +313,50 @@ def text_of(t: _Tree, state: np.ndarray) -> str:
     return " ".join("".join(" " if at < 0 else text for at, text in t.pieces if at < 0 or keep[at]).split())
 
 
-# Pages whose parts are known, for training.
-
-_SYLLABLES = "ka lo mi ter on sa re vi du pol an ek tur ish ne ba".split()
-
-
-def _words(rng: random.Random, n: int) -> str:
-    words = ["".join(rng.choices(_SYLLABLES, k=rng.randint(1, 4))) for _ in range(n)]
-    out, size = [], 0
-    for w in words:
-        size = size + 1 if size else 1
-        out.append(w.title() if size == 1 else w)
-        if size > rng.randint(4, 18):
-            out[-1] += rng.choice(".....!?")
-            size = 0
-        elif rng.random() < 0.08:
-            out[-1] += ","
-    return " ".join(out) + rng.choice(("", ".", "."))
-
-
-def _attrs(rng: random.Random, topic: str | None, gold: str = "", named: bool = False) -> str:
-    mark = f' data-gold="{gold}"' if gold else ""
-    if topic is None or (not named and rng.random() < 0.1):
-        return mark + rng.choice(("", "", f' class="c{rng.randint(0, 99)}"', f' id="x{rng.randint(0, 99)}"'))
-    word = rng.choice(TOPICS[topic])
-    form = rng.choice(("{}", "{}", "site-{}", "{}-wrap", "{}_1", "page{}", "{} clearfix", "col {}")).format(word.title() if rng.random() < 0.1 else word)
-    return f' {rng.choice(("class", "class", "id"))}="{form}"' + mark
-
-
-def _links(rng: random.Random, n: int) -> str:
-    items = [f'<a href="/{k}">{_words(rng, rng.randint(1, 4))}</a>' for k in range(n)]
-    style = rng.randrange(3)
-    if style == 0:
-        close = rng.choice(("</li>", ""))
-        return "<ul>" + "".join(f"<li>{x}{close}" for x in items) + "</ul>"
-    return " | ".join(items) if style == 1 else "".join(f"<div>{x}</div>" for x in items)
-
-
-def _noise(rng: random.Random, topic: str, named: bool = False) -> str:
-    """A part that isn't main text; named: its tag or its class says so."""
-    tag = {"menu": "nav", "foot": "footer", "head": "header", "aside": "aside", "form": "form"}.get(topic, "div")
-    known = rng.random() < 0.5 and tag != "div"
-    tag = tag if known else rng.choice(("div", "div", "section", "p") if topic in ("advert", "notice") else ("div", "div", "section"))
-    inner = {
-        "menu": lambda: _links(rng, rng.randint(3, 12)),
-        "advert": lambda: rng.choice((_words(rng, rng.randint(3, 40)), f"<p>{_words(rng, rng.randint(3, 40))}</p>", f'<a href="/ad">{_words(rng, rng.randint(2, 12))}</a><img src="x">')),
-        "comment": lambda: "".join(f'<div{_attrs(rng, "comment")}><p>{_words(rng, rng.randint(4, 80))}</p></div>' for _ in range(rng.randint(1, 6))),
-        "foot": lambda: rng.choice(("&copy; ", "", "<p>")) + _words(rng, rng.randint(3, 30)) + (_links(rng, rng.randint(2, 8)) if rng.random() < 0.5 else ""),
-        "head": lambda: rng.choice((f"<h1>{_words(rng, 3)}</h1>", f'<a href="/">{_words(rng, 2)}</a>', f"<h2>{_words(rng, 2)}</h2><p>{_words(rng, rng.randint(3, 12))}</p>")) + (_links(rng, 4) if rng.random() < 0.4 else ""),
-        "aside": lambda: f"<h3>{_words(rng, 2)}</h3>" + rng.choice((_links(rng, rng.randint(2, 8)), "".join(f"<p>{_words(rng, rng.randint(5, 40))}</p>" for _ in range(rng.randint(1, 4))))),
-        "notice": lambda: f"<p>{_words(rng, rng.randint(5, 60))}</p><button>ok</button>",
-        "form": lambda: f"<label>{_words(rng, 2)}</label><input name=q><input type=submit>" + (f"<p>{_words(rng, rng.randint(2, 15))}</p>" if rng.random() < 0.5 else ""),
-        "share": lambda: _links(rng, rng.randint(2, 5)),
-    }[topic]()
-    return f'<{tag}{_attrs(rng, None if known else topic, "out", named)}>{inner}</{tag}>'
-
-
-def _article(rng: random.Random) -> str:
-    parts = [rng.choice(("<h1>{}</h1>", "<h2>{}</h2>", "<h1>{}</h1>", "")).format(_words(rng, rng.randint(2, 14)))]
-    style = rng.random()
-    for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 12, 20))):
-        body = _words(rng, rng.choice((1, 1, 2, 3, 8, 30, 60, 120, 250)))
-        if rng.random() < 0.15:
-            body = body.replace(" ", f' <a href="/l">{_words(rng, 2)}</a> ', 1)
-        if rng.random() < 0.15:
-            body = f"<b>{body}" + rng.choice(("</b>", "<br>"))
-        if style < 0.75:
-            parts.append(f"<p>{body}" + ("</p>" if rng.random() < 0.9 else ""))
-        elif style < 0.88:
-            parts.append(f"<div>{body}</div>")
-        else:
-            parts.append(f"{body}<br><br>")
-        kind = rng.random()
-        if kind < 0.06:
-            parts.append(f"<h3>{_words(rng, rng.randint(1, 6))}</h3>")
-        elif kind < 0.1:
-            parts.append("<ul>" + "".join(f"<li>{_words(rng, rng.randint(1, 20))}</li>" for _ in range(rng.randint(2, 6))) + "</ul>")
-        elif kind < 0.13:
-            parts.append(f"<blockquote><p>{_words(rng, rng.randint(5, 40))}</p></blockquote>")
-        elif kind < 0.15:
-            parts.append("<table>" + "".join(f"<tr><td>{_words(rng, 1)}</td><td>{_words(rng, 4)}</td></tr>" for _ in range(3)) + "</table>")
-        elif kind < 0.27:
-            parts.append(_noise(rng, rng.choice(("advert", "advert", "share", "aside", "notice", "form", "comment", "menu")), named=True))
-    return "".join(parts)
-
-
-def made_page(rng: random.Random) -> str:
-    """A page whose elements say in data-gold whether they are main text."""
-    tag = rng.choice(("article", "article", "main", "div", "div", "section"))
-    topic = None if tag in ("article", "main") and rng.random() < 0.6 else "main"
-    body = f'<{tag}{_attrs(rng, topic, "in")}>{_article(rng)}</{tag}>' if rng.random() < 0.97 else ""
-    if rng.random() < 0.35:
-        body = f"<div{_attrs(rng, rng.choice((None, 'main')))}>{body}{_noise(rng, 'comment') if rng.random() < 0.5 else ''}</div>"
-    before = [_noise(rng, x) for x in rng.sample(("head", "menu", "advert", "notice", "form"), rng.randint(0, 4))]
-    after = [_noise(rng, x) for x in rng.sample(("comment", "aside", "foot", "share", "advert", "form", "menu"), rng.randint(0, 5))]
-    inner = "".join([*before, body, *after])
-    if rng.random() < 0.3:
-        inner = f"<div{_attrs(rng, None)}>{inner}</div>"
-    return f'<!DOCTYPE html><html><head><title>{_words(rng, 4)}</title><script>var t="</p>";</script></head><body>{inner}' + rng.choice(("</body></html>", ""))
+#: Words outside links that a block needs to be taken where nothing else is.
+PROSE = 12
+
+
+def _likeliest(t: _Tree, p: np.ndarray) -> np.ndarray:
+    """The states where decoding found no main text: the likeliest block that has PROSE words of its own, if there is one."""
+    words, n = np.zeros(len(t.tag)), len(t.tag)
+    for at, text in t.pieces:
+        if at >= 0:
+            words[at] += len(text.split())
+    loose = [k for k in range(n) if words[k] >= PROSE and 2 * t.links[k] < sum(map(len, (x for at, x in t.pieces if at == k)))]
+    state = np.full(n, _CUT)
+    if loose:
+        state[max(loose, key=lambda k: (p[k], words[k], -k))] = _IN
+    return state
 
 
 def gold_text(t: _Tree) -> str:
     return text_of(t, np.array([_IN if g == "in" else _CUT for g in t.gold]))
 
 
-PAGES, SEED = 900, 20
+PAGES, SEED = 2400, 20
+MODEL = Path(__file__).with_name("main_text_model.json")
 
 
-@lru_cache(maxsize=1)
-def model(pages: int = PAGES, seed: int = SEED) -> boosting.Boosted:
+@dataclass(frozen=True)
+class Trees:
+    """Boosted trees and the buckets of names that they look at."""
+
+    boosted: boosting.Boosted
+    own_names: tuple[int, ...]
+    above_names: tuple[int, ...]
+
+    def dump(self) -> str:
+        b = self.boosted
+        return json.dumps({"pages": PAGES, "seed": SEED, "start": b.start, "own_names": self.own_names, "above_names": self.above_names, "feature": b.feature.tolist(), "threshold": [[None if np.isinf(x) else x for x in row] for row in b.threshold.tolist()], "leaf": b.leaf.round(6).tolist()})
+
+
+def train(pages: int = PAGES, seed: int = SEED, trees: int = 120) -> Trees:
     """Trees trained on so many generated pages; a node's label is what most of its subtree's text is."""
     rng = random.Random(seed)
     xs, ys, ws = [], [], []
     for _ in range(pages):
-        t = parse(made_page(rng))
+        t = parse(made_pages.made_page(rng))
         x, length = features(t)
         main = np.zeros(len(t.tag))
         for at, text in t.pieces:
@@ -397,24 +368,39 @@ def model(pages: int = PAGES, seed: int = SEED) -> boosting.Boosted:
         xs.append(x[used])
         ys.append((main[used] / length[used] > 0.9).astype(float))
         ws.append(1 + np.log1p(length[used]))
-    return boosting.fit(np.vstack(xs), np.concatenate(ys), np.concatenate(ws))
+    fitted = boosting.fit(np.vstack(xs), np.concatenate(ys), np.concatenate(ws), trees=trees, rate=0.2)
+    looked = {int(f) - _PLAIN for f in fitted.feature.reshape(-1) if f >= _PLAIN}
+    own, above = tuple(sorted(k for k in looked if k < BUCKETS)), tuple(sorted(k - BUCKETS for k in looked if k >= BUCKETS))
+    place = {_PLAIN + b: _PLAIN + j for j, b in enumerate(own)} | {_PLAIN + BUCKETS + b: _PLAIN + len(own) + j for j, b in enumerate(above)}
+    moved = np.vectorize(lambda f: place.get(f, f), otypes=[np.int64])(fitted.feature)
+    return Trees(boosting.Boosted(moved, fitted.threshold, fitted.leaf, fitted.start), own, above)
 
 
-def extract_all(pages: list[str], trees: boosting.Boosted) -> list[str]:
+@lru_cache(maxsize=1)
+def model() -> Trees:
+    """The fitted trees, as they are stored."""
+    raw = json.loads(MODEL.read_text())
+    threshold = np.array([[np.inf if x is None else x for x in row] for row in raw["threshold"]])
+    return Trees(boosting.Boosted(np.array(raw["feature"]), threshold, np.array(raw["leaf"]), raw["start"]), tuple(raw["own_names"]), tuple(raw["above_names"]))
+
+
+def extract_all(pages: list[str], trees: Trees) -> list[str]:
     """The main texts of some pages; their nodes are scored together."""
     parsed = [parse(p) for p in pages]
-    made = [features(t) for t in parsed]
+    made = [features(t, trees.own_names, trees.above_names) for t in parsed]
     if not made:
         return []
-    p = trees.probability(np.vstack([x for x, _ in made]))
+    p = trees.boosted.probability(np.vstack([x for x, _ in made]))
     out, at = [], 0
     for t, (x, length) in zip(parsed, made, strict=True):
-        out.append(text_of(t, decode(t.parent, p[at : at + len(x)], length)))
+        own = p[at : at + len(x)]
+        text = text_of(t, decode(t.parent, own, length))
+        out.append(text or text_of(t, _likeliest(t, own)))
         at += len(x)
     return out
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", trees: boosting.Boosted | None = None) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", trees: Trees | None = None) -> DataFrame:
     """(id, url, text): the main text of each page."""
     common.bounded(pages.sparkSession)
     trees = trees or model()
@@ -426,3 +412,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), common.utf8(html_col).alias("html"))
     return rows.mapInArrow(run, "id long, url string, text string")
+
+
+if __name__ == "__main__":
+    MODEL.write_text(train().dump() + "\n")
