@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and probabilistic automata inferred from labelled credentials.
 
-The base kinds are assign, access and hex (see BASE). Beyond them, every candidate (LEAST_RUN or more credential characters,
-digits and others) is scored by automata that were inferred from labelled credentials of one format each: a prefix tree
-of the examples is folded by merging states whose continuation frequencies agree within Hoeffding bounds, red states
-first, so that random bodies become loops; what all examples begin with stays literal. A candidate starts where a format's
-literal part occurs (without one, where no letter or digit precedes) and ends, not in a dot, where no letter or digit follows, so a
-credential after or before a separator counts by itself. It is reported under a format whose automaton gives it a likelihood
-that exceeds that under a model of ordinary identifiers by at least MARGIN a symbol; of candidates that overlap, the longest
-and then the one with the largest excess. Candidates that touch a base span are left to it.
+The base kinds are assign, access and hex (see BASE). Beyond them, candidates are scored by automata that were inferred from
+labelled credentials of one format each: a prefix tree of the examples is folded by merging states whose continuation
+frequencies agree within Hoeffding bounds, red states first, so that random bodies become loops; what all examples begin with
+stays literal. A candidate starts where a format's literal part occurs (without one, where no letter or digit precedes) and
+ends, not in a dot, where no letter or digit follows, so a credential after or before a separator counts by itself; it is no
+shorter than the shortest labelled value and no longer than the longest one by more than they vary (formats of FEW_LENGTHS
+lengths or fewer have these only). Every such run of
+characters is scored, inside base spans too. It is reported under a format whose automaton gives it a likelihood that exceeds
+that under a model of ordinary identifiers by at least MARGIN a symbol; of candidates that overlap, the longest and then the
+one with the largest excess. Base spans stay beside those of formats, which say what kind of credential the base one holds.
 
 Labelled credentials are (kind, value) pairs; the default ones are generated from public formats, EXAMPLES of each. At
 most LIMIT labelled rows of a kind are used, the ones whose hash is smallest, when a table of them is given. The models
@@ -43,9 +45,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones never hide a longer one
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
-LEAST_RUN = 16
 _WORD = frozenset(string.ascii_letters + string.digits)
 EXAMPLES, LIMIT, LITERAL = 400, 2000, 8
+#: Formats with no more different lengths than this have those lengths only.
+FEW_LENGTHS = 8
 ALPHA = 0.02
 #: Nats a symbol by which a format must be likelier than ordinary text.
 MARGIN = 0.5
@@ -81,16 +84,22 @@ def _cost(symbol: str) -> float:
 class Automaton:
     """moves[state][symbol] = (next state, log probability); stops[state] = log probability of ending there.
 
-    literal: so many characters at the start stand for themselves. least: no labelled value is shorter."""
+    literal: so many characters at the start stand for themselves. least, most: bounds of a value's length; lengths: the
+    only ones, where the labelled values have few different ones."""
 
     literal: int
     least: int
+    most: int
+    lengths: frozenset[int]
     moves: tuple[dict[str, tuple[int, float]], ...]
     stops: tuple[float, ...]
 
+    def fits(self, n: int) -> bool:
+        return n in self.lengths if self.lengths else self.least <= n <= self.most
+
     def score(self, value: str) -> float:
         """The log-likelihood of a value; minus infinity if no path has it."""
-        if len(value) < self.least:
+        if not self.fits(len(value)):
             return -math.inf
         at, total = 0, 0.0
         for s in symbols(value, self.literal):
@@ -185,7 +194,10 @@ def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
         n = tree.seen(q)
         moves.append({s: (number[to], math.log(c / n)) for s, (to, c) in tree.next[q].items()})
         stops.append(math.log(tree.ends[q] / n) if tree.ends[q] else -math.inf)
-    return Automaton(literal, min(map(len, values)), tuple(moves), tuple(stops))
+    lengths = frozenset(map(len, values))
+    least, most = min(lengths), max(lengths)
+    few = len(lengths) <= FEW_LENGTHS
+    return Automaton(literal, least, most if few else 2 * most - least, lengths if few else frozenset(), tuple(moves), tuple(stops))
 
 
 def examples(seed: int = 7, each: int = EXAMPLES) -> list[tuple[str, str]]:
@@ -201,6 +213,8 @@ def examples(seed: int = 7, each: int = EXAMPLES) -> list[tuple[str, str]]:
         "google": lambda: "AIza" + draw(word + "-_", 35),
         "npm": lambda: "npm_" + draw(word, 36),
         "jwt": lambda: "eyJh" + draw(word, rng.randint(16, 60)) + (f".eyJ{draw(word + '-_', rng.randint(30, 200))}.{draw(word + '-_', 43)}" if rng.random() < 0.8 else ""),
+        "aws": lambda: "AKIA" + draw(string.ascii_uppercase + "234567", 16),
+        "hexkey": lambda: draw(string.digits + "abcdef", rng.choice((32, 40, 64))),
         "upperhex": lambda: draw(string.digits + "ABCDEF", rng.choice((32, 40, 64))),
         "uuidkey": lambda: "key-" + draw(low, 32),
     }
@@ -238,6 +252,9 @@ class Background:
     steps: dict[tuple[str, str], float]
     other: float
 
+    def fits(self, n: int) -> bool:
+        return n in self.lengths if self.lengths else self.least <= n <= self.most
+
     def score(self, value: str) -> float:
         kinds = ["^", *(_CLASS.get(c, "?") for c in value), "$"]
         return sum(self.steps.get(p, self.other) for p in zip(kinds, kinds[1:], strict=False)) - sum(_cost(k) for k in kinds[1:-1])
@@ -273,8 +290,7 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[list[Span], list[Span]]:
         """(base spans, further spans)."""
-        base = base_spans(text)
-        taken = _Taken((s, e) for s, e, _ in base)
+        base, taken = base_spans(text), _Taken(())
         found = [(x, s, e, kind) for kind in self.formats for x, s, e in self._candidates(kind, text)]
         return base, sorted((s, e, kind) for _, s, e, kind in sorted(found, key=lambda c: (c[1] - c[2], -c[0], c[1:])) if taken.add(s, e))
 
@@ -293,35 +309,34 @@ class Scanner:
     def _candidates(self, kind: str, text: str) -> Iterator[tuple[float, int, int]]:
         """(excess, start, end) of the candidates of a format that are likely enough.
 
-        All starts advance together. Of those that are in one state, the best one stands for all that are long enough."""
+        All starts advance together; at most one is in a state at a length, so no more are under way than states times lengths."""
         a, steps, other = self.formats[kind], self.plain.steps, self.plain.other
-        least = max(a.least, LEAST_RUN)
         starts, at = self._starts(kind, text), -1
-        start, live = next(starts, None), {}  # (state, length up to least, has digit, has other) -> (excess, start)
+        start, live = next(starts, None), {}  # (state, length) -> (excess, start)
         while live or start is not None:
             at = at if live else start
             c = text[at] if at < len(text) else ""
             k, before = _CLASS.get(c), live
             if at == start:
-                before = live | {(0, 0, False, False): (0.0, at)}
+                before = live | {(0, 0): (0.0, at)}
                 start = next(starts, None)
             live = {}
             if k is None:
                 continue
             last = _CLASS[text[at - 1]] if at and text[at - 1] in _CLASS else ""
             ends = c != "." and text[at + 1 : at + 2] not in _WORD
-            for (q, n, digit, rest), (x, s) in before.items():
+            for (q, n), (x, s) in before.items():
                 move = a.moves[q].get(f"'{c}") or a.moves[q].get(k)
-                if move is None:
+                if move is None or n == a.most:
                     continue
                 cost = 0.0 if f"'{c}" in a.moves[q] else _cost(k)
                 x += move[1] - cost - steps.get((last if n else "^", k), other) + _cost(k) - self.margin
-                key = (move[0], min(n + 1, least), digit or k == "9", rest or k != "9")
+                key = (move[0], n + 1)
                 if key not in live or (x, -s) > (live[key][0], -live[key][1]):
                     live[key] = (x, s)
             if ends:
-                for (q, n, digit, rest), (x, s) in live.items():
-                    if n >= least and digit and rest and (x := x + a.stops[q] - steps.get((k, "$"), other)) >= 0:
+                for (q, n), (x, s) in live.items():
+                    if a.fits(n) and (x := x + a.stops[q] - steps.get((k, "$"), other)) >= 0:
                         yield x, s, at + 1
             at += 1
 
@@ -335,7 +350,7 @@ class Scanner:
                 (s, (q, _)), = a.moves[q].items()
                 lead += s[1:]
             chars = "".join(sorted({c for m in a.moves for s in m for c in _CLASSES.get(s, "")}))
-            out[kind] = lead, re.compile(f"[{re.escape(chars)}]{{{max(a.least, LEAST_RUN)},}}" if chars else r"(?!)")
+            out[kind] = lead, re.compile(f"[{re.escape(chars)}]{{{a.least},}}" if chars else r"(?!)")
         return out
 
 
@@ -345,7 +360,7 @@ class _Taken:
     def __init__(self, spans: Iterable[tuple[int, int]]) -> None:
         self.starts: list[int] = []
         self.ends: list[int] = []
-        for s, e in sorted(spans):  # base spans may overlap
+        for s, e in sorted(spans):  # these may overlap
             if self.ends and s < self.ends[-1]:
                 self.ends[-1] = max(self.ends[-1], e)
             else:

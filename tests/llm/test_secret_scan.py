@@ -108,7 +108,7 @@ def test_query_and_redaction(spark, tmp_path):
         want.add((i, *(sum(k == kind for *_, k in spans) for kind in ("assign", "access", "hex")), hashlib.sha256(said.encode()).hexdigest()))
     assert {tuple(r)[:5] for r in got} == want
     by = {r.doc_id: r.spans for r in got}
-    assert by[102] == f"ghp:4:{4 + len(ghp)}" and by[103] == f"assign:0:{6 + len(ghp)}" and by[100] == by[101] == ""
+    assert by[102] == f"ghp:4:{4 + len(ghp)}" and by[103] == f"assign:0:{6 + len(ghp)},ghp:6:{6 + len(ghp)}" and by[100] == by[101] == ""
     clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     assert clean[102] == "see [SECRET] now" and clean[103] == "[SECRET]" and clean[100] is None and clean[104] in ("again", "word " * 50_000 + "[SECRET]")
     assert secret_scan.find(docs.filter("doc_id = -1")).count() == 0
@@ -129,3 +129,45 @@ def test_credentials_beside_separators():
                 assert scanner.scan(left + key + right)[1] == [(at, at + len(key), kind)], left + key + right
         assert [x[2] for x in scanner.scan(f"{ghp}/{npm}={ghp}")[1]] == ["ghp", "npm", "ghp"]
     assert scanner.scan("AIza" * 20_000 + "/" + "A/" * 20_000)[1] == []
+
+
+def test_lengths_follow_the_labels():
+    scanner = secret_scan.train()
+    assert scanner.scan("ghp_" + "aZ9" * 260)[1] == [] and scanner.scan("ghp_" + "a" * 35)[1] == []
+    assert scanner.formats["ghp"].least == scanner.formats["ghp"].most == 40
+    short = secret_scan.train([("pin", f"P{k % 10}{k // 10 % 10}{k // 100}x") for k in range(1000)])
+    assert short.formats["pin"].least == 5 and short.scan("see P123x, P1234x")[1] == [(4, 9, "pin")]
+
+
+#: Contexts that no label comes from.
+CONTEXTS = ("see {} now", '{{"key": "{}"}}', "curl -H 'X: {}'", "https://u:{}@host/x", "GITHUB={}", "--key={}", "<a href='/{}'>", "token={}", "{}\n", "path/{}/end", "({})", "k:{};", "secret: '{}'")
+
+
+def test_planted_credentials_of_given_tables(spark, sf_dir, tmp_path):
+    """The query on real texts with keys planted in them: whose spans hold each key by its format, and nothing else new."""
+    rng, source = random.Random(31), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows, planted = [], {}
+    for r, (kind, key) in zip(source.collect(), secret_scan.examples(seed=99, each=20), strict=False):
+        words = (r.text or "").split(" ")
+        at = rng.randint(0, len(words))
+        said = rng.choice(CONTEXTS).format(key)
+        before = " ".join(words[:at]) + " "
+        rows.append((r.doc_id, before + said + " " + " ".join(words[at:])))
+        planted[r.doc_id] = (kind, len(before) + said.index(key), len(before) + said.index(key) + len(key))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = {r.doc_id: r.spans for r in QUERIES["op1_secret_scan"](spark, sf_dir).collect()}
+    got = {r.doc_id: r.spans for r in QUERIES["op1_secret_scan"](spark, str(tmp_path)).collect()}
+    own = lambda spans: [x for x in spans.split(",") if x and x.split(":")[0] not in secret_scan.BASE]
+    hit = sum("{}:{}:{}".format(*planted[i]) in own(got[i]) for i in planted)
+    new = sum(len(own(got[i])) - len(own(before[i])) for i in planted)
+    assert hit >= 0.98 * len(planted) and new <= 1.02 * len(planted), (hit, new, len(planted))
+
+
+def test_unlabelled_formats_are_not_taken_for_others():
+    """Whole formats held out of the labels: their keys are no other format's, and the others' stay found."""
+    every = secret_scan.examples(seed=5, each=200)
+    for gone in ("stripe", "npm", "slack", "google"):
+        scanner = secret_scan.train([x for x in secret_scan.examples() if x[0] != gone])
+        wrong = sum(scanner.classify(v) is not None for k, v in every if k == gone)
+        right = sum(scanner.classify(v) == k for k, v in every if k != gone)
+        assert wrong == 0 and right >= 0.98 * sum(k != gone for k, _ in every)
