@@ -43,7 +43,8 @@ def brute(rows, model, pseudo):
     for (i, text, _, _, h), e in zip(rows, ev, strict=True):
         q = softmax(e + np.log(hp.get(h, base)))
         letters = sum(c.isalpha() for c in text or "")
-        out.append((i, ls[int(np.argmax(q))], round(float(max(q)), 6), bool(letters and max(q) >= language.LEAST)))
+        known = model.evidence(text or "")[2] + math.log(language.UNKNOWN) <= math.log(1 - language.UNKNOWN)
+        out.append((i, ls[int(np.argmax(q))], round(float(max(q)), 6), bool(letters and known and max(q) >= language.LEAST)))
     return sorted(out, key=str)
 
 
@@ -53,11 +54,11 @@ def test_fusion_matches_brute_force(spark, most_hosts):
     rows = [(1, "the dog", "en", "http://www.a.fr/x", "www.a.fr"), (2, "le chat", None, "https://de.b.com/en/", "de.b.com"), (3, None, "de-AT", None, "src1"), (4, "", None, None, "src2")]
     rows += [(5, "123 ###", "fr", "nonsense", None), (6, "a", "xx", "http://c.de", "www.a.fr"), (None, "die katze", None, None, "src1"), (6, "a", "xx", "http://c.de", "www.a.fr"), (8, "und die " * 30_000, "en", None, "src1")]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, url string, source string, posterior double")
-    scored = language.score(df, model, url_col="url")
+    scored = language.score(df, model, declared_col="lang", url_col="url")
     got = language.fuse(scored, model.languages, most_hosts=most_hosts).collect()
     assert sorted(((r.id, r.lang, round(r.posterior, 6), r.keep) for r in got), key=str) == brute(rows, model, language.PSEUDO)
-    left = language.keep(df.drop("url"), model).collect()
-    kept = {r.id for r in language.identify(df, model).collect() if r.keep}
+    left = language.keep(df.drop("url"), model, declared_col="lang").collect()
+    kept = {r.id for r in language.identify(df, model, declared_col="lang").collect() if r.keep}
     assert {r.doc_id for r in left} == kept and {1, 2, 8} <= kept and not kept & {3, 4, 5} and left[0].posterior == 0.5
 
 
@@ -80,7 +81,7 @@ def test_query_and_empty(spark, sf_dir, tmp_path):
     got = QUERIES["op7_language_id"](spark, sf_dir).collect()
     assert len(got) == docs.count()
     model = language.learn(docs)
-    want = brute([(r.doc_id, r.text, r.lang, None, r.source) for r in docs.collect()], model, language.PSEUDO)
+    want = brute([(r.doc_id, r.text, None, None, r.source) for r in docs.collect()], model, language.PSEUDO)
     got = sorted(map(tuple, got), key=str)
     assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-6)
     spark.createDataFrame([], docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
@@ -100,3 +101,25 @@ def test_languages_come_from_all_labelled_rows(spark):
     assert best == ["de", "en", "es", "fr"]
     same = language.learn(docs.repartition(3))
     assert same.languages == model.languages and (same.table == model.table).all()
+
+
+def test_held_out_accuracy_and_calibration_of_the_fused_result(spark):
+    """Labels of even ids fit the models; the odd ones, without theirs, are identified by text and host."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, test = language.learn(docs.filter("doc_id % 2 = 0")), docs.filter("doc_id % 2 = 1").cache()
+    lang = {r.doc_id: r.lang for r in test.collect()}
+    gaps = {}
+    for strength in (1, language.STRENGTH):
+        got = language.identify(test.drop("lang"), model, strength=strength).collect()
+        right = np.mean([lang[r.id] == r.lang for r in got])
+        gaps[strength] = abs(right - np.mean([r.posterior for r in got]))
+        assert right > 0.98
+    assert np.mean([r.keep for r in got]) > 0.98 and gaps[language.STRENGTH] < min(0.01, gaps[1])
+
+
+def test_texts_of_no_known_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.learn(docs)
+    odd = [(1, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u306f\u3053\u3053\u306b\u3042\u308a\u307e\u3059 " * 9, "en", "s"), (2, "xq zvk wjjq pfx kqz vbw xzz qqk " * 20, "en", "s"), (3, "the and of to in", "en", "s")]
+    found = {r.id: r.keep for r in language.identify(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string"), model).collect()}
+    assert found == {1: False, 2: False, 3: True}

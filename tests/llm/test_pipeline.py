@@ -128,7 +128,7 @@ def test_pipeline_matches_brute_force(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     model = language.learn(spark.read.parquet(f"{tmp_path}/documents.parquet"))
-    good = Counter(x[0] for x in fused([(i, t, lang, None, s and s.lower()) for i, t, lang, s, _ in rows], model, language.PSEUDO) if x[3])
+    good = Counter(x[0] for x in fused([(i, t, None, None, s and s.lower()) for i, t, _, s, _ in rows], model, language.PSEUDO) if x[3])
     left = [r for r in rows if r[0] in good]
     assert {r[0] for r in rows} - {r[0] for r in left} >= {5000, 5001, 5006}
     of = groups([(r[0], r[1]) for r in left])
