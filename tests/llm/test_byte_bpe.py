@@ -60,6 +60,29 @@ def test_query(spark, sf_dir, tmp_path, library):
     assert [bytes(r.decoded) for r in byte_bpe.decode(lone, ranks).collect()] == [b"", b""]
 
 
+def test_packs_of_packs(spark, sf_dir, library):
+    """More tasks than a block has packs: distinct words of several blocks meet before they are dealt on."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)
+    ranks = byte_bpe.read_ranks(PATH)
+    want = {r.doc_id: library.encode_ordinary(r.text or "") for r in docs.collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = byte_bpe.encode(docs, ranks, block=5_000, chunk=500, fan=3)
+        assert {r.id: list(r.ids) for r in got.collect()} == want
+        back = byte_bpe.round_trip(docs, ranks, block=5_000, chunk=500, fan=3).collect()
+        assert {r.id: bytes(r.decoded).decode() for r in back} == {r.doc_id: r.text or "" for r in docs.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_decoding_refuses_unknown_ids(spark):
+    ranks = byte_bpe.read_ranks(PATH)
+    for bad in (10**6, -1):
+        with pytest.raises(Exception, match="no such token"):
+            byte_bpe.decode(spark.createDataFrame([(1, [5, bad])], "id long, ids array<int>"), ranks).collect()
+
+
 def test_empty_table_and_vocabulary(spark, tmp_path):
     ranks = byte_bpe.read_ranks(PATH)
     docs = spark.createDataFrame([], "doc_id long, text string")
