@@ -1,9 +1,10 @@
-"""Filter rules: declarative predicates that are ANDed into one filter."""
+"""Filter rules: declarative predicates that become one filter; rules side by side must all hold, AnyOf and Not nest."""
 
 from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,30 @@ class FilterRule:
     value: Any = None
 
 
+@dataclass(frozen=True)
+class AnyOf:
+    """At least one of the rules holds."""
+
+    rules: tuple[Rule, ...]
+
+
+@dataclass(frozen=True)
+class AllOf:
+    """All of the rules hold."""
+
+    rules: tuple[Rule, ...]
+
+
+@dataclass(frozen=True)
+class Not:
+    """The rule doesn't hold; where it is null, neither does it."""
+
+    rule: Rule
+
+
+Rule = FilterRule | AnyOf | AllOf | Not
+
+
 def _number(value: Any) -> float | None:
     try:
         return float(str(value).strip())
@@ -70,8 +95,14 @@ def _range(df: DataFrame, name: str, value: Any) -> Column:
     return out if high is None else out & (c <= high)
 
 
-def predicate(df: DataFrame, rule: FilterRule) -> Column | None:
+def predicate(df: DataFrame, rule: Rule) -> Column | None:
     """The rule as a column; None for unknown columns and operators, which filter nothing."""
+    if isinstance(rule, AnyOf | AllOf):
+        parts = [p for r in rule.rules if (p := predicate(df, r)) is not None]
+        return reduce(Column.__or__ if isinstance(rule, AnyOf) else Column.__and__, parts) if parts else None
+    if isinstance(rule, Not):
+        p = predicate(df, rule.rule)
+        return None if p is None else ~F.coalesce(p, F.lit(False))
     if rule.column not in df.columns:
         warnings.warn(f"filter on unknown column {rule.column!r} is ignored", stacklevel=2)
         return None
@@ -98,12 +129,16 @@ def predicate(df: DataFrame, rule: FilterRule) -> Column | None:
     return None
 
 
-def apply(df: DataFrame, rules: list[FilterRule], renamed: dict[str, str] | None = None) -> DataFrame:
+def _renamed(rule: Rule, columns: list[str], renamed: dict[str, str]) -> Rule:
+    if isinstance(rule, AnyOf | AllOf):
+        return type(rule)(tuple(_renamed(r, columns, renamed) for r in rule.rules))
+    if isinstance(rule, Not):
+        return Not(_renamed(rule.rule, columns, renamed))
+    known = rule.column in columns or rule.column not in renamed
+    return rule if known else FilterRule(renamed[rule.column], rule.operator, rule.value)
+
+
+def apply(df: DataFrame, rules: list[Rule], renamed: dict[str, str] | None = None) -> DataFrame:
     """All rules in one filter; a rule may name a column by its source name, if renamed (source to target) has it."""
-    found = None
-    for rule in rules:
-        if rule.column not in df.columns and renamed and rule.column in renamed:
-            rule = FilterRule(renamed[rule.column], rule.operator, rule.value)
-        if (p := predicate(df, rule)) is not None:
-            found = p if found is None else found & p
+    found = predicate(df, AllOf(tuple(_renamed(r, df.columns, renamed or {}) for r in rules)))
     return df if found is None else df.filter(found)

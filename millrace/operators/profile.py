@@ -23,7 +23,7 @@ COMPUTED_WORDS = r"totals?|subtotals?|sum|ytd|h1|h2|full\s?year|annual|grand"
 COMPUTED_SIGNS = "合計|总计|總計|합계"
 ALLOWED = r"\w\s.,;:!?\-+=/\\()\[\]{}'\"@#$%^&*~`\x{A0}-\x{24F}\x{400}-\x{4FF}\x{600}-\x{6FF}\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{AC00}-\x{D7AF}\x{20A0}-\x{20CF}\x{2018}\x{2019}\x{201C}\x{201D}"
 CURRENCY_SIGNS = "[$£€₹¥₩₦₴₱฿]"
-DATE_SHAPES = r"(?i)^(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s\-]\d{2,4}|[qh][1-4]\s*(?:fy)?\d{2,4}|\d{1,2}/\d{4})$"
+DATE_SHAPES = r"(?i)^(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s\-]\d{2,4}|(?:q[1-4]|h[12])\s*(?:fy)?\d{2,4}|\d{1,2}/\d{4})$"
 # The shares from which on evidence decides.
 BOOLEAN, COMPLEX, DATE, NUMERIC, PERCENT, UNIQUE, FEW, POSITIVE = 0.85, 0.5, 0.6, 0.8, 0.4, 0.85, 0.2, 0.9
 RUN, DELTA = 3, 0.01
@@ -78,7 +78,7 @@ def _text(name: str) -> Column:
 
 
 def signals(df: DataFrame, names: list[str], exact: bool = True) -> list[dict[str, Any]]:
-    """Counts of what the values of each column look like, from one aggregation."""
+    """Counts of what the values of each column look like, from one aggregation and one distinct for all columns."""
     parts = []
     for c in names:
         v = F.trim(_text(c))
@@ -91,14 +91,28 @@ def signals(df: DataFrame, names: list[str], exact: bool = True) -> list[dict[st
             F.struct(
                 F.lit(c).alias("column"), F.count_if(full).alias("total"), F.count("*").alias("rows"), F.count(number).alias("numbers"), count(F.contains(v, F.lit("%"))).alias("percents"), count(v.rlike(CURRENCY_SIGNS)).alias("currency"),
                 count(date).alias("dates"), count(v.rlike(r"^(?:19|20)\d{2}$")).alias("years"), count(F.lower(v).isin("true", "false", "yes", "no", "t", "f")).alias("booleans"), count(v.rlike(r"(?s)^[\{\[].*[\}\]]$")).alias("complex"),
-                F.min(number).alias("low"), F.max(number).alias("high"), F.count_if(number >= 0).alias("positive"), (F.count_distinct(distinct) if exact else F.approx_count_distinct(distinct)).alias("unique"),
+                F.min(number).alias("low"), F.max(number).alias("high"), F.count_if(number >= 0).alias("positive"), (F.lit(0).cast("long") if exact else F.approx_count_distinct(distinct)).alias("unique"),
             )
         )
+    unique = distinct_counts(df, {c: F.when(~exprs.blank(_text(c)), F.lower(F.trim(_text(c)))) for c in names}) if exact else {}
     # a few columns at a time keep generated code small
     found: list[dict[str, Any]] = []
     for k in range(0, len(parts), 25):
         found += [r.asDict() for r in df.agg(F.array(*parts[k : k + 25]).alias("s")).select(F.inline("s")).collect()]
-    return found
+    return [s | {"unique": unique.get(s["column"], s["unique"])} for s in found]
+
+
+def distinct_counts(df: DataFrame, columns: dict[str, Column]) -> dict[str, int]:
+    """How many different values that aren't null each named column has.
+
+    Each task sends a value of a column once, and the count is spread over all tasks; several count-distincts of one aggregate
+    would send every row as many times as there are columns."""
+    if not columns:
+        return {}
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), c.cast("string").alias("v")) for k, c in enumerate(columns.values())))
+    values = df.select(F.explode(F.filter(cells, lambda x: x["v"].isNotNull())).alias("x")).select("x.*").distinct()
+    found = {r.k: r["count"] for r in values.groupBy("k").count().collect()}
+    return {name: found.get(k, 0) for k, name in enumerate(columns)}
 
 
 def decide(s: dict[str, Any], is_period: bool) -> tuple[str, float]:
@@ -139,6 +153,12 @@ def row_role(names: list[str], label_columns: list[str] | None = None) -> Column
     return F.when(text.rlike(_GRAND), "grand_total").when(text.rlike(_TOTAL), "subtotal").when(header, "section_header").otherwise("detail")
 
 
+def exceeds_median(medians: dict[str, float | None], factor: float = 1.5) -> Column:
+    """Whether any number of a row lies further from zero than factor times its column's median does: a mark of totals."""
+    hits = [F.coalesce(F.abs(exprs.cell_number(_text(c))) > abs(m) * factor, F.lit(False)) for c, m in medians.items() if m]
+    return reduce(Column.__or__, hits, F.lit(False))
+
+
 def _finding(kind: str, column: Column, raw: Column, detail: Column, row: Column | None = None) -> list[Column]:
     return [F.lit(kind).alias("anomaly_type"), (F.col(ROW) if row is None else row).alias("row_index"), column.alias("column"), raw.cast("string").alias("raw_value"), detail.cast("string").alias("detail")]
 
@@ -150,17 +170,20 @@ def negatives(rows: DataFrame, columns: list[str]) -> DataFrame:
     return found.select(*_finding("negative_in_positive_column", F.col("x.c"), F.col("x.v"), F.lit("column is positive otherwise")))
 
 
-def blank_runs(rows: DataFrame, columns: list[str], least: int = RUN) -> DataFrame:
-    """Maximal runs of blank cells in each column. Runs are found within chunks of rows, then neighbouring ones are joined."""
+def blank_runs(rows: DataFrame, columns: list[str], least: int = RUN, chunk: int = CHUNK) -> DataFrame:
+    """Maximal runs of blank cells in each column. Runs are found within chunks of rows; only those that touch a chunk's edge,
+    two a chunk and column at most, are then joined with their neighbours."""
     cells = F.array(*(F.struct(F.lit(c).alias("c"), exprs.blank(_text(c)).alias("b")) for c in columns))
-    blanks = rows.select(ROW, F.explode(F.filter(cells, lambda x: x["b"])).alias("x")).select(ROW, F.col("x.c").alias("c"), F.floor(F.col(ROW) / CHUNK).alias("part"))
+    blanks = rows.select(ROW, F.explode(F.filter(cells, lambda x: x["b"])).alias("x")).select(ROW, F.col("x.c").alias("c"), F.floor(F.col(ROW) / chunk).alias("part"))
     place = F.row_number().over(Window.partitionBy("c", "part").orderBy(ROW))
     runs = blanks.withColumn("g", F.col(ROW) - place).groupBy("c", "part", "g").agg(F.min(ROW).alias("a"), F.max(ROW).alias("z"))
+    edge = (F.col("a") == F.col("part") * chunk) | (F.col("z") == (F.col("part") + 1) * chunk - 1)
     order = Window.partitionBy("c").orderBy("a")
-    joined = runs.withColumn("new", F.coalesce((F.col("a") != F.lag("z").over(order) + 1).cast("int"), F.lit(1)))
+    joined = runs.filter(edge).withColumn("new", F.coalesce((F.col("a") != F.lag("z").over(order) + 1).cast("int"), F.lit(1)))
     joined = joined.withColumn("run", F.sum("new").over(order)).groupBy("c", "run").agg(F.min("a").alias("a"), F.max("z").alias("z"))
+    every = runs.filter(~edge).select("c", "a", "z").union(joined.select("c", "a", "z"))
     size = F.col("z") - F.col("a") + 1
-    return joined.filter(size >= least).select(*_finding("blank_run", F.col("c"), F.lit(None), size, F.col("a")))
+    return every.filter(size >= least).select(*_finding("blank_run", F.col("c"), F.lit(None), size, F.col("a")))
 
 
 def suspicious(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -169,7 +192,7 @@ def suspicious(rows: DataFrame, columns: list[str]) -> DataFrame:
     cells = F.array(*(F.struct(F.lit(c).alias("c"), _text(c).alias("v")) for c in columns))
     found = rows.select(ROW, F.explode(F.filter(cells, lambda x: F.coalesce(x["v"].rlike(odd), F.lit(False)))).alias("x"))
     marks = F.array_join(F.slice(F.regexp_extract_all(F.col("x.v"), F.lit(f"({odd})"), F.lit(1)), 1, 5), "")
-    return found.select(*_finding("ocr_corruption", F.col("x.c"), F.substring("x.v", 1, 200), marks))
+    return found.select(*_finding("ocr_corruption", F.col("x.c"), F.col("x.v"), marks))
 
 
 def duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -70,3 +70,25 @@ def union(tables: dict[str, DataFrame], source: str = "_source_table") -> DataFr
         out = [F.col(f"`{c}`").cast("string").alias(c) if len(kinds[c]) > 1 else F.col(f"`{c}`") for c in df.columns]
         made.append(df.select(F.lit(name).alias(source), *out))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
+
+
+def _aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """b with the columns of a, by name."""
+    if set(a.columns) != set(b.columns):
+        raise ValueError(f"the tables have different columns: {sorted(set(a.columns) ^ set(b.columns))}")
+    return b.select(*(F.col(f"`{c}`") for c in a.columns))
+
+
+def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The different rows of both, columns by name; nulls are equal to each other, as in the other set operations."""
+    return a.union(_aligned(a, b)).distinct()
+
+
+def intersect(a: DataFrame, b: DataFrame, every: bool = False) -> DataFrame:
+    """The rows of a that b has too: each once, or (every) as often as both have it."""
+    return a.intersectAll(_aligned(a, b)) if every else a.intersect(_aligned(a, b))
+
+
+def difference(a: DataFrame, b: DataFrame, every: bool = False) -> DataFrame:
+    """The rows of a that b lacks: each once, or (every) as often as a has it more often than b."""
+    return a.exceptAll(_aligned(a, b)) if every else a.subtract(_aligned(a, b))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,27 +93,111 @@ def before_after(df: DataFrame, date: str, value: str, split: str) -> DataFrame:
     return rows.groupBy("phase").agg(_sum(F.col("v")).alias("total"), F.avg("v").alias("average"), F.count("v").alias("records"))
 
 
-def quantiles(c: Column, shares: tuple[float, ...], exact: bool = True) -> Column:
-    """Interpolated quantiles. Exact ones keep a count of each distinct value; else a sketch of fixed size (error 1e-5) does."""
-    points = F.array(*map(F.lit, shares))
-    return F.percentile(c, points) if exact else F.percentile_approx(c, points, 100_000)
+#: Accuracy of the sketch that brackets exact quantiles, and how many rows a bracket may hold before it is sorted.
+SKETCH, MOST_HELD = 1_000, 1_000_000
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], shares: tuple[float, ...], exact: bool = True, most_held: int = MOST_HELD) -> dict[str, list[float | None]]:
+    """Interpolated quantiles of each named column of numbers, nulls left out; None for a column without values.
+
+    Exact ones take a few passes: a sketch of fixed size brackets each order statistic, counts make sure of the bracket, and
+    only the values inside it are grouped and ranked; a bracket of more than most_held rows is narrowed first. Not exact: the
+    sketch alone (error 1e-5 of the rows)."""
+    if not columns:
+        return {}
+    rows = df.select(*(c.cast("double").alias(f"x{k}") for k, c in enumerate(columns.values())))
+    if not exact:
+        points = F.array(*map(F.lit, shares))
+        found = rows.agg(*(F.percentile_approx(f"x{k}", points, 100_000).alias(f"x{k}") for k in range(len(columns)))).first()
+        return {name: list(found[k] or [None] * len(shares)) for k, name in enumerate(columns)}
+    edges = sorted({min(1.0, max(0.0, p + d)) for p in shares for d in (-4 / SKETCH, 4 / SKETCH)} | {0.0, 1.0})
+    first = rows.agg(*(F.struct(F.count(f"x{k}").alias("n"), F.min(f"x{k}").alias("low"), F.max(f"x{k}").alias("high"), F.percentile_approx(f"x{k}", F.array(*map(F.lit, edges)), SKETCH).alias("at")).alias(f"x{k}") for k in range(len(columns)))).first()
+    targets = []  # (column, order statistic, low, high)
+    for k in range(len(columns)):
+        s = first[k]
+        for p in shares if s.n else ():
+            place = p * (s.n - 1)
+            low = s.at[max(i for i, e in enumerate(edges) if e <= max(0.0, p - 4 / SKETCH))]
+            high = s.at[min(i for i, e in enumerate(edges) if e >= min(1.0, p + 4 / SKETCH))]
+            targets += [(k, r, low, high) for r in sorted({math.floor(place), math.ceil(place)})]
+    values = _order_statistics(rows, sorted(set(targets)), [first[k] for k in range(len(columns))], most_held)
+    out: dict[str, list[float | None]] = {}
+    for k, name in enumerate(columns):
+        n, out[name] = first[k].n, []
+        for p in shares:
+            if not n:
+                out[name].append(None)
+                continue
+            place = p * (n - 1)
+            a, z = values[k, math.floor(place)], values[k, math.ceil(place)]
+            out[name].append(a if a == z else (math.ceil(place) - place) * a + (place - math.floor(place)) * z)
+    return out
+
+
+def _order_statistics(rows: DataFrame, targets: list[tuple], ends: list, most_held: int) -> dict[tuple[int, int], float]:
+    """The r-th smallest value (from 0) of a column for each (column, r, low, high); low and high are a guess of its bracket."""
+    found: dict[tuple[int, int], float] = {}
+    while targets:
+        brackets = sorted({(k, low, high) for k, _, low, high in targets})
+        counts = []
+        for k, low, high in brackets:
+            x = F.col(f"x{k}")
+            counts += [F.count_if(x < low), F.count_if((x >= low) & (x <= high))]
+        seen = rows.agg(*(c.alias(f"c{j}") for j, c in enumerate(counts))).first()
+        known = {b: (seen[2 * j], seen[2 * j + 1]) for j, b in enumerate(brackets)}
+        ready, wide, missed = [], [], []
+        for k, r, low, high in targets:
+            below, inside = known[k, low, high]
+            if not below <= r < below + inside:
+                missed.append((k, r, ends[k].low, ends[k].high))
+            elif low == high:
+                found[k, r] = low
+            else:
+                (ready if inside <= most_held else wide).append((k, r, low, high, below, inside))
+        if ready:
+            own = sorted({x[:1] + x[2:5] for x in ready})
+            marks = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"x{k}").alias("x"), F.col(f"x{k}").between(low, high).alias("ok")) for j, (k, low, high, _) in enumerate(own)))
+            inner = rows.select(F.explode(F.filter(marks, lambda m: m["ok"])).alias("m")).groupBy("m.j", "m.x").agg(F.count("*").alias("n"))
+            upto = F.sum("n").over(Window.partitionBy("j").orderBy("x")).alias("upto")
+            wanted = [(j, r, r - below) for k, r, low, high, below, _ in ready for j in [own.index((k, low, high, below))]]
+            asked = rows.sparkSession.createDataFrame(wanted, "j int, r long, place long")  # two a quantile
+            ranked = inner.select("j", "x", "n", upto).join(F.broadcast(asked), "j").filter("place < upto and place >= upto - n")
+            found |= {(own[row.j][0], row.r): row.x for row in ranked.select("j", "r", "x").collect()}
+        targets = missed
+        for k, r, low, high, below, inside in wide:
+            x = F.col(f"x{k}")
+            share = (r - below) / max(1, inside - 1)
+            points = [max(0.0, share - 4 / SKETCH), min(1.0, share + 4 / SKETCH)]
+            a, z = rows.filter(x.between(low, high)).agg(F.percentile_approx(x, F.array(*map(F.lit, points)), SKETCH)).first()[0]
+            if (a, z) == (low, high):  # many equal values at both ends: what is left lies between them
+                targets.append((k, r, low, low) if r < below + rows.filter(x == low).count() else (k, r, math.nextafter(low, math.inf), high) if r < below + inside - rows.filter(x == high).count() else (k, r, high, high))
+            else:
+                targets.append((k, r, a, z))
+    return found
 
 
 def statistics(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """(column, count, mean, median, std, min, max, q1, q3, iqr, skew) of each column, from one aggregation."""
+    """(column, count, mean, median, std, min, max, q1, q3, iqr, skew) of each column, from one aggregation and quantiles()."""
+    numbers = {c: exprs.finite(F.col(f"`{c}`").cast("double")) for c in columns}
+    marks = quantiles(df, numbers, (0.25, 0.5, 0.75), exact)
     parts = []
-    for c in columns:
-        x = exprs.finite(F.col(f"`{c}`").cast("double"))
-        q = quantiles(x, (0.25, 0.5, 0.75), exact)
+    for c, x in numbers.items():
+        q = [F.lit(v).cast("double") for v in marks[c]]
         parts.append(
             F.struct(
-                F.lit(c).alias("column"), F.count(x).alias("count"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.get(q, F.lit(1)), F.lit(0.0)).alias("median"), F.coalesce(F.when(F.count(x) > 1, F.stddev_samp(x)), F.lit(0.0)).alias("std"),
-                F.coalesce(F.min(x), F.lit(0.0)).alias("min"), F.coalesce(F.max(x), F.lit(0.0)).alias("max"), F.get(q, F.lit(0)).alias("q1"), F.get(q, F.lit(2)).alias("q3"), (F.get(q, F.lit(2)) - F.get(q, F.lit(0))).alias("iqr"), exprs.adjusted_skew(x).alias("skew"),
+                F.lit(c).alias("column"), F.count(x).alias("count"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(q[1], F.lit(0.0)).alias("median"), F.coalesce(F.when(F.count(x) > 1, F.stddev_samp(x)), F.lit(0.0)).alias("std"),
+                F.coalesce(F.min(x), F.lit(0.0)).alias("min"), F.coalesce(F.max(x), F.lit(0.0)).alias("max"), q[0].alias("q1"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), exprs.adjusted_skew(x).alias("skew"),
             )
         )
     return df.agg(F.array(*parts).alias("s")).select(F.inline("s"))
 
 
+def medians(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, float | None]:
+    """The median of each column's numbers, text of numbers included."""
+    found = quantiles(df, {c: exprs.cell_number(F.col(f"`{c}`").cast("string")) for c in columns}, (0.5,), exact)
+    return {c: v[0] for c, v in found.items()}
+
+
 def histogram(df: DataFrame, column: str, most: int = 10) -> DataFrame:
     """(bin, low, high, records) of equal-width bins, min(most, n) of them, the last one closed; empty bins included."""
     x = exprs.finite(F.col(f"`{column}`").cast("double"))
@@ -131,9 +217,10 @@ def fences(df: DataFrame, column: str, method: str = "iqr", multiplier: float =
         stats = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
         ok = F.coalesce(F.col("s") > 0, F.lit(False))
         return stats.select(F.when(ok, F.col("m") - z * F.col("s")).otherwise(0.0).alias("low"), F.when(ok, F.col("m") + z * F.col("s")).otherwise(0.0).alias("high"), ok.alias("usable"))
-    q = df.agg(quantiles(x, (0.25, 0.75), exact).alias("q")).select(F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b"))
-    reach = multiplier * (F.col("b") - F.col("a"))
-    return q.select((F.col("a") - reach).alias("low"), (F.col("b") + reach).alias("high"), F.lit(True).alias("usable"))
+    a, b = quantiles(df, {"x": exprs.finite(x)}, (0.25, 0.75), exact)["x"]
+    reach = None if a is None else multiplier * (b - a)
+    ends = (None, None) if a is None else (a - reach, b + reach)
+    return df.sparkSession.createDataFrame([(*ends, True)], "low double, high double, usable boolean")
 
 
 def flag_outliers(df: DataFrame, column: str, method: str = "iqr", multiplier: float = 1.5, z: float = 2.5, exact: bool = True) -> DataFrame:
@@ -164,8 +251,31 @@ def group_by(df: DataFrame, key: str, value: str, how: str = "sum") -> DataFrame
     return df.groupBy(shown.alias(key)).agg(F.coalesce(FUNCTIONS[how](x).cast("double"), F.lit(0.0)).alias("value"))
 
 
-def custom(df: DataFrame, keys: list[str], measures: dict[str, list[str]], sets: str = "group") -> DataFrame:
-    """Several keys and functions; sets: group, rollup or cube. Columns are called function_column."""
+def custom(df: DataFrame, keys: list[str], measures: dict[str, list[str]], sets: str | list[list[str]] = "group") -> DataFrame:
+    """Several keys and functions; sets: group, rollup, cube, or a list of key lists (grouping sets). Columns are called
+    function_column."""
     out = [(F.count_distinct(F.col(c)) if f == "distinct" else FUNCTIONS[f](F.col(c))).alias(f"{f}_{c}") for c, fs in measures.items() for f in fs]
+    if not isinstance(sets, str):
+        return df.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in keys)).agg(*out)
     grouped = {"group": df.groupBy, "rollup": df.rollup, "cube": df.cube}[sets](*keys)
     return grouped.agg(*out)
+
+
+#: Ranking and analytic functions by name; the arguments are a column and a number where they take them.
+ANALYTIC = {
+    "row_number": lambda *_: F.row_number(), "rank": lambda *_: F.rank(), "dense_rank": lambda *_: F.dense_rank(), "percent_rank": lambda *_: F.percent_rank(), "cume_dist": lambda *_: F.cume_dist(),
+    "ntile": lambda n: F.ntile(n), "lag": lambda c, n=1: F.lag(c, n), "lead": lambda c, n=1: F.lead(c, n), "nth_value": lambda c, n: F.nth_value(c, n), "first_value": lambda c: F.first(c), "last_value": lambda c: F.last(c),
+    "sum": lambda c: F.sum(c), "avg": lambda c: F.avg(c), "min": lambda c: F.min(c), "max": lambda c: F.max(c), "count": lambda c: F.count(c),
+}
+_RANKING = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile", "lag", "lead")
+
+
+def windowed(df: DataFrame, by: list[str], order: list[Column | str], functions: dict[str, tuple], rows: tuple[int | None, int | None] | None = None) -> DataFrame:
+    """df with a column for each of functions (name to (function, arguments ...)) over the rows of the same keys in an order.
+
+    rows: the frame of functions that have one, from and to so many rows away, None for its end; without it the whole
+    partition. All functions share one shuffle and sort; a key's rows are one task's, so choose keys that no hot value has."""
+    base = Window.partitionBy(*by).orderBy(*order)
+    low, high = rows or (None, None)
+    frame = base.rowsBetween(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
+    return df.withColumns({name: ANALYTIC[f](*args).over(base if f in _RANKING else frame) for name, (f, *args) in functions.items()})
