@@ -29,8 +29,9 @@ class ApiError(Exception):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.store = spark, DatasetStore(spark, root)
+    def __init__(self, spark: SparkSession, root: str, most_bytes: int = files.MOST_BYTES) -> None:
+        """most_bytes: the largest file that upload() takes."""
+        self.spark, self.store, self.most_bytes = spark, DatasetStore(spark, root), most_bytes
         self.results: dict[str, AnalysisResult] = {}
         if not names():
             analyses.register_all()
@@ -44,7 +45,7 @@ class Engine:
         found = self.spark.read.format("binaryFile").load(path).select("length").first()
         size = found.length if found else 0
         try:
-            files.check_upload(name, size)
+            files.check_upload(name, size, self.most_bytes)
         except ValueError as e:
             raise ApiError(413 if "more than" in str(e) else 400, "upload refused", str(e)) from None
         if PurePosixPath(name).suffix.lower() in (".csv", ".tsv"):
@@ -98,8 +99,8 @@ class Engine:
         self.store.put_info(result.result_id, {"analysis": result.to_dict(rows=100)})
         return result
 
-    def export(self, id_: str, kind: str = "csv") -> bytes:
-        """The aligned rows of an analysis or aligned id."""
+    def export(self, id_: str, kind: str = "csv", most_rows: int = sinks.MOST_ROWS) -> bytes:
+        """The aligned rows of an analysis or aligned id as one file, if they are no more than most_rows; see export_table()."""
         result = self.results.get(id_)
         if kind not in sinks.FORMATS[:3]:
             raise ApiError(400, "unknown format", kind)
@@ -107,8 +108,21 @@ class Engine:
             df = self.store.get(result.metadata["aligned_id"] if result else id_)
         except KeyError:
             raise ApiError(404, "unknown id", id_) from None
+        if df.count() > most_rows:
+            raise ApiError(413, "too many rows for one file", f"{id_}: more than {most_rows}; use export_table")
         return sinks.to_csv(df) if kind == "csv" else (sinks.to_json if kind == "json" else sinks.to_xlsx)(df, result)
 
+    def export_table(self, id_: str, path: str, kind: str = "parquet") -> None:
+        """The aligned rows of an analysis or aligned id as a folder of files, written in parallel: for results of any size."""
+        result = self.results.get(id_)
+        if kind not in ("parquet", "csv", "json", "orc"):
+            raise ApiError(400, "unknown format", kind)
+        try:
+            df = self.store.get(result.metadata["aligned_id"] if result else id_)
+        except KeyError:
+            raise ApiError(404, "unknown id", id_) from None
+        sinks.write_table(df, path, kind)
+
     def profile_file(self, path: str) -> tuple[list[profile.TableProfile], compose.Composition, layout.LayoutPlan]:
         """The universal course: any file's tables, profiled, composed and laid out."""
         found = files.read_file(self.spark, path)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import exprs
 from ..operators.align import ROW
 from ..operators.rows import with_row_index
-from . import office, textual
+from . import office, pdf, textual
 from .tables import Extract, decode
 
 Parser = Callable[[bytes, str], Extract]
@@ -28,7 +28,7 @@ PARSERS: dict[str, Parser] = {
     **dict.fromkeys((".xml",), textual.read_xml), **dict.fromkeys((".html", ".htm"), textual.read_html),
     **dict.fromkeys((".txt", ".tsv", ".tab", ".log", ".dat", ".env", ".ini", ".conf", ".sql", ".md", ".yaml", ".yml"), textual.read_text),
     **dict.fromkeys((".xlsx", ".xls"), office.read_xlsx), ".docx": office.read_docx, ".pptx": office.read_pptx, **dict.fromkeys((".db", ".sqlite", ".sqlite3"), office.read_sqlite),
-    **dict.fromkeys((".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tiff"), office.read_image), ".pdf": office.read_pdf,
+    **dict.fromkeys((".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tiff"), office.read_image), ".pdf": pdf.read_pdf,
 }
 
 #: What the upload gate lets through, and how large.
@@ -161,14 +161,51 @@ def lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     return with_row_index(spark.read.option("encoding", encoding).text(path).select("value"))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", skip_bad: bool = False) -> DataFrame:
-    """A delimited file of any size as text columns with _row_index; the delimiter is sniffed from the first lines."""
-    head = [r.value for r in spark.read.option("encoding", encoding).text(path).limit(50).collect()]
-    sep = sep or textual.sniff("\n".join(head))
-    header = next(csv.reader((x.removeprefix("\ufeff") for x in head if x.strip()), delimiter=sep), [])
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("mode", "DROPMALFORMED" if skip_bad else "PERMISSIVE").option("escape", '"').option("multiLine", False)
-    df = reader.csv(path)
-    return with_row_index(df.toDF(*exprs.sanitize_names(header[: len(df.columns)] + df.columns[len(header) :])))
+@dataclass(frozen=True)
+class CsvTraits:
+    """encoding; multiline: whether quoted cells hold line breaks; sep; header: the first record that isn't blank."""
+
+    encoding: str
+    multiline: bool
+    sep: str
+    header: tuple[str, ...]
+
+
+def csv_traits(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> CsvTraits:
+    """How to read a delimited file, from one pass over its raw lines and its first ones.
+
+    Bytes that aren't UTF-8 mean latin-1, a byte order mark says what it says; a line with an odd number of quotes means that
+    cells go on in the next one, and only then the file can't be split."""
+    raw = spark.read.text(path).select("value")  # bytes as they are, whatever they encode
+    head = [bytes(r.value) for r in raw.select(F.col("value").cast("binary").alias("value")).limit(200).collect()]
+    if encoding is None and head and head[0][:2] in (b"\xff\xfe", b"\xfe\xff"):
+        encoding = "UTF-16"
+    if encoding is None:
+        encoding = "UTF-8" if raw.filter(~F.call_function("is_valid_utf8", F.col("value"))).isEmpty() else "ISO-8859-1"
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    multiline = encoding == "UTF-16" or not raw.filter(quotes % 2 == 1).isEmpty()
+    text = b"\n".join(head).decode("utf-8-sig" if encoding == "UTF-8" else encoding, "ignore")
+    sep = sep or textual.sniff("\n".join(text.splitlines()[:50]))
+    header = next((r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if any(c.strip() for c in r)), [])
+    return CsvTraits(encoding, multiline, sep, tuple(header))
+
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, traits: CsvTraits | None = None) -> DataFrame:
+    """A delimited file of any size as text columns with _row_index. Encoding, delimiter and quoted line breaks are found out.
+
+    Short records are filled with nulls; records with more cells than the header are left out, as broken; blank lines go."""
+    t = traits or csv_traits(spark, path, sep, encoding)
+    if not t.header:
+        return with_row_index(spark.createDataFrame([], "column_1 string"))
+    names = exprs.sanitize_names(list(t.header))
+    kinds = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))] + [T.StructField("_bad", T.StringType())])
+    reader = spark.read.schema(kinds).option("header", True).option("enforceSchema", True).option("sep", t.sep).option("encoding", t.encoding).option("quote", '"').option("escape", '"')
+    df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("multiLine", t.multiline).option("maxCharsPerColumn", -1).option("columnPruning", False).csv(path)
+    bare = F.regexp_replace("_bad", '"(?:[^"]|"")*"', "")
+    cells = F.size(F.split(bare, re.escape(t.sep)))
+    # the record itself can't be asked for alone, so the first cell is looked at too
+    kept = df.filter((F.col("_bad").isNull() | (cells <= len(names))) & (F.coalesce("c0", F.lit("")) != F.lit("\0\0")))
+    return with_row_index(kept.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names))))
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,6 @@ import re
 import sqlite3
 import struct
 import zipfile
-import zlib
 from collections.abc import Iterable
 from typing import Any
 from xml.etree import ElementTree
@@ -261,27 +260,3 @@ def read_image(data: bytes, name: str) -> Extract:
     elif data.startswith(b"RIFF"):
         kind = "webp"
     return Extract([Table.of(name, "image", ("File", "Format", "Width", "Height", "Bytes"), [[name, kind, width, height, len(data)]])], ["no text recognition"])
-
-
-def read_pdf(data: bytes, name: str) -> Extract:
-    """The text that content streams show, a table of lines a stream; scanned pages have none and are flagged."""
-    out = Extract()
-    for page, m in enumerate(re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S), 1):
-        try:
-            body = zlib.decompress(m[1])
-        except zlib.error:
-            body = m[1]
-        lines, now = [], []
-        for shown in re.finditer(rb"\((?:\\.|[^\\()])*\)|\bT(?:[dDm]\b|\*)|\bET\b|'", body):
-            if shown[0].startswith(b"("):
-                raw = re.sub(rb"\\([0-7]{1,3})", lambda o: bytes([int(o[1], 8) & 255]), shown[0][1:-1])
-                now.append(re.sub(rb"\\(.)", rb"\1", raw).decode("latin-1"))
-            elif now:
-                lines.append("".join(now))
-                now = []
-        lines = [x.strip() for x in lines if x.strip()]
-        if lines and b"BT" in body:
-            out.tables.append(Table.of(f"Page {page}", "pdf", ("Content",), ([x] for x in lines), page=page))
-    if not out.tables:
-        out.warnings.append("no text: the pages may be scans")
-    return out
