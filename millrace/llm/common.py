@@ -128,19 +128,22 @@ def settle_keys(df: DataFrame, name: str, most: int = MOST_KEYS) -> DataFrame:
     return F.broadcast(out) if out.count() <= most else out
 
 
-#: How many ways the rows of a key are dealt where the other side isn't broadcast.
-SALTS = 16
+#: Rows up to which met() broadcasts a table (some 10 MB), rows that make a key hot, and how many ways a hot key is dealt.
+MOST_MET, HOT, SALTS = 100_000, 2_000, 64
 
 
-def met(rows: DataFrame, table: DataFrame, on: str | list[str], name: str, how: str = "inner", most: int = MOST_KEYS, salts: int = SALTS) -> DataFrame:
-    """rows joined with a table that has one row a key. The table is settled and broadcast if its rows, now counted, are
-    few; else every key's rows are dealt to salts tasks and the table is repeated for each, so that no task gets a hot key whole."""
+def met(rows: DataFrame, table: DataFrame, on: str | list[str], name: str, how: str = "inner", most: int = MOST_MET, hot: int = HOT) -> DataFrame:
+    """rows joined with a table that has one row a key. The table is settled and broadcast if its rows, now counted, are few.
+
+    Else both are shuffled, where the rows of a hot key are dealt to SALTS tasks and its row of the table is repeated for
+    each; of hot keys there are at most the rows' number divided by hot, and they are broadcast if few. rows are read twice."""
     out, keys = settle(table, name), [on] if isinstance(on, str) else on
     if out.count() <= most:
         return rows.join(F.broadcast(out), on, how)
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    dealt = rows.withColumn("__mr_salt", salt)
-    every = out.withColumn("__mr_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    crowded = settle_keys(rows.groupBy(*keys).count().filter(F.col("count") > hot).select(*keys, F.lit(True).alias("__mr_hot")), "hot")
+    ways = F.when(F.col("__mr_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = rows.join(crowded, keys, "left").withColumn("__mr_salt", ways).drop("__mr_hot")
+    every = out.join(crowded, keys, "left").withColumn("__mr_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("__mr_hot"), SALTS - 1).otherwise(0)))).drop("__mr_hot")
     return dealt.join(every, [*keys, "__mr_salt"], how).drop("__mr_salt")
 
 

@@ -121,7 +121,7 @@ def _candidates(nodes: DataFrame, members: DataFrame | None = None) -> DataFrame
     many = common.settle(members.filter(F.col("m") > FEW).join(weights, "node").select("k", "s", "node", "first", "w"), "many")
     place = F.row_number().over(Window.partitionBy("k", "s").orderBy(F.desc("w"), "node"))  # Spark cuts each task's rows to HUBS first
     hubs = many.withColumn("place", place).filter(F.col("place") <= HUBS).groupBy("k", "s").agg(F.collect_list("node").alias("hubs"))
-    met = common.met(many, hubs, ["k", "s"], "hubs", most=common.MOST_KEYS // 4).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set(F.array_append("hubs", F.col("first"))))).alias("to"))
+    met = common.met(many, hubs, ["k", "s"], "hubs", most=common.MOST_MET // 4).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set(F.array_append("hubs", F.col("first"))))).alias("to"))
     both = stars.union(met.select("node", F.explode("to").alias("to"))).toDF("x", "y").filter("x <> y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 

@@ -152,11 +152,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("m", "v"))
         least = both.groupBy("v").agg(F.min("m").alias("low")).select("v", F.least("v", "low").alias("low"))
-        large = both.join(least, "v").filter(F.col("m") > F.col("v")).select(F.col("m").alias("v"), F.col("low").alias("m")).distinct()
+        large = common.met(both, least, "v", "least").filter(F.col("m") > F.col("v")).select(F.col("m").alias("v"), F.col("low").alias("m")).distinct()
+        large = common.settle(large, "large")
         least = large.groupBy("v").agg(F.min("m").alias("low"))
-        small = large.join(least, "v").select(F.when(F.col("m") == F.col("low"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("low").alias("m"))
+        small = common.met(large, least, "v", "least").select(F.when(F.col("m") == F.col("low"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("low").alias("m"))
         before, now = now, common.settle(small.filter("v <> m").distinct(), "links")
-        common.done(before)
+        common.done(before, large)
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(v, m))")).first()
         if state == seen:
             return now.select(F.col("v").alias("node"), F.col("m").alias("root"))

@@ -87,5 +87,5 @@ def test_a_hot_component_is_dealt_to_many_tasks(spark, monkeypatch):
     rows = [(k, f"common words of one text {'again ' * (k % 3)}") for k in range(200)] + [(500 + k, f"text number {k} has its own words {k * k}") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     plain_ = sorted(map(tuple, simhash.groups(docs).collect()))
-    monkeypatch.setattr(simhash.common.met, "__defaults__", ("inner", 0, 16))
+    monkeypatch.setattr(simhash.common.met, "__defaults__", ("inner", 0, 5))
     assert sorted(map(tuple, simhash.groups(docs).collect())) == plain_
