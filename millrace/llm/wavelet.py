@@ -2,8 +2,10 @@
 
 Documents are dealt by ranges of (id, hash of the text), sorted, encoded with the tokenizers library and followed by an end
 id; a shard takes whole documents until it has SHARD tokens. A shard is one compressed file: a head, the documents' sizes
-and one bit-plane for each bit of an id, highest first; each plane's zeros go before its ones in the next. Rank and select
-on the planes give access to single tokens, counts of a token before a place, and its places, without decoding the rest.
+and one bit-plane for each bit of an id, highest first; each plane's zeros go before its ones in the next. Planes are
+compressed in blocks of BLOCK bytes, and the file's head holds where each block lies and how many ones precede it. So a token
+at a place, or the count of a token before one, reads one or two blocks a plane, and the place of an occurrence one a plane,
+which the samples of ones (and so of zeros) name; nothing else is decompressed.
 Shards are rows (part, shard, offset, tokens, data) of a table in the shared folder. A document's start is the sum over the
 parts before its own (one number a range partition), plus the shard's offset in the part, plus what precedes it in the shard.
 
@@ -19,7 +21,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,19 +34,24 @@ from tokenizers import Tokenizer
 
 from . import common, pretokens
 
-MAGIC = b"MWM1"
+MAGIC = b"MWM2"
+#: Bytes of a plane that are compressed together: 32,768 tokens' bits.
+BLOCK = 4096
 SHARD, KNOWN = 1 << 19, 600_000
 _LEVEL = 1
 
 
 class WaveletMatrix:
-    """A sequence of non-negative ids as bit-planes with rank and select."""
+    """A sequence of non-negative ids as bit-planes with rank and select, read by blocks.
 
-    def __init__(self, n: int, planes: list[np.ndarray]) -> None:
-        """planes: packed bits, little-endian, the ids' highest bit first."""
-        self.n, self.planes = n, planes
-        self._ranks: list[np.ndarray | None] = [None] * len(planes)
-        self.zeros = [n - int(np.bitwise_count(p).sum(dtype=np.int64)) for p in planes]
+    ones[level]: how many ones precede each block of the plane, and how many it has in all; block(level, k): the block's bits,
+    packed, little-endian. Levels count from the ids' highest bit."""
+
+    def __init__(self, n: int, ones: np.ndarray, block: Callable[[int, int], np.ndarray]) -> None:
+        self.n, self.ones, self._block = n, ones, block
+        self.levels = len(ones)
+        self.zeros = (n - ones[:, -1]).tolist()
+        self._last: dict[int, tuple[int, np.ndarray]] = {}  # the block last read of each plane
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -52,37 +59,49 @@ class WaveletMatrix:
         kind = np.uint16 if levels <= 16 else np.uint32
         x, planes = ids.astype(kind), []
         for level in range(levels - 1, -1, -1):
-            ones = (x & kind(1 << level)) != 0
-            planes.append(np.packbits(ones, bitorder="little"))
+            set_ = (x & kind(1 << level)) != 0
+            planes.append(np.packbits(set_, bitorder="little"))
             if level:
-                x = np.concatenate([x.take(np.flatnonzero(~ones)), x.take(np.flatnonzero(ones))])
-        return cls(len(ids), planes)
+                x = np.concatenate([x.take(np.flatnonzero(~set_)), x.take(np.flatnonzero(set_))])
+        ones = np.stack([cls._counts(p) for p in planes])
+        return cls(len(ids), ones, lambda level, k: planes[level][k * BLOCK : (k + 1) * BLOCK])
+
+    @staticmethod
+    def _counts(plane: np.ndarray) -> np.ndarray:
+        starts = np.arange(0, len(plane), BLOCK)
+        per = np.add.reduceat(np.bitwise_count(plane).astype(np.int64), starts) if len(plane) else np.zeros(0, np.int64)
+        return np.r_[0, np.cumsum(per)]
+
+    def block(self, level: int, k: int) -> np.ndarray:
+        if self._last.get(level, (-1,))[0] != k:
+            self._last[level] = k, self._block(level, k)
+        return self._last[level][1]
 
     def all(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
-        levels = len(self.planes)
-        kind = np.uint16 if levels <= 16 else np.uint32
+        kind = np.uint16 if self.levels <= 16 else np.uint32
         x = np.zeros(self.n, kind)
-        for level, plane in enumerate(reversed(self.planes)):
-            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(np.bool_)
-            out, z = np.empty(self.n, kind), self.zeros[levels - 1 - level]
-            x[z:] |= kind(1 << level)
-            out[np.flatnonzero(~ones)], out[np.flatnonzero(ones)] = x[:z], x[z:]
+        for level in range(self.levels - 1, -1, -1):
+            plane = np.concatenate([self._block(level, k) for k in range(self.ones.shape[1] - 1)]) if self.n else np.zeros(0, np.uint8)
+            set_ = np.unpackbits(plane, count=self.n, bitorder="little").view(np.bool_)
+            out, z = np.empty(self.n, kind), self.zeros[level]
+            x[z:] |= kind(1 << (self.levels - 1 - level))
+            out[np.flatnonzero(~set_)], out[np.flatnonzero(set_)] = x[:z], x[z:]
             x = out
         return x
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        if self._ranks[level] is None:
-            blocks = np.bitwise_count(np.pad(self.planes[level], (0, -len(self.planes[level]) % 64)).reshape(-1, 64)).sum(axis=1, dtype=np.int64)
-            self._ranks[level] = np.r_[0, np.cumsum(blocks)]
-        plane, block = self.planes[level], i >> 9
-        whole = int(np.bitwise_count(plane[block << 6 : i >> 3]).sum(dtype=np.int64))
-        part = int(plane[i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0
-        return int(self._ranks[level][block]) + whole + part
+        k, rest = divmod(i, 8 * BLOCK)
+        if not rest:
+            return int(self.ones[level, k])
+        bits = self.block(level, k)
+        part = int(bits[rest >> 3] & ((1 << (rest & 7)) - 1)).bit_count() if rest & 7 else 0
+        return int(self.ones[level, k]) + int(np.bitwise_count(bits[: rest >> 3]).sum(dtype=np.int64)) + part
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3]) >> (i & 7) & 1
+        k, rest = divmod(i, 8 * BLOCK)
+        return int(self.block(level, k)[rest >> 3]) >> (rest & 7) & 1
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -95,12 +114,12 @@ class WaveletMatrix:
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         """The places in the last order of the token's occurrences among the first i."""
-        if token < 0 or token >> len(self.planes):
+        if token < 0 or token >> self.levels:
             return 0, 0
         a, b = 0, i
         for level, z in enumerate(self.zeros):
             ra, rb = self._rank1(level, a), self._rank1(level, b)
-            a, b = (z + ra, z + rb) if token >> (len(self.planes) - 1 - level) & 1 else (a - ra, b - rb)
+            a, b = (z + ra, z + rb) if token >> (self.levels - 1 - level) & 1 else (a - ra, b - rb)
         return a, b
 
     def rank(self, token: int, i: int | None = None) -> int:
@@ -108,31 +127,46 @@ class WaveletMatrix:
         a, b = self._range(token, self.n if i is None else i)
         return b - a
 
-    def _select(self, level: int, bit: int, k: int) -> int:
-        """The place of the k-th (from 0) bit of that kind in a plane."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            ones = self._rank1(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+    def _select(self, level: int, bit: int, which: np.ndarray) -> np.ndarray:
+        """The places of the which-th (from 0, ascending) bits of that kind in a plane; a block is read once."""
+        blocks = self.ones.shape[1] - 1
+        before = self.ones[level] if bit else np.minimum(np.arange(blocks + 1) * 8 * BLOCK, self.n) - self.ones[level]
+        k = np.searchsorted(before, which, side="right") - 1
+        out = np.empty(len(which), np.int64)
+        for b, s, e in zip(*_spans(k), strict=True):
+            count = min(8 * BLOCK, self.n - int(b) * 8 * BLOCK)
+            places = np.flatnonzero(np.unpackbits(self.block(level, int(b)), count=count, bitorder="little") == bit)
+            out[s:e] = places[which[s:e] - before[b]] + int(b) * 8 * BLOCK
+        return out
+
+    def _up(self, token: int, at: np.ndarray) -> np.ndarray:
+        """Places in the last order to places in the sequence."""
+        for level in range(self.levels - 1, -1, -1):
+            bit = token >> (self.levels - 1 - level) & 1
+            at = self._select(level, bit, at - self.zeros[level] if bit else at)
+        return at
 
     def select(self, token: int, k: int) -> int:
         """The place of the token's k-th occurrence, from 0."""
         a, b = self._range(token, self.n)
         if not 0 <= k < b - a:
             raise IndexError(k)
-        at = a + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = token >> (len(self.planes) - 1 - level) & 1
-            at = self._select(level, bit, at - self.zeros[level] if bit else at)
-        return at
+        return int(self._up(token, np.array([a + k]))[0])
+
+    def occurrences(self, token: int, limit: int | None = None) -> list[int]:
+        """The places of the token, the first ones if limited; all go up the planes together."""
+        a, b = self._range(token, self.n)
+        return self._up(token, np.arange(a, b if limit is None else min(b, a + limit))).tolist()
+
 
-    def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.rank(token))]
+def _spans(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, start, end) of the runs of an ascending array."""
+    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    return k[starts], starts, np.r_[starts[1:], len(k)][: len(starts)]
+
+
+_HEAD = "<4sQQIIII"
+_COUNTED = struct.calcsize(_HEAD) - 8  # bytes of the head before its two checksums
 
 
 def dump(ids: np.ndarray, docs: Iterable[int | None], sizes: Iterable[int]) -> bytes:
@@ -140,27 +174,51 @@ def dump(ids: np.ndarray, docs: Iterable[int | None], sizes: Iterable[int]) -> b
     matrix = WaveletMatrix.of(ids)
     docs, sizes = list(docs), np.array(list(sizes), "<u8")
     known = np.array([d is not None for d in docs], np.uint8)
-    table = known.tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes() + sizes.tobytes()
-    parts = [zstandard.compress(x, _LEVEL) for x in (table, *(p.tobytes() for p in matrix.planes))]
-    head = struct.pack("<4sQQII", MAGIC, matrix.n, len(docs), len(matrix.planes), zlib.crc32(b"".join(parts)))
-    return b"".join([head, np.array(list(map(len, parts)), "<u8").tobytes(), *parts])
+    table = zstandard.compress(known.tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes() + sizes.tobytes(), _LEVEL)
+    blocks, press = matrix.ones.shape[1] - 1, zstandard.ZstdCompressor(level=_LEVEL).compress
+    parts = [press(matrix.block(level, k).tobytes()) for level in range(matrix.levels) for k in range(blocks)]
+    index = np.cumsum([0, *map(len, parts)]).astype("<u4").tobytes() + matrix.ones.astype("<u4").tobytes()
+    body = b"".join(parts)
+    head = struct.pack(_HEAD, MAGIC, matrix.n, len(docs), matrix.levels, len(table), 0, zlib.crc32(body))
+    head = struct.pack(_HEAD, *struct.unpack(_HEAD, head)[:5], zlib.crc32(table + index, zlib.crc32(head[:_COUNTED])), zlib.crc32(body))
+    return b"".join([head, table, index, body])
+
+
+def open_shard(data: bytes, check: bool = False) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
+    """(matrix, documents, their sizes) of a shard's file; ValueError if it is damaged. Planes are decompressed by block, when
+    they are asked for; check: test the checksum of all of them at once, too."""
+    try:
+        magic, n, docs, levels, size, crc, body_crc = struct.unpack_from(_HEAD, data)
+        at = struct.calcsize(_HEAD)
+        blocks = -(-n // (8 * BLOCK))
+        ends_at, ones_at = at + size, at + size + 4 * (levels * blocks + 1)
+        first = ones_at + 4 * levels * (blocks + 1)
+        if magic != MAGIC or zlib.crc32(memoryview(data)[at:first], zlib.crc32(data[:_COUNTED])) != crc:
+            raise ValueError
+        ends = np.frombuffer(data, "<u4", levels * blocks + 1, ends_at).astype(np.int64) + first
+        ones = np.frombuffer(data, "<u4", levels * (blocks + 1), ones_at).astype(np.int64).reshape(levels, blocks + 1)
+        if len(data) != ends[-1] or (check and zlib.crc32(memoryview(data)[first:]) != body_crc):
+            raise ValueError
+        table = zstandard.decompress(data[at : at + size])
+    except (ValueError, struct.error, zstandard.ZstdError):
+        raise ValueError("token file: damaged") from None
+    plain = zstandard.ZstdDecompressor().decompress
+
+    def block(level: int, k: int) -> np.ndarray:
+        j = level * blocks + k
+        try:
+            return np.frombuffer(plain(data[ends[j] : ends[j + 1]]), np.uint8)
+        except zstandard.ZstdError:
+            raise ValueError("token file: damaged") from None
+
+    known = np.frombuffer(table, np.uint8, docs).tolist()
+    ids = np.frombuffer(table, "<i8", docs, docs).tolist()
+    return WaveletMatrix(n, ones, block), [d if k else None for d, k in zip(ids, known, strict=True)], np.frombuffer(table, "<u8", docs, 9 * docs).astype(np.int64)
 
 
 def load(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """(matrix, documents, their sizes) of a shard's file; ValueError if it is damaged."""
-    magic, n, docs, levels, crc = struct.unpack_from("<4sQQII", data)
-    at = struct.calcsize("<4sQQII")
-    sizes = np.frombuffer(data, "<u8", levels + 1, at).astype(int).tolist()
-    at += 8 * (levels + 1)
-    if magic != MAGIC or zlib.crc32(memoryview(data)[at:]) != crc or len(data) - at != sum(sizes):
-        raise ValueError("token file: damaged")
-    parts = []
-    for size in sizes:
-        parts.append(zstandard.decompress(data[at : at + size]))
-        at += size
-    known = np.frombuffer(parts[0], np.uint8, docs).tolist()
-    ids = np.frombuffer(parts[0], "<i8", docs, docs).tolist()
-    return WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[1:]]), [d if k else None for d, k in zip(ids, known, strict=True)], np.frombuffer(parts[0], "<u8", docs, 9 * docs).astype(np.int64)
+    """open_shard() with every checksum tested."""
+    return open_shard(data, True)
 
 
 class _Pieces(dict):
@@ -290,18 +348,16 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def find(files: DataFrame, token: int, limit: int | None = None) -> DataFrame:
-    """(part, shard, n, places): how often a token occurs in each shard and where, without decoding the shards.
+    """(part, shard, n, places): how often a token occurs in each shard and where, from the planes' blocks that lead there.
 
     limit: at most so many places of each shard (None: all)."""
+    common.bounded(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
             for part, shard, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                matrix = load(data)[0]
-                n = matrix.rank(token)
-                rows.append((part, shard, n, [matrix.select(token, k) for k in range(n if limit is None else min(n, limit))]))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "shard", "n", "places"])
+                matrix = open_shard(data)[0]
+                row = ((part, pa.int32()), (shard, pa.int32()), (matrix.rank(token), pa.int64()), (matrix.occurrences(token, limit), pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in row], ["part", "shard", "n", "places"])
 
     return files.select("part", "shard", "data").mapInArrow(run, "part int, shard int, n long, places array<long>")

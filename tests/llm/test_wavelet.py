@@ -15,7 +15,7 @@ from .test_byte_bpe import odd_texts
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-@pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 1), (7, 2), (3000, 50_257), (1025, 5), (500, 200_000)])
+@pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 1), (7, 2), (3000, 50_257), (1025, 5), (500, 200_000), (100_003, 300), (65_536, 3)])
 def test_matrix_against_arrays(n, top):
     ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
     m = wavelet.WaveletMatrix.of(ids)
@@ -32,11 +32,37 @@ def test_files_and_damage():
     data = wavelet.dump(ids, [5, None, 7], [400, 0, 600])
     matrix, docs, sizes = wavelet.load(data)
     assert docs == [5, None, 7] and sizes.tolist() == [400, 0, 600] and (matrix.all() == ids).all()
-    for at in (2, 30, len(data) // 2, len(data) - 1):
+    for at in range(0, len(data), 7):
         with pytest.raises(Exception):  # noqa: B017
             wavelet.load(data[:at] + bytes([data[at] ^ 4]) + data[at + 1 :])
 
 
+def test_access_reads_a_few_blocks_only(monkeypatch):
+    """What one access decompresses: a block a plane for a token and a place, two for a count, of some hundred in the file."""
+    ids = np.random.default_rng(3).integers(0, 50_000, 400_000).astype(np.uint32)
+    ids[::1000] = 77
+    data = wavelet.dump(ids, [1], [len(ids)])
+    read = []
+
+    class Counting:
+        def __init__(self):
+            self.real = wavelet.zstandard.ZstdDecompressor
+
+        def __call__(self):
+            plain = self.real().decompress
+            return type("D", (), {"decompress": staticmethod(lambda x, **more: read.append(out := plain(x, **more)) or out)})()
+
+    monkeypatch.setattr(wavelet.zstandard, "ZstdDecompressor", Counting())
+    blocks = 16 * -(-len(ids) // (8 * wavelet.BLOCK))
+    for ask, most in ((lambda m: m[123_456] == ids[123_456], 16), (lambda m: m.rank(77, 200_500) == int((ids[:200_500] == 77).sum()), 32), (lambda m: m.select(77, 3) == np.flatnonzero(ids == 77)[3], 48), (lambda m: m.occurrences(77, 5) == np.flatnonzero(ids == 77)[:5].tolist(), 80)):
+        read.clear()
+        assert ask(wavelet.open_shard(data)[0])
+        read[:] = [x for x in read if len(x) > 100]  # without the table of documents
+        assert len(read) <= most < blocks and sum(map(len, read)) <= most * wavelet.BLOCK
+    matrix = wavelet.open_shard(data)[0]
+    assert matrix.occurrences(77) == np.flatnonzero(ids == 77).tolist() and (matrix.all() == ids).all()
+
+
 def test_query(spark, sf_dir, tmp_path):
     library = Tokenizer.from_file(PATH)
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
