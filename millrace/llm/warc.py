@@ -3,15 +3,17 @@
 Writing makes one record per row. Of rows with equal payloads of at least LEAST_REVISIT bytes, the one with the smallest id
 is a response and the others are revisits that refer to it; equal payloads are found by SHA-256, grouped before the join,
 which AQE splits where one payload has very many rows. A response holds an HTTP message whose body is framed in chunks; a
-block longer than a segment goes on in continuation records. Archives are gzip files in the shared folder, of about
-ARCHIVE bytes each before compression; records end with two line ends, which is what the writer puts between rows.
+block longer than a segment goes on in continuation records. Archives are files in the shared folder, of about ARCHIVE bytes
+each before compression; every record is a gzip member of its own, as other readers expect, and what the writer puts between
+rows is an empty member. A revisit names its response by address and date; identifiers belong to one record each.
 
-Reading parses archives (gzip or plain, also foreign ones) by Content-Length. Segmented records are grouped by the origin's
-identifier, ordered by segment number and checked for gaps and for their total length; then chunked framing is decoded and
-the payload's digest verified. A task holds one archive file, or the segments of one record.
+Reading parses archives (gzip or plain, also foreign ones) by Content-Length, decompressing a piece at a time. Segmented
+records are grouped by the origin's identifier, ordered by segment number and checked for gaps and for their total length;
+then chunked framing is decoded and the payload's digest verified. A task holds one archive file as it is stored, or the
+segments of one record.
 
 A null payload is empty; a null id is kept and never referred to; rows repeated with the same id and payload give as many
-records (equal copies share identifiers, and their segments are paired off); damaged archives raise; an empty table gives
+records (foreign copies that share identifiers have their segments paired off); damaged archives raise; an empty table gives
 none; other columns are ignored.
 """
 
@@ -35,6 +37,8 @@ VERSION, END = b"WARC/1.1", b"\r\n"
 LEAST_REVISIT = 100
 #: Bytes of a chunk, of a segment's block, and of an archive before compression.
 CHUNK, SEGMENT, ARCHIVE = 8 << 10, 64 << 10, 16 << 20
+#: Bytes that are decompressed at a time, and the level at which records are compressed.
+PIECE, _LEVEL = 1 << 20, 6
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("8d1b0a54-3a3c-5b8f-9a53-0f9df5a6b1c7")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -73,14 +77,14 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"".join([VERSION, END, head.encode(), END, block])
 
 
-def records(row: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool, segment: int = SEGMENT) -> list[bytes]:
-    """The records of one row, without the two line ends that follow each."""
-    own = _identifier(row, digest)
-    clean = None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+def records(row: int | None, url: str | None, payload: bytes, digest: str, first: int | None, first_url: str | None, revisit: bool, serial: str = "", segment: int = SEGMENT) -> list[bytes]:
+    """The records of one row, without the two line ends that follow each. serial: what tells the row from all others."""
+    own = _identifier(row, digest, serial)
+    clean, first_url = (None if u is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", u) for u in (url, first_url))
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", clean)]
     fields += [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Millrace-Row", row), ("Millrace-Payload-Length", len(payload))]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _identifier(first, digest)), ("Millrace-Refers-To-Row", first)]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", first_url), ("WARC-Refers-To-Date", DATE), ("Millrace-Refers-To-Row", first)]
         return [_record(fields, _HTTP + END)]
     block = b"".join([_HTTP, b"Transfer-Encoding: chunked\r\n\r\n", chunked(payload)])
     if len(block) <= segment:
@@ -88,23 +92,31 @@ def records(row: int | None, url: str | None, payload: bytes, digest: str, first
     parts = [block[k : k + segment] for k in range(0, len(block), segment)]
     out = [_record([*fields, ("WARC-Segment-Number", 1)], parts[0])]
     for n, part in enumerate(parts[1:], 2):
-        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", _identifier(row, digest, n)), ("WARC-Date", DATE), ("WARC-Target-URI", clean)]
+        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", _identifier(row, digest, serial, n)), ("WARC-Date", DATE), ("WARC-Target-URI", clean)]
         more += [("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", len(block) if n == len(parts) else None)]
         out.append(_record(more, part))
     return out
 
 
+def _member(data: bytes) -> bytes:
+    """A gzip member."""
+    c = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31)
+    return c.compress(data) + c.flush()
+
+
 def _writer(archive: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, filled = TaskContext.get().partitionId() << 32, 0
+        part = TaskContext.get().partitionId()
+        number, filled, serial = part << 32, 0, 0
         for b in batches:
             numbers, out = [], []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for record in records(*row, segment=segment):
+                serial += 1
+                for record in records(*row, serial=f"{part}/{serial}", segment=segment):
                     if filled >= archive:
                         number, filled = number + 1, 0
                     numbers.append(number)
-                    out.append(record)
+                    out.append(_member(record + END + END))
                     filled += len(record)
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(out, pa.binary())], ["archive", "record"])
 
@@ -117,44 +129,72 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     payload = common.utf8(payload_col)
     rows = pages.select(F.col(id_col).cast("long").alias("row"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     long = F.octet_length("payload") >= LEAST_REVISIT
-    repeated = rows.filter(long).groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    joined = rows.join(repeated.select("digest", "first"), "digest", "left")
+    repeated = rows.filter(long).groupBy("digest").agg(F.min("row").alias("first"), F.min_by("url", "row").alias("first_url"), F.count("*").alias("n")).filter("n > 1")
+    joined = rows.join(repeated.select("digest", "first", "first_url"), "digest", "left")
     revisit = F.coalesce(long & F.col("first").isNotNull() & ~F.col("row").eqNullSafe(F.col("first")), F.lit(False))
-    plan = joined.select("row", "url", "payload", "digest", "first", revisit.alias("revisit"))
+    plan = joined.select("row", "url", "payload", "digest", "first", "first_url", revisit.alias("revisit"))
     out = plan.mapInArrow(_writer(archive, segment), "archive long, record binary")
-    out.select("archive", F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").partitionBy("archive").text(path)
+    lines = out.select("archive", F.col("record").cast("string").alias("value"))  # bytes, written as they are
+    lines.write.option("encoding", "ISO-8859-1").option("lineSep", _member(b"").decode("latin-1")).option("compression", "none").partitionBy("archive").text(path)
 
 
-def _plain(data: bytes) -> bytes:
-    """The content of a plain or gzip file of any number of members."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """The content of a plain or gzip file of any number of members, PIECE bytes at a time."""
+    view, at = memoryview(data), 0
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        out += [d.decompress(data), d.flush()]
-        if not d.eof:
-            raise ValueError("WARC: a gzip member is cut short")
-        data = d.unused_data
-    return b"".join([*out, data])
+        while not d.eof:
+            chunk = d.unconsumed_tail or view[at : at + PIECE]
+            if not len(chunk):
+                raise ValueError("WARC: a gzip member is cut short")
+            at += 0 if d.unconsumed_tail else len(chunk)
+            try:
+                out = d.decompress(chunk, PIECE)
+            except zlib.error as e:
+                raise ValueError(f"WARC: a gzip member is damaged ({e})") from None
+            if out:
+                yield out
+        at -= len(d.unused_data)
+    for k in range(at, len(view), PIECE):
+        yield bytes(view[k : k + PIECE])
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields with lower-case names, block) of each record."""
-    data, at = _plain(data), 0
-    while at < len(data):
-        if data[at : at + 2] == END:
+    """(fields with lower-case names, block) of each record; no more than a record and a piece is held."""
+    pieces, held, at = _pieces(data), bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(piece)
+        return True
+
+    while True:
+        while len(held) - at < 2 and more():
+            pass
+        if held[at : at + 2] == END:
             at += 2
             continue
-        end = data.find(END + END, at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+        if at == len(held):
+            return
+        while (end := held.find(END + END, at)) < 0 and more():
+            pass
+        lines = bytes(held[at:end]).decode("utf-8", "replace").split("\r\n")
         if end < 0 or not lines[0].startswith("WARC/"):
             raise ValueError("WARC: no record where one should start")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
+        size, at = int(fields["content-length"]), end + 4
+        while len(held) - at < size and more():
+            pass
+        if len(held) - at < size:
             raise ValueError("WARC: a record is cut short")
+        block = bytes(held[at : at + size])
+        at += size
         yield fields, block
-        at = end + 4 + size
 
 
 def payload_of(block: bytes) -> bytes:

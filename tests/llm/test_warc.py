@@ -52,7 +52,7 @@ def test_round_trip_with_segments(spark, tmp_path):
 
 def test_damage_and_foreign_archives(spark, tmp_path):
     body = b"hello world" * 50
-    good = warc.records(1, "u", body, hashlib.sha256(body).hexdigest(), None, False, segment=200)
+    good = warc.records(1, "u", body, hashlib.sha256(body).hexdigest(), None, None, False, segment=200)
     assert len(good) > 3
     whole = b"".join(gzip.compress(r + b"\r\n\r\n") for r in [b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n", *good])
     (tmp_path / "ok").mkdir()
@@ -67,6 +67,38 @@ def test_damage_and_foreign_archives(spark, tmp_path):
         list(warc.parse(good[0][:-5]))
 
 
+def test_a_record_is_a_member_and_has_its_own_identifier(spark, tmp_path):
+    """Every record is a gzip member; copies of a row, null ids among them, don't share identifiers."""
+    text = "the same long page " * 400
+    rows = [(None, "u", text + "of no id")] * 40 + [(7, "http://first/", text)] * 40 + [(8, "http://other/", text), (9, None, text)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    warc.write(spark.read.parquet(f"{tmp_path}/pages.parquet"), f"{tmp_path}/w", segment=2_000)
+    ids, targets = [], set()
+    for f in (tmp_path / "w").rglob("part-*"):
+        data = f.read_bytes()
+        while data:
+            d = warc.zlib.decompressobj(31)
+            found = list(warc.parse(d.decompress(data)))
+            assert d.eof and len(found) <= 1  # the empty member between records has none
+            ids += [x["warc-record-id"] for x, _ in found]
+            targets |= {(x["millrace-row"], x.get("warc-refers-to-target-uri")) for x, _ in found if x["warc-type"] == "revisit"}
+            data = d.unused_data
+    assert len(ids) == len(set(ids)) > 80 * 3 and {("8", "http://first/"), ("9", "http://first/")} == targets
+    got = warc.read(spark, f"{tmp_path}/w").collect()
+    assert sorted(((r.row, r.record_type, r.refers_to) for r in got), key=str) == sorted([(None, "response", None)] * 40 + [(7, "response", None)] * 40 + [(8, "revisit", 7), (9, "revisit", 7)], key=str)
+
+
+def test_large_foreign_members_are_read_by_pieces(monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 100)
+    body = random.Random(2).randbytes(5000)
+    parts = warc.records(1, "u", body, hashlib.sha256(body).hexdigest(), None, None, False)
+    whole = b"".join(r + b"\r\n\r\n" for r in parts * 3)
+    for data in (whole, gzip.compress(whole), gzip.compress(whole[:700]) + gzip.compress(whole[700:])):
+        assert [warc.payload_of(b) for _, b in warc.parse(data)] == [body] * 3
+    with pytest.raises(ValueError):
+        list(warc.parse(gzip.compress(whole)[:-200]))
+
+
 def test_query_matches_sql(spark, sf_dir):
     got = sorted(map(tuple, QUERIES["op9_warc"](spark, sf_dir).collect()), key=str)
     con = duckdb.connect()
