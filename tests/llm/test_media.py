@@ -56,6 +56,43 @@ def test_hash_keeps_what_is_alike():
     assert bits(ramp, near) <= 4 < bits(ramp, other)
 
 
+def plain_hash(image):
+    """The cosine hash by its definition, sum by sum."""
+    h, w = image.shape
+    part = lambda n, k: range(k * n // 32, (k + 1) * n // 32) if n >= 32 else [k * n // 32]
+    small = [[float(np.mean([image[i, j] for i in part(h, r) for j in part(w, c)])) for c in range(32)] for r in range(32)]
+    cos = [[np.cos(np.pi * (2 * x + 1) * k / 64) for x in range(32)] for k in range(8)]
+    low = [round(sum(cos[u][r] * cos[v][c] * small[r][c] for r in range(32) for c in range(32)), 6) for u in range(8) for v in range(8)]
+    rest = sorted(low[1:])
+    bits = "".join("1" if x > rest[31] else "0" for x in low)
+    return int(bits, 2).to_bytes(8, "big")
+
+
+@pytest.mark.parametrize("shape", [(1, 64), (7, 64), (32, 64), (45, 64), (200, 64), (64, 33)])
+def test_cosine_hash_by_definition(shape):
+    image = np.random.default_rng(shape[0]).integers(0, 256, shape, dtype=np.uint8)
+    assert media.cosine_hash(image) == plain_hash(image)
+
+
+def test_stored_form_by_definition():
+    """What is stored is a PNG that any reader takes: signature, head, zlib rows of filter types, checksums."""
+    payload = "some text é".encode() * 30
+    png = media.to_media(payload)
+    at, body = 8, b""
+    assert png[:8] == b"\x89PNG\r\n\x1a\n"
+    while at < len(png):
+        n, kind = struct.unpack(">I4s", png[at : at + 8])
+        chunk = png[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", png[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + chunk)
+        if kind == b"IHDR":
+            w, h = struct.unpack(">II", chunk[:8])
+            assert chunk[8:] == b"\x08\0\0\0\0"
+        body += chunk if kind == b"IDAT" else b""
+        at += 12 + n
+    rows = zlib.decompress(body)
+    assert len(rows) == h * (w + 1) and w == 64 and h == -(-len(payload) // 64) and media.decode_png(png)[0].tobytes().rstrip(b"\0") == payload
+
+
 def test_query(spark, sf_dir, tmp_path):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).collect()
     rows = [tuple(r) for r in rows] + [(900, None), (901, ""), (902, "dup"), (902, "dup"), (None, "y" * 200_000)]
