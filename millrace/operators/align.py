@@ -74,6 +74,16 @@ def visible(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("_")]
 
 
+def show(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns, in the table's order, and its lineage columns; unknown names count for nothing."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c in columns or c.startswith("_")))
+
+
+def hide(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The table without the named columns; lineage columns stay."""
+    return show(df, [c for c in df.columns if c not in columns])
+
+
 def head(df: DataFrame, n: int) -> DataFrame:
     """The first n rows by row index (without one, as they come). Where indexes have no gaps, a filter on them finds these
     rows without a pass over the table."""

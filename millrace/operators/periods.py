@@ -47,7 +47,6 @@ def parse(header: str) -> Period | None:
     if m := re.fullmatch(r"([^\W\d_]+)\.?[\s_-](\d{2}|\d{4})", h):
         if month := _MONTH.get(m[1].lower()):
             return _month(expand_year(m[2]), month)
-        return None
     if m := re.fullmatch(r"(\d{4})/(\d{1,2})", h):
         return _month(int(m[1]), int(m[2]))
     if m := re.fullmatch(r"(\d{1,2})/(\d{4})", h):

@@ -104,8 +104,8 @@ def extract(data: bytes, name: str) -> Extract:
 _ROWS = "path string, table_index int, table_name string, method string, page int, headers array<string>, row_index long, line long, raw_text string, cells array<string>, warning string"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each row of each table of each file below path; warnings and unparsed lines have table_index -1.
+def parse_files(files: DataFrame) -> DataFrame:
+    """One row for each row of each table of each file (path, content); warnings and unparsed lines have table_index -1.
 
     A task holds one file at a time."""
 
@@ -124,7 +124,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                     part = rows[at : at + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _ROWS)
+    return files.select("path", "content").mapInArrow(run, _ROWS)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """parse_files() of all files below path."""
+    return parse_files(spark.read.format("binaryFile").load(path))
 
 
 @dataclass
