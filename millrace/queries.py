@@ -341,11 +341,13 @@ def _re2(pattern: str) -> str:
 
 
 _ROLE_TEXT = "doc_id || ' ' || text"
-_B = r"(?:^|[^\p{L}\p{N}_])"
-_TOTALS = rf"(?i){_B}(?:{profile.TOTAL_WORDS})(?:$|[^\p{{L}}\p{{N}}_])|{profile.TOTAL_SIGNS}"
+_B, _E = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+#: The words as the rule has them, apart from profile's, so that a wrong one there shows.
+_GRAND_SQL = r"(?i)(?:grand\s?total|total\s?general|net\s?total|overall\s?total|grand\s?sum|总计|합계)"
+_TOTALS_SQL = rf"(?i){_B}(?:totals?|sub[\s\-]?totals?|grand\s?total|net\s?total|sum\s?total|sum|sous[\s\-]total|totaal|summe|suma|totale|total\s?geral|itog|totalt|того|итого|всего){_E}|合計|小計|总计|總計|합계"
 
 
-@query(f"SELECT doc_id, CASE WHEN regexp_matches({_ROLE_TEXT}, '(?i){profile.GRAND_WORDS}') THEN 'grand_total' WHEN regexp_matches({_ROLE_TEXT}, '{_re2(_TOTALS)}') THEN 'subtotal' ELSE 'detail' END AS _row_role FROM documents")
+@query(f"SELECT doc_id, CASE WHEN regexp_matches({_ROLE_TEXT}, '{_GRAND_SQL}') THEN 'grand_total' WHEN regexp_matches({_ROLE_TEXT}, '{_TOTALS_SQL}') THEN 'subtotal' ELSE 'detail' END AS _row_role FROM documents")
 def row_roles(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", profile.row_role(["doc_id", "text"]).alias("_row_role"))
 
@@ -386,16 +388,23 @@ def mismatch_check(spark, sf_dir):
     return _plain(found.select("row_index", "source_value", "recomputed_value"), source_value=4, recomputed_value=4)
 
 
-@query("SELECT o_orderstatus, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders WHERE year(o_orderdate) = 1996 GROUP BY ALL")
+@query("SELECT o_orderstatus, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL")
 def wide_to_long(spark, sf_dir):
     """A table with a column for each quarter, whose headers are read as periods, turned into rows."""
-    df = _orders(spark, sf_dir).filter(F.year("o_orderdate") == 1996)
-    header = F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string"), F.lit(" "), F.year("o_orderdate").cast("string"))
-    wide = df.groupBy("o_orderstatus", header.alias("h")).agg(F.sum("o_totalprice").alias("v")).groupBy("o_orderstatus").pivot("h", [f"Q{q} 1996" for q in (1, 2, 3, 4)]).agg(F.first("v"))
+    wide = _quarterly(spark, sf_dir, "o_orderstatus")
     long = periods.to_long(wide, periods.detect(wide.columns), ["o_orderstatus"])
     return _plain(long.filter("value is not null"), value=2)
 
 
+def _quarterly(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Totals of orders by a key, with a column for each quarter from the first to the last year."""
+    df = _orders(spark, sf_dir)
+    first, last = df.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    heads = [f"Q{q} {y}" for y in range(first, last + 1) for q in (1, 2, 3, 4)]
+    header = F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string"), F.lit(" "), F.year("o_orderdate").cast("string"))
+    return df.groupBy(key, header.alias("h")).agg(F.sum("o_totalprice").alias("v")).groupBy(key).pivot("h", heads).agg(F.first("v"))
+
+
 @query("SELECT 's_suppkey' AS name, 'int' AS dtype, 'numeric' AS semantic_label, count(DISTINCT s_suppkey) AS unique_count, CAST(min(s_suppkey) AS DOUBLE) AS min_val FROM supplier UNION ALL SELECT 's_name', 'string', 'name', count(DISTINCT s_name), NULL FROM supplier UNION ALL SELECT 's_nationkey', 'int', 'numeric', count(DISTINCT s_nationkey), CAST(min(s_nationkey) AS DOUBLE) FROM supplier UNION ALL SELECT 's_acctbal', 'float', 'numeric', count(DISTINCT s_acctbal), min(s_acctbal) FROM supplier")
 def schema_detect(spark, sf_dir):
     found = infer.detect(_t(spark, sf_dir, "supplier")).columns
@@ -416,7 +425,13 @@ def json_flatten(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.explode(pairs).alias("key", "value"))
 
 
-@query()
+_BARE = r"regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g')"
+_MARKED = rf"regexp_replace(regexp_replace({_BARE}, '(?i)<(li|p)(\s[^>]*)?>', chr(1), 'g'), '(?i)</(li|p)>', chr(2), 'g')"
+_ITEM = "string_split(x, chr(2))[1]"
+_ITEM = rf"trim(replace(replace(replace(replace(regexp_replace({_ITEM}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), ' ' || chr(10) || chr(9) || chr(13))"
+
+
+@query(rf"WITH p AS (SELECT page_id, unnest(string_split({_MARKED}, chr(1))[2:]) AS x, generate_subscripts(string_split({_MARKED}, chr(1))[2:], 1) AS k FROM pages), c AS (SELECT page_id, k, {_ITEM} AS content FROM p) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS item_no, content, CAST(len(string_split_regex(content, '\s+')) AS BIGINT) AS word_count FROM c WHERE content <> ''")
 def html_items(spark, sf_dir):
     """Items and tables of every page, through the file parser."""
     def run(batches):
@@ -459,9 +474,9 @@ def turns_per_role(spark, sf_dir):
 
 @query("SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 150000")
 def join_tables(spark, sf_dir):
-    orders = apply(_t(spark, sf_dir, "orders"), [FilterRule("o_totalprice", "range", "150000.0001..")])
-    customers, nations = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
-    return orders.join(customers, orders.o_custkey == customers.c_custkey).join(nations, customers.c_nationkey == nations.n_nationkey).select("o_orderkey", "c_name", "n_name")
+    orders = apply(_t(spark, sf_dir, "orders"), [FilterRule("o_totalprice", "range", "150000.0001..")]).withColumnRenamed("o_custkey", "c_custkey")
+    customers, nations = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    return joins.equi(joins.equi(orders, customers, ["c_custkey"]), nations, ["c_nationkey"]).select("o_orderkey", "c_name", "n_name")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")

@@ -20,7 +20,7 @@ from .operators import compose, joins, periods, profile, rows
 from .operators.filters import AllOf, AnyOf, FilterRule, Not, apply
 from .plans import aggregates as agg
 from .plans import analyses, base, layout
-from .queries import _exact, _plain, _t, query
+from .queries import _exact, _plain, _quarterly, _t, query
 from .session import scratch
 from .sources import connect, files, office, pdf, sinks, tables, textual
 from .streaming import windows
@@ -534,13 +534,12 @@ def validation_errors(spark, sf_dir):
 
 
 def _quarters(spark: SparkSession, sf_dir: str) -> profile.TableProfile:
-    header = F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string"), F.lit(" "), F.year("o_orderdate").cast("string"))
-    df = _exact(_t(spark, sf_dir, "orders"), "o_totalprice")
-    wide = df.groupBy("o_orderpriority", header.alias("h")).agg(F.sum("o_totalprice").alias("v")).groupBy("o_orderpriority").pivot("h", ["Q1 1996", "Q2 1996"]).agg(F.first("v").cast("double"))
+    wide = _quarterly(spark, sf_dir, "o_orderpriority")
+    wide = wide.select("o_orderpriority", *(F.col(f"`{c}`").cast("double").alias(c) for c in wide.columns[1:]))
     return profile.profile(wide.orderBy("o_orderpriority"), "orders")
 
 
-_LINES = "SELECT o_orderpriority AS series, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders WHERE year(o_orderdate) = 1996 AND quarter(o_orderdate) < 3 GROUP BY ALL"
+_LINES = "WITH v AS (SELECT o_orderpriority AS series, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL), q AS (SELECT y || '-Q' || k AS period FROM range((SELECT min(year(o_orderdate)) FROM orders), (SELECT max(year(o_orderdate)) FROM orders) + 1) a(y), range(1, 5) b(k)) SELECT s.series, q.period, v.value FROM (SELECT DISTINCT series FROM v) s CROSS JOIN q LEFT JOIN v ON v.series = s.series AND v.period = q.period"
 
 
 @query(_LINES)
