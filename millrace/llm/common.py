@@ -141,7 +141,8 @@ def met(rows: DataFrame, table: DataFrame, on: str | list[str], name: str, how:
     if out.count() <= most:
         return rows.join(F.broadcast(out), on, how)
     crowded = settle_keys(rows.groupBy(*keys).count().filter(F.col("count") > hot).select(*keys, F.lit(True).alias("__mr_hot")), "hot")
-    ways = F.when(F.col("__mr_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+    # of a row and the task that has it, so a task that runs again deals alike whatever order its rows come in
+    ways = F.when(F.col("__mr_hot"), F.pmod(F.xxhash64(F.spark_partition_id(), *rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
     dealt = rows.join(crowded, keys, "left").withColumn("__mr_salt", ways).drop("__mr_hot")
     every = out.join(crowded, keys, "left").withColumn("__mr_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("__mr_hot"), SALTS - 1).otherwise(0)))).drop("__mr_hot")
     return dealt.join(every, [*keys, "__mr_salt"], how).drop("__mr_salt")
