@@ -80,6 +80,6 @@ def merge(df: DataFrame, keys: list[str], partial: Callable, merge_: Callable, s
 
     Batches are made small before the shuffle; a key's states are merged in rounds, so no task holds the rows of a hot key."""
     made = df.mapInPandas(lambda batches: (partial(b) for b in batches if len(b)), schema)
-    salted = made.withColumn("__turn", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
+    salted = made.withColumn("__turn", F.pmod(F.spark_partition_id(), F.lit(16)))
     inner = salted.groupBy(*keys, "__turn").applyInPandas(lambda g: merge_(g.drop(columns="__turn")), schema)
     return inner.groupBy(*keys).applyInPandas(merge_, schema)

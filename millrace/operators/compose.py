@@ -46,13 +46,14 @@ def can_unify(headers: list[set[str]]) -> bool:
     return all(len(headers[0] & h) / len(headers[0]) >= UNION_SHARE for h in headers[1:])
 
 
-def shared_keys(headers: dict[str, set[str]]) -> list[dict[str, str]]:
-    """Columns that two tables share and that look like keys (or are among three or fewer shared ones)."""
+def shared_keys(headers: dict[str, set[str]], most: int | None = MOST_KEYS) -> list[dict[str, str]]:
+    """Columns that two tables share and that look like keys (or are among three or fewer shared ones); the first most of them
+    (None: all)."""
     found = []
     for (a, x), (b, y) in combinations(headers.items(), 2):
         both = sorted(x & y)
         found += [{"table_a": a, "table_b": b, "matching_column": c, "type": "shared_key"} for c in both if len(both) <= 3 or any(w in c for w in KEY_WORDS)]
-    return found[:MOST_KEYS]
+    return found if most is None else found[:most]
 
 
 def containment(a: DataFrame, b: DataFrame, column: str) -> float:

@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import dealt
+
 #: Rows up to which a side is broadcast when its size has been counted.
 MOST_BROADCAST = 100_000
 #: How many ways the rows of a cell are dealt, and the factor between the widths of levels of ranges.
@@ -37,10 +39,9 @@ def theta(left: DataFrame, right: DataFrame, condition: Column | str, most: int
     if right.limit(most + 1).count() <= most:
         return left.join(F.broadcast(right), condition)
     n = math.ceil(math.sqrt(cells or _partitions(left)))
-    turn = F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = left.withColumn("__row", turn).withColumn("__column", every)
-    b = right.withColumn("__column_", turn).withColumn("__row_", every)
+    a = left.withColumn("__row", dealt(left, n)).withColumn("__column", every)
+    b = right.withColumn("__column_", dealt(right, n)).withColumn("__row_", every)
     met = (F.col("__row") == F.col("__row_")) & (F.col("__column") == F.col("__column_"))
     return a.join(b, met & condition).drop("__row", "__column", "__row_", "__column_")
 
@@ -70,7 +71,7 @@ def in_range(left: DataFrame, right: DataFrame, value: str, low: str, high: str,
     cell = lambda c: F.floor(F.col(c).cast("double") / (width * F.pow(F.lit(float(STEP)), F.col("__level")))).cast("long")
     held = held.withColumn("__cell", F.explode(F.sequence(cell(low), cell(high)))).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     placed = left.withColumn("__level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    placed = placed.withColumn("__cell", cell(value)).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    placed = placed.withColumn("__cell", cell(value)).withColumn("__salt", dealt(left, salts))
     met = placed.join(held, ["__level", "__cell", "__salt"])
     return met.filter((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))).drop("__level", "__cell", "__salt")
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Month names and their abbreviations (English, French), by month.
+#: Month names and their abbreviations (English, French), in the order of months, so the place is the number.
 MONTHS = (
     "jan january janv janvier", "feb february févr fév février", "mar march mars", "apr april avr avril", "may mai", "jun june juin",
     "jul july juil juillet", "aug august aoû août", "sep sept september septembre", "oct october octobre", "nov november novembre", "dec december déc décembre",

@@ -16,6 +16,8 @@ from .align import ROW, head, visible
 from .rows import with_row_index
 
 # Words of total rows, headers of computed columns, characters that cells may hold, currency signs, date shapes.
+# Signs stand apart from words because word boundaries don't apply to them; the date shapes are one pattern, so a value is
+# tested once.
 TOTAL_WORDS = r"totals?|sub[\s\-]?totals?|grand\s?total|net\s?total|sum\s?total|sum|sous[\s\-]total|totaal|summe|suma|totale|total\s?geral|itog|totalt|того|итого|всего"
 TOTAL_SIGNS = "合計|小計|总计|總計|합계"
 GRAND_WORDS = r"grand\s?total|total\s?general|net\s?total|overall\s?total|grand\s?sum|总计|합계"

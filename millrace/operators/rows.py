@@ -13,6 +13,13 @@ from .align import ROW, visible
 _LOW = (1 << 33) - 1
 
 
+def dealt(df: DataFrame, n: int) -> Column:
+    """A number below n for each row, to spread the rows of a key. It depends on the row and its task only, so a task that runs
+    again after a loss deals its rows alike, whatever order they come in."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(n)).cast("int")
+
+
 def with_row_index(df: DataFrame) -> DataFrame:
     """df with _row_index 0, 1, 2 ... in its order: partition offsets (one number each) are summed on the driver
     and broadcast, rows stay put."""
