@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import exprs
 from ..operators.align import ROW
 from ..operators.rows import with_row_index
-from . import office, pdf, textual
+from . import office, pdf, textual, xls
 from .tables import Extract, decode
 
 Parser = Callable[[bytes, str], Extract]
@@ -27,7 +27,7 @@ PARSERS: dict[str, Parser] = {
     **dict.fromkeys((".csv",), textual.read_csv), **dict.fromkeys((".json", ".jsonl", ".ndjson", ".geojson"), textual.read_json),
     **dict.fromkeys((".xml",), textual.read_xml), **dict.fromkeys((".html", ".htm"), textual.read_html),
     **dict.fromkeys((".txt", ".tsv", ".tab", ".log", ".dat", ".env", ".ini", ".conf", ".sql", ".md", ".yaml", ".yml"), textual.read_text),
-    **dict.fromkeys((".xlsx", ".xls"), office.read_xlsx), ".docx": office.read_docx, ".pptx": office.read_pptx, **dict.fromkeys((".db", ".sqlite", ".sqlite3"), office.read_sqlite),
+    ".xlsx": office.read_xlsx, ".xls": xls.read_xls, ".docx": office.read_docx, ".pptx": office.read_pptx, **dict.fromkeys((".db", ".sqlite", ".sqlite3"), office.read_sqlite),
     **dict.fromkeys((".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tiff"), office.read_image), ".pdf": pdf.read_pdf,
 }
 
@@ -69,7 +69,7 @@ def read_archive(data: bytes, name: str) -> Extract:
 
 def router(data: bytes, name: str) -> Parser:
     """By magic bytes, then suffix, then content."""
-    for magic, suffix in ((b"%PDF", ".pdf"), (b"SQLite format 3", ".sqlite"), (b"\x89PNG\r\n\x1a\n", ".png"), (b"\xff\xd8\xff", ".jpg"), (b"RIFF", ".webp")):
+    for magic, suffix in ((b"%PDF", ".pdf"), (xls.MAGIC, ".xls"), (b"SQLite format 3", ".sqlite"), (b"\x89PNG\r\n\x1a\n", ".png"), (b"\xff\xd8\xff", ".jpg"), (b"RIFF", ".webp")):
         if data.startswith(magic):
             return PARSERS[suffix]
     suffix = PurePosixPath(name).suffix.lower()

@@ -8,7 +8,7 @@ import re
 import sqlite3
 import struct
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import Any
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -36,6 +36,27 @@ def _cell_place(ref: str) -> tuple[int, int]:
     return int(row) - 1, column - 1
 
 
+def is_date_format(number: int, code: str) -> bool:
+    """Whether cells of a number format are times: by its number, or by what its code shows outside quotes."""
+    return number in DATE_FORMATS or bool(re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code), re.I))
+
+
+def date_text(days: float, epoch: dt.datetime) -> str:
+    when = epoch + dt.timedelta(days=days)
+    when = (when + dt.timedelta(microseconds=500_000)).replace(microsecond=0)
+    return when.strftime("%Y-%m-%d" if when.time() == dt.time() else "%Y-%m-%d %H:%M:%S")
+
+
+def grid_of(cells: dict[tuple[int, int], Any], merged: Iterable[tuple[tuple[int, int], tuple[int, int]]]) -> list[list[Any]]:
+    """All cells of a sheet by row and column; merged regions hold the top-left value throughout."""
+    for (a, b), (c, d) in merged:
+        cells |= {(i, j): cells[a, b] for i in range(a, c + 1) for j in range(b, d + 1) if (a, b) in cells}
+    if not cells:
+        return []
+    height, width = max(i for i, _ in cells) + 1, max(j for _, j in cells) + 1
+    return [[cells.get((i, j)) for j in range(width)] for i in range(height)]
+
+
 class Workbook:
     def __init__(self, data: bytes) -> None:
         self.zip = zipfile.ZipFile(io.BytesIO(data))
@@ -59,8 +80,7 @@ class Workbook:
             return []
         styles = self._xml("xl/styles.xml")
         own = {int(f.get("numFmtId")): f.get("formatCode") for f in _all(styles, "numFmt")}
-        code = lambda k: re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", own.get(k, ""))
-        return [k in DATE_FORMATS or bool(re.search(r"[dmyhs]", code(k), re.I)) for x in _all(styles, "cellXfs") for k in (int(f.get("numFmtId", 0)) for f in x)]
+        return [is_date_format(k, own.get(k, "")) for x in _all(styles, "cellXfs") for k in (int(f.get("numFmtId", 0)) for f in x)]
 
     def names(self) -> list[str]:
         return [n for n, _, _ in self.sheets]
@@ -78,13 +98,8 @@ class Workbook:
                 column = at[1]
                 if (v := self._value(c)) is not None:
                     cells[at] = v
-        for m in _all(sheet, "mergeCell"):
-            (a, b), (c, d) = map(_cell_place, (m.get("ref") + ":" + m.get("ref")).split(":")[:2])
-            cells |= {(i, j): cells[a, b] for i in range(a, c + 1) for j in range(b, d + 1) if (a, b) in cells}
-        if not cells:
-            return []
-        height, width = max(i for i, _ in cells) + 1, max(j for _, j in cells) + 1
-        return [[cells.get((i, j)) for j in range(width)] for i in range(height)]
+        merged = [tuple(map(_cell_place, (m.get("ref") + ":" + m.get("ref")).split(":")[:2])) for m in _all(sheet, "mergeCell")]
+        return grid_of(cells, merged)
 
     def _value(self, c: ElementTree.Element) -> Any:
         kind = c.get("t", "n")
@@ -100,11 +115,7 @@ class Workbook:
         if kind in ("str", "d"):
             return v
         style = int(c.get("s", 0))
-        if style < len(self.dates) and self.dates[style]:
-            when = self.epoch + dt.timedelta(days=float(v))
-            when = (when + dt.timedelta(microseconds=500_000)).replace(microsecond=0)
-            return when.strftime("%Y-%m-%d" if when.time() == dt.time() else "%Y-%m-%d %H:%M:%S")
-        return float(v)
+        return date_text(float(v), self.epoch) if style < len(self.dates) and self.dates[style] else float(v)
 
 
 def _header_row(grid: list[list[Any]]) -> int:
@@ -116,22 +127,28 @@ def _header_row(grid: list[list[Any]]) -> int:
     return 0
 
 
-def read_xlsx(data: bytes, name: str, sheet: str | None = None) -> Extract:
-    """Every visible sheet, or one by its name."""
-    book, out = Workbook(data), Extract()
-    for title, _, hidden in book.sheets:
+def read_sheets(sheets: Iterable[tuple[str, bool]], grid: Callable[[str], list[list[Any]]], sheet: str | None, method: str) -> Extract:
+    """Every visible one of the sheets (name, hidden), or one by its name."""
+    out = Extract()
+    for title, hidden in sheets:
         if title != sheet and (hidden or sheet is not None):
             continue
-        grid = book.grid(title)
-        if not grid:
+        cells = grid(title)
+        if not cells:
             out.warnings.append(f"sheet {title!r} is empty")
             continue
-        head = _header_row(grid)
-        rows = [r for r in grid[head + 1 :] if any(v is not None for v in r)]
-        out.tables.append(Table.of(title, "xlsx", grid[head], rows, first_line=head + 2))
+        head = _header_row(cells)
+        rows = [r for r in cells[head + 1 :] if any(v is not None for v in r)]
+        out.tables.append(Table.of(title, method, cells[head], rows, first_line=head + 2))
     return out
 
 
+def read_xlsx(data: bytes, name: str, sheet: str | None = None) -> Extract:
+    """Every visible sheet, or one by its name."""
+    book = Workbook(data)
+    return read_sheets(((title, hidden) for title, _, hidden in book.sheets), book.grid, sheet, "xlsx")
+
+
 def column_letters(k: int) -> str:
     out = ""
     while k >= 0:
