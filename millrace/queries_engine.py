@@ -11,10 +11,10 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import exprs, registry
+from .functions import collections, exprs, registry
 from .operators import align as al
 from .operators import compose, joins, periods, profile, rows
 from .operators.filters import AllOf, AnyOf, FilterRule, Not, apply
@@ -22,7 +22,7 @@ from .plans import aggregates as agg
 from .plans import analyses, base, layout
 from .queries import _exact, _plain, _quarterly, _t, query
 from .session import scratch
-from .sources import connect, files, office, pdf, sinks, tables, textual
+from .sources import connect, files, ocr, office, pdf, sinks, tables, textual
 from .streaming import windows
 
 # Files: the nations of each region as one file of a kind, through the router. Each file is as small as a region.
@@ -473,6 +473,39 @@ def date_texts(spark, sf_dir):
     return spark.createDataFrame([(d, sinks._plain(pd.Timestamp(d).to_pydatetime())) for d in given], "d string, shown string")
 
 
+_LIST = "WITH l AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_extendedprice, l_partkey) AS q FROM lineitem GROUP BY 1)"
+
+
+@query(_LIST + " SELECT l_orderkey, round(list_sum(q), 4) AS total, round(list_avg(q), 4) AS mean, CAST(len(list_filter(q, lambda x: x > 25)) AS INTEGER) AS large, CAST(coalesce(list_position(list_transform(q, lambda x: x > 25), true) - 1, -1) AS INTEGER) AS first_large FROM l")
+def list_functions(spark, sf_dir):
+    order = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_partkey", "l_quantity")))
+    df = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(order, lambda x: x["l_quantity"]).alias("q"))
+    q, large = F.col("q"), lambda x: x > 25
+    out = df.select("l_orderkey", collections.total(q).alias("total"), collections.mean(q).alias("mean"), F.size(collections.where(q, large)).alias("large"), F.coalesce(F.get(collections.places(q, large), F.lit(0)), F.lit(-1)).cast("int").alias("first_large"))
+    return _plain(out, total=4, mean=4)
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, o_custkey + 1 AS a, 2 AS b FROM orders")
+def map_functions(spark, sf_dir):
+    """Maps out of text, merged key by key."""
+    text = F.concat(F.lit("status=x, a="), F.col("o_custkey").cast("string"), F.lit(" ,none, status = "), F.col("o_orderstatus"))
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", collections.pairs(text).alias("m"))
+    more = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
+    numbers = collections.merged(F.map_filter("m", lambda k, _: k == "a"), more, lambda x, y: F.coalesce(x.cast("long"), F.lit(0)) + y.cast("long"))
+    return df.select("o_orderkey", F.col("m")["status"].alias("status"), numbers["a"].alias("a"), numbers["b"].cast("int").alias("b"))
+
+
+@query("SELECT CAST(n_regionkey AS INTEGER) AS page, line, c.k AS \"column\", CASE WHEN c.k = 0 THEN 'no ' || n_nationkey ELSE n_name END AS text FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS line FROM nation), (VALUES (0), (1)) c(k)")
+def ocr_layout(spark, sf_dir):
+    """Words with places, a page a region, put into lines and two columns."""
+    line = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    df = _t(spark, sf_dir, "nation").withColumn("y", line * 30.0 + F.col("n_nationkey") % 3)
+    word = lambda x, w, t: F.struct(F.lit(x).alias("x"), F.lit(w).alias("width"), t.alias("text"))
+    words = F.array(word(10.0, 20.0, F.lit("no")), word(35.0, 15.0, F.col("n_nationkey").cast("string")), word(200.0, 60.0, F.col("n_name")))
+    found = ocr.layout(df.select(F.col("n_regionkey").cast("int").alias("page"), "y", F.explode(words).alias("w")).select("page", "y", "w.*"))
+    return found.select("page", F.col("line").cast("long"), F.col("column").cast("int"), "text")
+
+
 # Functions of the user's own
 
 
