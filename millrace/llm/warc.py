@@ -37,8 +37,8 @@ VERSION, END = b"WARC/1.1", b"\r\n"
 LEAST_REVISIT = 100
 #: Bytes of a chunk, of a segment's block, and of an archive before compression.
 CHUNK, SEGMENT, ARCHIVE = 8 << 10, 64 << 10, 16 << 20
-#: Bytes that are decompressed at a time, and the level at which records are compressed.
-PIECE, _LEVEL = 1 << 20, 6
+#: Bytes that are decompressed at a time, of how many compressed ones, and the level at which records are compressed.
+PIECE, TAKEN, _LEVEL = 1 << 20, 8 << 10, 6
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("8d1b0a54-3a3c-5b8f-9a53-0f9df5a6b1c7")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -144,7 +144,7 @@ def _pieces(data: bytes) -> Iterator[bytes]:
     while bytes(view[at : at + 2]) == b"\x1f\x8b":
         d = zlib.decompressobj(31)
         while not d.eof:
-            chunk = d.unconsumed_tail or view[at : at + PIECE]
+            chunk = d.unconsumed_tail or view[at : at + TAKEN]  # what follows the member is copied
             if not len(chunk):
                 raise ValueError("WARC: a gzip member is cut short")
             at += 0 if d.unconsumed_tail else len(chunk)
