@@ -258,7 +258,7 @@ def _reassemble_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     """The same with the documents of a chunk in one row."""
     for b in _reassemble(batches):
         docs = pa.StructArray.from_arrays(b.columns, ["id", "ids"])
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)], ["docs"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)], ["version", "docs"])
 
 
 def _repack(buckets: int):
@@ -342,7 +342,7 @@ def encode(docs: DataFrame, ranks: bytes, id_col: str = "doc_id", text_col: str
     return _met(docs, ranks, id_col, text_col, block, chunk, fan).mapInArrow(_reassemble, "id long, ids array<int>")
 
 
-_CHUNKS = "docs array<struct<id:bigint,ids:array<int>>>"
+_CHUNKS = "version int, docs array<struct<id:bigint,ids:array<int>>>"
 
 
 def _decoded(chunks: DataFrame, ranks: bytes) -> DataFrame:
@@ -350,7 +350,7 @@ def _decoded(chunks: DataFrame, ranks: bytes) -> DataFrame:
     spark, known = chunks.sparkSession, token_bytes(ranks)
     table = spark.createDataFrame([(0, [known.get(k) for k in range(max(known, default=-1) + 1)])], "version int, tokens array<binary>")
     table = table.select("version", F.transform("tokens", lambda x: x.cast("string")).alias("tokens"))  # a string is any bytes here
-    met = chunks.withColumn("version", F.lit(0)).join(F.broadcast(table), "version")
+    met = chunks.join(F.broadcast(table), "version")
 
     def token(i: Column) -> Column:
         return F.coalesce(F.when(i >= 0, F.get("tokens", i)), F.raise_error(F.concat(F.lit("no such token: "), i.cast("string"))).cast("string"))
@@ -363,7 +363,8 @@ def _decoded(chunks: DataFrame, ranks: bytes) -> DataFrame:
 def decode(tokens: DataFrame, ranks: bytes, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded): the bytes of each list of ids; an id that the table lacks raises. Null counts as no ids."""
     ids = F.coalesce(F.col(ids_col).cast("array<int>"), F.expr("array()").cast("array<int>"))
-    return _decoded(tokens.select(F.array(F.struct(F.col(id_col).cast("long").alias("id"), ids.alias("ids"))).alias("docs")), ranks)
+    version = F.pmod(F.size(ids), F.lit(1)).alias("version")  # 0, but not a constant, which would make the join a nested loop
+    return _decoded(tokens.select(version, F.array(F.struct(F.col(id_col).cast("long").alias("id"), ids.alias("ids"))).alias("docs")), ranks)
 
 
 def round_trip(docs: DataFrame, ranks: bytes, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
