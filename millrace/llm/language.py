@@ -2,8 +2,8 @@
 
 The text's evidence is the log-likelihood of its character trigrams (hashed to BUCKETS) under each language, over the whole
 text. Neighbouring trigrams repeat each other, so the sum of a text counts as that of at most STRENGTH trigrams with the same
-mean. That changes no text's order of languages; it makes the posterior as sure as it is right (log-loss on held-out labels
-of 10,000 documents: 0.019 at 1, 0.015 at 10, 0.032 at 30, 0.047 from 100 on). The declared
+mean. That changes no text's order of languages; it makes the posterior as sure as it is right (log-loss on 3,000 held-out
+labels: 0.033 at 1, 0.011 at 10, 0.024 from 30 on). The declared
 markup language and the address suffix (country domain, language label or path) are likelihoods of their own. The host gives
 the prior: the mean posterior of its documents, smoothed towards that of its group of hosts, and that towards the whole
 corpus, each as if PSEUDO documents had been seen; these means are grouped aggregations of all documents. A document is kept
@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 15
-MOST, STRENGTH, PSEUDO, LEAST, UNKNOWN = 20_000, 10, 20.0, 0.5, 0.001
+MOST, STRENGTH, PSEUDO, LEAST, UNKNOWN = 20_000, 10, 20.0, 0.5, 1e-6
+#: A trigram that a language lacks counts as so many nats less likely than a bucket by chance, and no less: one odd word, as a
+#: key or a name, then can't outweigh the rest of a short text.
+ODD = 2.0
 #: Counts are whole numbers of this part of a trigram, so that their sums don't depend on the order of rows.
 UNIT = 1 << 12
 #: Languages whose counts a worker holds at a time.
@@ -102,7 +105,7 @@ def _model(counts: dict[str, np.ndarray]) -> Model:
     if not languages:
         return Model(languages, np.zeros((BUCKETS, 0), np.float32))
     table = np.stack([counts[k] for k in languages], axis=1) / UNIT + 0.05
-    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+    return Model(languages, np.maximum(np.log(table / table.sum(axis=0)), -math.log(BUCKETS) - ODD).astype(np.float32))
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
