@@ -56,8 +56,10 @@ def _directory(active: DataFrame, first: int, depth: int, limit: int) -> DataFra
     return common.settle(own, "directory")
 
 
-def _on_cells(rows: DataFrame, cells: DataFrame, small: bool) -> DataFrame:
-    return rows.join(F.broadcast(cells) if small else cells, ["g", "cell"])
+def _on_cells(rows: DataFrame, cells: DataFrame, small: bool, hot: bool) -> DataFrame:
+    """rows met with cells. All rows have one g unless they are of hot keys; a table by one number is several times smaller."""
+    cells = cells if hot else cells.drop("g")
+    return rows.join(F.broadcast(cells) if small else cells, ["g", "cell"] if hot else "cell")
 
 
 def _place(active: DataFrame, limit: int, step: int, hot: bool, most: int) -> list[DataFrame]:
@@ -71,9 +73,11 @@ def _place(active: DataFrame, limit: int, step: int, hot: bool, most: int) -> li
         n = directory.agg(F.count("*").alias("all"), F.count_if(F.col("d").isNull()).alias("large"), F.count_if(F.col("d").isNull() & F.col("single")).alias("single")).first()
         small = n["all"] <= most
         rows = active.withColumn("cell", _prefix(F.col("h"), BITS, depth))
-        parts.append(_on_cells(rows, directory.filter("d is not null").select("g", "cell", "d", "prefix", "total"), small).select("row", name.alias("shard"), (F.col("d") + (BITS if hot else 0)).alias("depth"), F.col("total").alias("shard_bytes")))
+        found = _on_cells(rows, directory.filter("d is not null").select("g", "cell", "d", "total"), small, hot)
+        found = found.withColumn("prefix", _prefix(F.col("cell"), depth, F.col("d")))
+        parts.append(found.select("row", name.alias("shard"), (F.col("d") + (BITS if hot else 0)).alias("depth"), F.col("total").alias("shard_bytes")))
         if n["single"]:
-            same = _on_cells(rows, directory.filter("d is null and single").select("g", "cell"), small)
+            same = _on_cells(rows, directory.filter("d is null and single").select("g", "cell"), small, hot)
             if hot:  # two row numbers with equal hashes
                 parts.append(same.select("row", F.concat(F.lit(f"{BITS}:"), F.col("g"), F.lit("#"), F.col("n")).alias("shard"), F.lit(2 * BITS).alias("depth"), F.col("size").alias("shard_bytes")))
             else:
@@ -81,7 +85,7 @@ def _place(active: DataFrame, limit: int, step: int, hot: bool, most: int) -> li
                 parts += _place(common.settle(again, "hot"), limit, STEP, True, most)
         done = n["large"] == n["single"]
         if not done:
-            active = common.settle(_on_cells(rows, directory.filter("d is null and not single").select("g", "cell"), small).select("row", "size", "g", "h", "n"), "active")
+            active = common.settle(_on_cells(rows, directory.filter("d is null and not single").select("g", "cell"), small, hot).select("row", "size", "g", "h", "n"), "active")
             base, step = depth, STEP
     return parts
 
