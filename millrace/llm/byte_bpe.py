@@ -317,7 +317,7 @@ def _met(docs: DataFrame, ranks: bytes, id_col: str, text_col: str, block: int,
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(n, fan)
     source = docs.select(F.col(id_col).cast("long").alias("id"), common.utf8(text_col).alias("t"))
-    blocks = common.settle(source.mapInArrow(_to_blocks(buckets, block, chunk), _ROWS), "blocks")
+    blocks = common.settle(source.mapInArrow(common.freed(_to_blocks(buckets, block, chunk)), _ROWS), "blocks")
     coded = _coded(blocks.filter("kind = 0"), ranks, n, buckets, fan, chunk)
     # the task that made a block, plus the block's place in it
     number = F.expr("shiftright(block, 32) + (block & 4294967295)")
@@ -327,19 +327,19 @@ def _met(docs: DataFrame, ranks: bytes, id_col: str, text_col: str, block: int,
 def _coded(words: DataFrame, ranks: bytes, n: int, buckets: int, fan: int, chunk: int) -> DataFrame:
     """Packs of ids of the packs of words."""
     if n <= buckets:
-        return _in_turn(words, n, F.col("slot")).sortWithinPartitions("slot").mapInArrow(_encode_words(ranks), _ROWS)
+        return _in_turn(words, n, F.col("slot")).sortWithinPartitions("slot").mapInArrow(common.freed(_encode_words(ranks)), _ROWS)
     group = F.expr(f"shiftright(block, 32) div {fan}").alias("group")
     dealt = words.select(group, "block", "slot", "data").repartition(n, "group", "slot").sortWithinPartitions("group", "slot", "block")
-    groups = common.settle(dealt.mapInArrow(_regroup(buckets, fan, chunk), _ROWS), "groups")
-    coded = _in_turn(groups.filter("kind = 0"), n, F.col("slot")).sortWithinPartitions("slot").mapInArrow(_encode_words(ranks), _ROWS)
+    groups = common.settle(dealt.mapInArrow(common.freed(_regroup(buckets, fan, chunk)), _ROWS), "groups")
+    coded = _in_turn(groups.filter("kind = 0"), n, F.col("slot")).sortWithinPartitions("slot").mapInArrow(common.freed(_encode_words(ranks)), _ROWS)
     back = _in_turn(groups.filter("kind > 0").union(coded), n, F.col("block")).sortWithinPartitions("block", "kind", "slot")
-    return back.mapInArrow(_repack(buckets), _ROWS)
+    return back.mapInArrow(common.freed(_repack(buckets)), _ROWS)
 
 
 def encode(docs: DataFrame, ranks: bytes, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(id, ids): the token ids of each text. block: characters whose distinct words go together; chunk: words in a row;
     fan: most packs of a block."""
-    return _met(docs, ranks, id_col, text_col, block, chunk, fan).mapInArrow(_reassemble, "id long, ids array<int>")
+    return _met(docs, ranks, id_col, text_col, block, chunk, fan).mapInArrow(common.freed(_reassemble), "id long, ids array<int>")
 
 
 _CHUNKS = "version int, docs array<struct<id:bigint,ids:array<int>>>"
@@ -369,7 +369,7 @@ def decode(tokens: DataFrame, ranks: bytes, id_col: str = "id", ids_col: str = "
 
 def round_trip(docs: DataFrame, ranks: bytes, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """decode(encode(docs)); the table of token bytes meets some documents a row."""
-    return _decoded(_met(docs, ranks, id_col, text_col, block, chunk, fan).mapInArrow(_reassemble_chunks, _CHUNKS), ranks)
+    return _decoded(_met(docs, ranks, id_col, text_col, block, chunk, fan).mapInArrow(common.freed(_reassemble_chunks), _CHUNKS), ranks)
 
 
 def digests(decoded: DataFrame) -> DataFrame:
