@@ -42,15 +42,17 @@ def _prefix(bits: Column, have: int, want: Column | int) -> Column:
 
 
 def _directory(active: DataFrame, first: int, depth: int, limit: int) -> DataFrame:
-    """(g, cell, rows, single, bytes, d, prefix, total) of each cell of depth bits; d is null where no prefix fits."""
+    """(g, cell, rows, single, bytes, d, prefix, total) of each cell of depth bits; d is null where no prefix fits.
+
+    Its own joins are shuffled: cells grow with the data."""
     cell = _prefix(F.col("h"), BITS, depth)
     cells = active.groupBy("g", cell.alias("cell")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), (F.min("h") == F.max("h")).alias("single"))
     cells = common.settle(cells, "cells")
     paths = cells.select("g", "cell", "bytes", F.explode(F.sequence(F.lit(first), F.lit(depth))).alias("d"))
     paths = paths.withColumn("prefix", _prefix(F.col("cell"), depth, F.col("d")))
     totals = paths.groupBy("g", "d", "prefix").agg(F.sum("bytes").alias("total")).filter(F.col("total") <= limit)
-    fits = paths.select("g", "cell", "d", "prefix").join(totals, ["g", "d", "prefix"]).groupBy("g", "cell").agg(F.min(F.struct("d", "prefix", "total")).alias("fit"))
-    joined = cells.join(fits, ["g", "cell"], "left").select("g", "cell", "rows", "single", "bytes", "fit.d", "fit.prefix", "fit.total")
+    fits = paths.select("g", "cell", "d", "prefix").join(totals.hint("shuffle_hash"), ["g", "d", "prefix"]).groupBy("g", "cell").agg(F.min(F.struct("d", "prefix", "total")).alias("fit"))
+    joined = cells.join(fits.hint("shuffle_hash"), ["g", "cell"], "left").select("g", "cell", "rows", "single", "bytes", "fit.d", "fit.prefix", "fit.total")
     alone = F.col("d").isNull() & (F.col("rows") == 1)  # a row above the limit
     own = joined.select("g", "cell", "rows", "single", F.when(alone, F.lit(depth)).otherwise(F.col("d")).alias("d"), F.when(alone, F.col("cell")).otherwise(F.col("prefix")).alias("prefix"), F.when(alone, F.col("bytes")).otherwise(F.col("total")).alias("total"))
     return common.settle(own, "directory")
