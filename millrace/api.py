@@ -16,7 +16,7 @@ from .operators.rows import drop_empty, with_row_index
 from .plans import analyses, layout
 from .plans.base import AnalysisRequest, AnalysisResult, AnalysisValidationError, get, names
 from .sources import files, sinks
-from .store import DatasetStore
+from .store import DatasetStore, Store
 
 
 @dataclass(frozen=True)
@@ -29,9 +29,10 @@ class ApiError(Exception):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, most_bytes: int = files.MOST_BYTES) -> None:
-        """most_bytes: the largest file that upload() takes."""
-        self.spark, self.store, self.most_bytes = spark, DatasetStore(spark, root), most_bytes
+    def __init__(self, spark: SparkSession, root: str | Store, most_bytes: int = files.MOST_BYTES) -> None:
+        """root: a folder, or a store of another kind. most_bytes: the largest file that upload() takes."""
+        self.spark, self.most_bytes = spark, most_bytes
+        self.store = root if isinstance(root, Store) else DatasetStore(spark, root)
         self.results: dict[str, AnalysisResult] = {}
         if not names():
             analyses.register_all()

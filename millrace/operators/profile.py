@@ -245,6 +245,17 @@ def profile(df: DataFrame, name: str = "table", exact: bool = True, label_column
     return out
 
 
+def flagged(p: TableProfile) -> DataFrame:
+    """The table's rows with _row_role and _flags: the findings of each row as (column, finding), the column null for whole rows.
+
+    A row has no more findings than columns times kinds, so they are gathered by row."""
+    found = p.anomalies.select(F.col("row_index").alias(ROW), F.struct("column", F.col("anomaly_type").alias("finding")).alias("f"))
+    found = found.union(p.mismatches.select(F.col("row_index").alias(ROW), F.struct("column", F.lit("mismatch").alias("finding")).alias("f")))
+    flags = found.groupBy(ROW).agg(F.sort_array(F.collect_set("f")).alias("_flags"))
+    none = F.array().cast("array<struct<column:string,finding:string>>")
+    return p.rows.join(flags, ROW, "left").withColumn("_flags", F.coalesce("_flags", none))
+
+
 def grain(p: TableProfile) -> str:
     """What one row stands for, as far as names and counts tell."""
     detail = p.role_counts.get("detail", 0)

@@ -428,7 +428,7 @@ def json_flatten(spark, sf_dir):
 _BARE = r"regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g')"
 _MARKED = rf"regexp_replace(regexp_replace({_BARE}, '(?i)<(li|p)(\s[^>]*)?>', chr(1), 'g'), '(?i)</(li|p)>', chr(2), 'g')"
 _ITEM = "string_split(x, chr(2))[1]"
-_ITEM = rf"trim(replace(replace(replace(replace(regexp_replace({_ITEM}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), ' ' || chr(10) || chr(9) || chr(13))"
+_ITEM = rf"trim(replace(replace(replace(replace(regexp_replace({_ITEM}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&'), ' ' || chr(10) || chr(9) || chr(13))"
 
 
 @query(rf"WITH p AS (SELECT page_id, unnest(string_split({_MARKED}, chr(1))[2:]) AS x, generate_subscripts(string_split({_MARKED}, chr(1))[2:], 1) AS k FROM pages), c AS (SELECT page_id, k, {_ITEM} AS content FROM p) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS item_no, content, CAST(len(string_split_regex(content, '\s+')) AS BIGINT) AS word_count FROM c WHERE content <> ''")

@@ -126,6 +126,15 @@ def scan_binary_strings(spark, sf_dir):
     return nations.mapInArrow(run, "file string, strings long")
 
 
+@query("SELECT 'region' || n_regionkey AS file, 'png' AS format, CAST(count(*) AS VARCHAR) AS width, CAST(min(n_nationkey) + 1 AS VARCHAR) AS height FROM nation GROUP BY n_regionkey")
+def scan_image(spark, sf_dir):
+    """Pictures without a recogniser give what their head says."""
+    head = F.concat(F.lit(bytearray(b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR")), F.unhex(F.lpad(F.hex(F.count("*")), 8, "0")), F.unhex(F.lpad(F.hex(F.min("n_nationkey") + 1), 8, "0")))
+    made = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(head.alias("content")).select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("path"), "content")
+    found = files.parse_files(made).filter("cells is not null")
+    return found.select(F.col("path").alias("file"), *(F.get("cells", F.lit(k)).alias(c) for k, c in ((1, "format"), (2, "width"), (3, "height"))))
+
+
 @query("SELECT name, ok FROM (VALUES ('a.csv', true), ('a.XLSX', true), ('a.jsonl', true), ('a.exe', false), ('big.csv', false), ('none.csv', false)) t(name, ok)")
 def upload_gate(spark, sf_dir):
     def ok(name: str, size: int) -> bool:
@@ -423,6 +432,28 @@ def role_filter(spark, sf_dir):
     return parts[0].union(parts[1])
 
 
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 's_acctbal:negative_in_positive_column' ELSE '' END AS flags FROM supplier")
+def row_flags(spark, sf_dir):
+    """Findings beside the rows that they are about."""
+    df = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_suppkey").cast("long").alias(al.ROW), F.lit("detail").alias("_row_role"))
+    none = spark.createDataFrame([], profile._MISMATCH)
+    p = profile.TableProfile("supplier", 0, [], periods.TimeStructure(), {}, df, profile.negatives(df, ["s_acctbal"]), none, "")
+    shown = F.array_join(F.transform("_flags", lambda f: F.concat_ws(":", f["column"], f["finding"])), ",")
+    return profile.flagged(p).select("s_suppkey", shown.alias("flags"))
+
+
+@query("SELECT 's_suppkey' AS header, false AS negatives_stand_out UNION ALL SELECT 's_acctbal', count(*) FILTER (s_acctbal >= 0) / count(*) >= 0.9 AND min(s_acctbal) < 0 FROM supplier UNION ALL SELECT 'shifted', count(*) FILTER (s_acctbal + 500 >= 0) / count(*) >= 0.9 AND min(s_acctbal + 500) < 0 FROM supplier")
+def negatives_that_stand_out(spark, sf_dir):
+    df = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_acctbal") + 500).alias("shifted"))
+    return spark.createDataFrame([(c.header, c.negatives_stand_out) for c in profile.profile(df, "supplier").columns], "header string, negatives_stand_out boolean")
+
+
+@query("SELECT 'nation: ' || count(*) || ' rows, 2 columns; one row for each of ' || count(DISTINCT n_name) || ' distinct ''n_name''.' AS line FROM nation")
+def profile_summary(spark, sf_dir):
+    p = profile.profile(_t(spark, sf_dir, "nation").select("n_name", "n_regionkey"), "nation")
+    return spark.createDataFrame([(profile.summary(p).splitlines()[0],)], "line string")
+
+
 # Expressions
 
 

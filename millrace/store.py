@@ -3,12 +3,37 @@
 from __future__ import annotations
 
 import json
+from abc import ABC, abstractmethod
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-class DatasetStore:
+class Store(ABC):
+    """Where data sets and results are kept by key; an engine takes any of these."""
+
+    @abstractmethod
+    def put(self, key: str, df: DataFrame, info: dict[str, Any] | None = None) -> DataFrame:
+        """Keep df, and return what was kept: what follows starts from there."""
+
+    @abstractmethod
+    def get(self, key: str) -> DataFrame:
+        """The kept rows; KeyError without any."""
+
+    @abstractmethod
+    def put_info(self, key: str, info: dict[str, Any]) -> None:
+        """Keep what is to be known about a key."""
+
+    @abstractmethod
+    def info(self, key: str) -> dict[str, Any]:
+        """What put_info() kept; KeyError without any."""
+
+    @abstractmethod
+    def __contains__(self, key: str) -> bool:
+        """Whether anything is kept under the key."""
+
+
+class DatasetStore(Store):
     """root: any folder that Spark's writers reach. Types survive; putting a key again replaces it."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
