@@ -48,11 +48,19 @@ def _directory(active: DataFrame, first: int, depth: int, limit: int) -> DataFra
     cell = _prefix(F.col("h"), BITS, depth)
     cells = active.groupBy("g", cell.alias("cell")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), (F.min("h") == F.max("h")).alias("single"))
     cells = common.settle(cells, "cells")
-    paths = cells.select("g", "cell", "bytes", F.explode(F.sequence(F.lit(first), F.lit(depth))).alias("d"))
-    paths = paths.withColumn("prefix", _prefix(F.col("cell"), depth, F.col("d")))
-    totals = paths.groupBy("g", "d", "prefix").agg(F.sum("bytes").alias("total")).filter(F.col("total") <= limit)
-    fits = paths.select("g", "cell", "d", "prefix").join(totals.hint("shuffle_hash"), ["g", "d", "prefix"]).groupBy("g", "cell").agg(F.min(F.struct("d", "prefix", "total")).alias("fit"))
-    joined = cells.join(fits.hint("shuffle_hash"), ["g", "cell"], "left").select("g", "cell", "rows", "single", "bytes", "fit.d", "fit.prefix", "fit.total")
+    # a prefix is a shard if it fits and the one before it doesn't: sums only fall with the depth
+    deep = F.sequence(F.lit(first), F.lit(depth))
+    paths = cells.select("g", "cell", "bytes", F.explode(deep).alias("d")).withColumn("prefix", _prefix(F.col("cell"), depth, F.col("d")))
+    totals = common.settle(paths.groupBy("g", "d", "prefix").agg(F.sum("bytes").alias("total")), "totals")
+    fits, large = totals.filter(F.col("total") <= limit), totals.filter(F.col("total") > limit).select("g", "d", "prefix")
+    before = large.select("g", (F.col("d") + 1).alias("d"), F.col("prefix").alias("half"))
+    inner = fits.filter(F.col("d") > first).withColumn("half", F.call_function("shiftright", F.col("prefix"), F.lit(1)))
+    inner = inner.join(before.hint("shuffle_hash"), ["g", "d", "half"], "left_semi").select("g", "d", "prefix", "total")
+    shards = common.settle(fits.filter(F.col("d") == first).select("g", "d", "prefix", "total").union(inner), "shards")
+    depths = sorted(r.d for r in shards.select("d").distinct().collect())  # at most BITS
+    own = cells.select("g", "cell", F.explode(F.array(*map(F.lit, depths)).cast("array<int>")).alias("d")).withColumn("prefix", _prefix(F.col("cell"), depth, F.col("d")))
+    found = own.join(shards.hint("shuffle_hash"), ["g", "d", "prefix"])
+    joined = cells.join(found.hint("shuffle_hash"), ["g", "cell"], "left").select("g", "cell", "rows", "single", "bytes", "d", "prefix", "total")
     alone = F.col("d").isNull() & (F.col("rows") == 1)  # a row above the limit
     own = joined.select("g", "cell", "rows", "single", F.when(alone, F.lit(depth)).otherwise(F.col("d")).alias("d"), F.when(alone, F.col("cell")).otherwise(F.col("prefix")).alias("prefix"), F.when(alone, F.col("bytes")).otherwise(F.col("total")).alias("total"))
     return common.settle(own, "directory")
