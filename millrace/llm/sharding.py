@@ -7,8 +7,8 @@ along the prefixes and finds the splits of all those levels at once; rows of cel
 round. A hot key, whose rows can't be parted by its hash, is split the same way by the hash of a row number, so every shard
 fits; only a single row above the limit is a shard of its own.
 
-The directory (cells with their shard) is broadcast if it has at most MOST_CELLS rows (up to four kilobytes each in memory,
-as measured), else joined by a shuffle of (size, key hash) or, where whole rows are placed, of the rows.
+The directory (cells with their shard) is broadcast if it has at most MOST_CELLS rows (some 250 bytes each in memory, as
+measured), else joined by a shuffle of (size, key hash) or, where whole rows are placed, of the rows.
 
 A null key counts as the empty one, a null text as no bytes; rows repeat freely (copies of a hot key may go to any of its
 shards); an empty table gives an empty result; other columns are ignored.
@@ -26,7 +26,7 @@ from . import common
 
 BITS = 60
 MAX_BYTES = 1 << 20
-MOST_CELLS = 20_000
+MOST_CELLS = 100_000
 #: Bits that a round after the first looks ahead, and that the first one does beyond the least number of shards.
 STEP, AHEAD = 8, 3
 
