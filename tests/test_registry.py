@@ -31,7 +31,7 @@ def test_scalars_aggregates_and_tables(spark):
     assert spark.sql("select spread(k) as s from own_rows").first() == (1.0,)
     assert sorted(map(tuple, registry.explode(df, "split_words", "t").select("k", "place", "word").collect())) == [(1, 0, "a"), (1, 1, "b"), (2, 0, "c")]
     assert spark.sql("select count(*) from own_rows, lateral split_words(t)").first()[0] == 3
-    assert registry.names("table") == ["split_words"] and {"shout", "spread"} <= set(registry.names())
+    assert "split_words" in registry.names("table") and {"shout", "spread"} <= set(registry.names())
     for bad in (lambda: registry.call("nope", "t"), lambda: registry.explode(df, "shout", "t")):
         with pytest.raises(KeyError):
             bad()
