@@ -156,8 +156,8 @@ def _order_statistics(rows: DataFrame, targets: list[tuple], ends: list, most_he
                 (ready if inside <= most_held else wide).append((k, r, low, high, below, inside))
         if ready:
             own = sorted({x[:1] + x[2:5] for x in ready})
-            marks = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"x{k}").alias("x"), F.col(f"x{k}").between(low, high).alias("ok")) for j, (k, low, high, _) in enumerate(own)))
-            inner = rows.select(F.explode(F.filter(marks, lambda m: m["ok"])).alias("m")).groupBy("m.j", "m.x").agg(F.count("*").alias("n"))
+            cells = [c for j, (k, low, high, _) in enumerate(own) for c in (F.lit(j), F.col(f"x{k}"), F.coalesce(F.col(f"x{k}").between(low, high), F.lit(False)))]
+            inner = rows.select(F.stack(F.lit(len(own)), *cells).alias("j", "x", "ok")).filter("ok").groupBy("j", "x").agg(F.count("*").alias("n"))
             upto = F.sum("n").over(Window.partitionBy("j").orderBy("x")).alias("upto")
             wanted = [(j, r, r - below) for k, r, low, high, below, _ in ready for j in [own.index((k, low, high, below))]]
             asked = rows.sparkSession.createDataFrame(wanted, "j int, r long, place long")  # two a quantile
