@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
+from importlib import resources
 from pathlib import Path
 
 import numpy as np
@@ -379,7 +380,7 @@ def train(pages: int = PAGES, seed: int = SEED, trees: int = 120) -> Trees:
 @lru_cache(maxsize=1)
 def model() -> Trees:
     """The fitted trees, as they are stored."""
-    raw = json.loads(MODEL.read_text())
+    raw = json.loads(resources.files(__package__).joinpath(MODEL.name).read_text())  # from a zip file too
     threshold = np.array([[np.inf if x is None else x for x in row] for row in raw["threshold"]])
     return Trees(boosting.Boosted(np.array(raw["feature"]), threshold, np.array(raw["leaf"]), raw["start"]), tuple(raw["own_names"]), tuple(raw["above_names"]))
 
