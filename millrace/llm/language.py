@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 15
-MOST, STRENGTH, PSEUDO, LEAST, UNKNOWN = 20_000, 10, 20.0, 0.5, 1e-6
+MOST, STRENGTH, PSEUDO, LEAST, UNKNOWN = 20_000, 10, 20.0, 0.3, 1e-6
 #: A trigram that a language lacks counts as so many nats less likely than a bucket by chance, and no less: one odd word, as a
 #: key or a name, then can't outweigh the rest of a short text.
 ODD = 2.0
